@@ -50,8 +50,9 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", hash_bytes: int = 16) -
     texts = checkpointed(texts)
     stays = texts.filter("doc_id <=> keep_id").select("h", F.col("text").alias("stays"))
     others = texts.filter("not (doc_id <=> keep_id)").join(stays, "h")
-    differs = checkpointed(others.filter((F.col("text") != F.col("stays")) & (fold_case(F.col("text")) != fold_case(F.col("stays")))).select("h").distinct())
+    differs = checkpointed(others.filter((F.col("text") != F.col("stays")) & (fold_case(F.col("text")) != fold_case(F.col("stays")))).select("h"))  # no distinct here: it would tie all rows of a hash to one task
     if not differs.isEmpty():
+        differs = differs.distinct()
         exact = texts.join(differs, "h", "left_semi").select("doc_id", "h", F.sha2(fold_case(F.col("text")), 256).alias("text_sha256"), fold_case(F.col("text")).alias("text"))
         regrouped = exact.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         again = exact.join(regrouped, ["h", "text"])

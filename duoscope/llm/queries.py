@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duoscope.llm import bpe, exact, simhash, vectors
+from duoscope.llm import bpe, exact, pst, simhash, toxicity, vectors
 from duoscope.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,11 +24,20 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_exact_dedup, op4_bpe, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_exact_dedup, op4_bpe, op5_suffix_tree, op8_toxicity, op9_simhash)}
 
 ORACLES = {
     "op3_exact_dedup": """
