@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duoscope.llm import bpe, exact, pst, simhash, toxicity, vectors
-from duoscope.llm.common import table
+from duoscope.llm import bpe, exact, lines, pst, quality, simhash, toxicity, vectors
+from duoscope.llm.common import remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -14,6 +15,16 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good and clean. Kept: P(grade >= 1) is at least a half."""
+    docs = table(spark, sf_dir, "documents")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    ratings = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", grade.alias("grade"))
+    scored = quality.score(docs, quality.fit(docs, ratings, grades=3))
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "expected_grade", F.col("tails")[0].alias("p_good"), F.col("tails")[1].alias("p_clean"), "kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,6 +39,11 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.score(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,11 +53,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_exact_dedup, op4_bpe, op5_suffix_tree, op8_toxicity, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_quality, op3_exact_dedup, op4_bpe, op5_suffix_tree, op6_line_dedup, op8_toxicity, op9_simhash)}
 
 ORACLES = {
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op6_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+        k AS (SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        r AS (SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT k.*, keep_id IS NOT NULL AND doc_id <> keep_id AS drop FROM k LEFT JOIN r USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE drop) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT drop), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
 }
