@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import bpe, exact, lines, pst, quality, simhash, toxicity, vectors
+from duoscope.llm import bpe, exact, lines, mixing, pst, quality, secrets, simhash, toxicity, vectors
 from duoscope.llm.common import remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.scan(docs, secrets.fit(docs)))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,7 +58,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_quality, op3_exact_dedup, op4_bpe, op5_suffix_tree, op6_line_dedup, op8_toxicity, op9_simhash)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains: the sources; targets: their token totals, tempered by a power of 0.7."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_quality, op3_exact_dedup, op4_bpe, op5_suffix_tree, op6_line_dedup, op7_secrets, op8_toxicity, op9_simhash, op10_mixing)}
 
 ORACLES = {
     "op3_exact_dedup": """
