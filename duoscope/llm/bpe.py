@@ -57,7 +57,7 @@ def cut(data: np.ndarray, starts: np.ndarray, gear: np.ndarray, bits: int) -> np
 class ReusingEncoder:
     """chunk_bits: chunks have 2 ** chunk_bits bytes on average. max_*: entries of either store, which starts anew when full."""
 
-    def __init__(self, path: str, chunk_bits: int = 10, max_chunks: int = 8_000, max_words: int = 250_000):
+    def __init__(self, path: str, chunk_bits: int = 10, max_chunks: int = 8_000, max_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,6 +66,9 @@ class ReusingEncoder:
         self.tokenizer.no_padding()
         self.gear = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
         self.bits, self.max_chunks, self.max_words = chunk_bits, max_chunks, max_words
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # Without a decoder of its own the tokenizer joins its tokens by spaces, done here by table.
+        self.tokens = None if self.tokenizer.decoder else dict(zip(vocabulary.values(), vocabulary, strict=True))
         self.chunks: dict[bytes, Chunk | None] = {}
         self.words: dict[bytes, bytes] = {}
 
@@ -126,6 +129,8 @@ class ReusingEncoder:
         return Chunk(parts[0], parts[1:-1], parts[-1]) if len(parts) > 1 else None
 
     def decode(self, ids: list[int]) -> str:
+        if self.tokens:
+            return " ".join(map(self.tokens.__getitem__, ids))
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
