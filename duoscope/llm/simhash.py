@@ -94,3 +94,69 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
     named = checkpointed(nodes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     of_null = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), of_null.alias("component_id"))
+
+
+def similar(a: bytes, b: bytes, words_per_shingle: int, similarity: float) -> bool:
+    """Whether the sets of shingles have at least that Jaccard similarity; two texts without words are alike."""
+    x, y = (shingles(t, words_per_shingle) for t in (a, b))
+    return len(x & y) >= similarity * len(x | y)
+
+
+def shingles(text: bytes, words_per_shingle: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[i : i + words_per_shingle]) for i in range(max(1, len(words) - words_per_shingle + 1))} if words else set()
+
+
+def word_fingerprints(docs: DataFrame, least_bytes: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id and fp over the distinct words of at least least_bytes bytes (of all words where none is so long)."""
+
+    def of(text: bytes) -> int:
+        words = set(text.lower().split())
+        if not words:
+            return 0
+        words = {w for w in words if len(w) >= least_bytes} or words
+        bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in words]), np.uint8).reshape(-1, 8), axis=1)
+        return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes(), "big")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            fp = np.array([of(x) for x in utf8(batch.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 6, tile_rows: int = 1024) -> DataFrame:
+    """(doc_id, keep_id) of the documents that go because one that stays is similar to them.
+
+    Candidates are the components of fingerprints of long words, a fingerprint that a few changed words
+    move by a few bits only. In each component the smallest id stays, and those similar to it by shingles
+    go; the rest of the component is taken again, until nothing is left of it. Every document that goes
+    has been compared with the one that stays. Rows with a null id stay.
+    """
+    prints = checkpointed(word_fingerprints(docs).filter("doc_id is not null"))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    components = connected_components(near_edges(nodes.select("node", "fp"), radius, tile_rows))
+    named = nodes.join(components, "node", "left").filter("component is not null or n > 1").select("fp", F.coalesce("component", "node").alias("component"))
+    members = prints.join(checkpointed(named), "fp").select("doc_id", "component")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    left = checkpointed(texts.join(members.hint("shuffle_hash"), "doc_id"))
+    gone = None
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), 1):
+                alike = [similar(a, b, words_per_shingle, similarity) for a, b in zip(utf8(part.column(1)), utf8(part.column(4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(alike)], ["doc_id", "text", "component", "keep_id", "alike"])
+
+    while True:
+        heads = checkpointed(left.groupBy("component").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").select("component", "keep_id"))
+        if heads.isEmpty():
+            break
+        head_texts = checkpointed(left.join(heads.hint("shuffle_hash"), "component").filter("doc_id = keep_id").select("component", "keep_id", F.col("text").alias("head")).dropDuplicates(["component"]))
+        pairs = left.join(head_texts, "component").filter("doc_id != keep_id").select("doc_id", "text", "component", "keep_id", "head")
+        seen = checkpointed(pairs.mapInArrow(compared, "doc_id long, text string, component long, keep_id long, alike boolean"))
+        found = seen.filter("alike").select("doc_id", "keep_id")
+        gone = found if gone is None else gone.unionByName(found)
+        left = seen.filter("not alike").select("doc_id", "text", "component")
+    return gone if gone is not None else prints.select("doc_id", F.col("doc_id").alias("keep_id")).limit(0)

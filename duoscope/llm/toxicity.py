@@ -200,6 +200,16 @@ def score(docs: DataFrame, model: Model, modulus: int = 5) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder("doc_id", modulus) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is below `most`."""
+
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array([model.score(x or "") for x in text.to_pylist()], pa.float64())
+
+    return docs.filter(scored(F.col("text").cast("string")) < most)
+
+
 def passages(docs: DataFrame, model: Model, p_most: float = 0.01) -> DataFrame:
     """doc_id, first, end (token numbers), passage_score, p_value of every significant toxic passage."""
 
