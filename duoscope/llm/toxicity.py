@@ -53,6 +53,7 @@ class Model:
     k: float = 1.0
     a: float = 0.0
     b: float = 0.0
+    seen: dict[str, float] = field(default_factory=dict, compare=False, repr=False)  # scores of tokens met, up to a bound
 
     def token(self, token: str) -> float:
         found = self.drift
@@ -63,7 +64,11 @@ class Model:
     def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
         """Maximal segments as (first token, token after the last, score), and the number of tokens."""
         tokens = TOKEN.findall(text.lower())
-        hits = [(i, s) for i, t in enumerate(tokens) if (t in self.weights or t[:4] + "*" in self.weights or t[:5] + "*" in self.weights or t[:6] + "*" in self.weights) and (s := self.token(t)) > 0]
+        if len(self.seen) > 400_000:
+            self.seen.clear()
+        for t in set(tokens).difference(self.seen):
+            self.seen[t] = self.token(t)
+        hits = [(i, s) for i, s in enumerate(map(self.seen.__getitem__, tokens)) if s > 0]
         return maximal_segments(hits, self.drift), len(tokens)
 
     def evidence(self, text: str) -> float:
