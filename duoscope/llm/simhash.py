@@ -64,20 +64,31 @@ def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
     return [sum(bit << i for i, bit in enumerate(odd(v))) for v in range(1, 1 << (radius + 1))]
 
 
-def near_edges(nodes: DataFrame, radius: int = 3, tile_rows: int = 1024) -> DataFrame:
-    """Edges (a, b) that span the components of (node, fp): distinct fingerprints, linked at `radius` or fewer bits."""
+def near_edges(nodes: DataFrame, radius: int = 3, tile_rows: int = 1024, pairs: bool = False) -> DataFrame:
+    """Edges (a, b) of (node, fp), distinct fingerprints: those of spanning forests of the pairs at `radius` or fewer bits.
+
+    With `pairs` each edge is such a pair itself: of each node with the first and with the nearest of those
+    that it meets in a bucket.
+    """
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in covering_masks(radius)]
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
-    rows = nodes.select("node", "fp", F.inline(keys))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select("node", "fp").repartition(parts, "fp").select("node", "fp", F.inline(keys))
 
     def compare(group: pa.Table) -> pa.Table:
         node, fp, tile = (group.column(c).to_numpy() for c in ("node", "fp", "tile"))
         fp = fp.view(np.uint64)
-        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+        bits = np.bitwise_count(fp[:, None] ^ fp[None, :])
+        near = bits <= radius
         sides = allowed_pairs(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py())
         if sides:
             for side in sides:
                 near[np.ix_(side, side)] = False
+        if pairs:
+            np.fill_diagonal(near, False)
+            at = np.flatnonzero(near.any(axis=1))
+            nearest = np.where(near, bits, BITS + 1)[at].argmin(axis=1)
+            return pa.table({"a": node[np.concatenate([at, at])], "b": node[np.concatenate([near[at].argmax(axis=1), nearest])]})
         root = spanning_roots(near)
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": node[at], "b": node[root[at]]})
@@ -126,37 +137,29 @@ def word_fingerprints(docs: DataFrame, least_bytes: int = 5, seed: int = 42) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 6, tile_rows: int = 1024) -> DataFrame:
-    """(doc_id, keep_id) of the documents that go because one that stays is similar to them.
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 5, tile_rows: int = 1024) -> DataFrame:
+    """(doc_id, keep_id) of the documents that go: all of a group of similar ones but the smallest id.
 
-    Candidates are the components of fingerprints of long words, a fingerprint that a few changed words
-    move by a few bits only. In each component the smallest id stays, and those similar to it by shingles
-    go; the rest of the component is taken again, until nothing is left of it. Every document that goes
-    has been compared with the one that stays. Rows with a null id stay.
+    Candidates are pairs of fingerprints of long words, which a few changed words move by a few bits
+    only, and documents of one fingerprint; a pair links if its shingles are similar. Groups are the
+    components of the links. Rows with a null id stay.
     """
     prints = checkpointed(word_fingerprints(docs).filter("doc_id is not null"))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    components = connected_components(near_edges(nodes.select("node", "fp"), radius, tile_rows))
-    named = nodes.join(components, "node", "left").filter("component is not null or n > 1").select("fp", F.coalesce("component", "node").alias("component"))
-    members = prints.join(checkpointed(named), "fp").select("doc_id", "component")
+    near = near_edges(nodes, radius, tile_rows, pairs=True)
+    same = prints.join(checkpointed(nodes.filter("n > 1").select("fp", "node")), "fp").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = checkpointed(near.unionByName(same).distinct())
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    left = checkpointed(texts.join(members.hint("shuffle_hash"), "doc_id"))
-    gone = None
+    texts = checkpointed(texts.join(ends.hint("shuffle_hash"), "doc_id"))
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(iter([batch]), 1):
-                alike = [similar(a, b, words_per_shingle, similarity) for a, b in zip(utf8(part.column(1)), utf8(part.column(4)), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(alike)], ["doc_id", "text", "component", "keep_id", "alike"])
-
-    while True:
-        heads = checkpointed(left.groupBy("component").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").select("component", "keep_id"))
-        if heads.isEmpty():
-            break
-        head_texts = checkpointed(left.join(heads.hint("shuffle_hash"), "component").filter("doc_id = keep_id").select("component", "keep_id", F.col("text").alias("head")).dropDuplicates(["component"]))
-        pairs = left.join(head_texts, "component").filter("doc_id != keep_id").select("doc_id", "text", "component", "keep_id", "head")
-        seen = checkpointed(pairs.mapInArrow(compared, "doc_id long, text string, component long, keep_id long, alike boolean"))
-        found = seen.filter("alike").select("doc_id", "keep_id")
-        gone = found if gone is None else gone.unionByName(found)
-        left = seen.filter("not alike").select("doc_id", "text", "component")
-    return gone if gone is not None else prints.select("doc_id", F.col("doc_id").alias("keep_id")).limit(0)
+        for batch in slices(batches, 2):
+            alike = [similar(x, y, words_per_shingle, similarity) for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    links = both.mapInArrow(compared, "a long, b long")
+    return connected_components(links).filter("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))

@@ -106,7 +106,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int =
 
     label_type = distinct.schema["label"].dataType.simpleString()
     schema = pa.schema([("label", {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[label_type]), ("width", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("x", pa.binary()), ("raw", pa.binary()), ("cell", pa.string()), ("home", pa.bool_())])
-    rows = distinct.select("label", "node", "copies", "embedding").mapInArrow(placed, f"label {label_type}, width int, node long, copies long, x binary, raw binary, cell string, home boolean")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select("label", "node", "copies", "embedding").repartition(parts, "node").mapInArrow(placed, f"label {label_type}, width int, node long, copies long, x binary, raw binary, cell string, home boolean")
 
     def compare(group: pa.Table) -> pa.Table:
         node, copies, home, tile = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies", "home", "tile"))
