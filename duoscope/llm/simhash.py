@@ -21,7 +21,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.llm.common import checkpointed, slices, utf8
@@ -41,8 +41,12 @@ def fingerprint(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
     starts = [0, *ends]
     k = min(words_per_shingle, len(words))
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :], strict=False)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+    return majority([digest(line[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :], strict=False)])
+
+
+def majority(hashes: list[bytes]) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1)
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes(), "big")
 
 
@@ -64,31 +68,24 @@ def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
     return [sum(bit << i for i, bit in enumerate(odd(v))) for v in range(1, 1 << (radius + 1))]
 
 
-def near_edges(nodes: DataFrame, radius: int = 3, tile_rows: int = 1024, pairs: bool = False) -> DataFrame:
-    """Edges (a, b) of (node, fp), distinct fingerprints: those of spanning forests of the pairs at `radius` or fewer bits.
-
-    With `pairs` each edge is such a pair itself: of each node with the first and with the nearest of those
-    that it meets in a bucket.
-    """
+def table_keys(fp: Column, radius: int, first: int = 0) -> list[Column]:
+    """(t, fp, key) of a fingerprint in each of its tables, numbered from `first`."""
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in covering_masks(radius)]
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
+    return [F.struct(F.lit(first + i).alias("t"), fp.alias("fp"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)]
+
+
+def near_edges(nodes: DataFrame, radius: int = 3, tile_rows: int = 1024) -> DataFrame:
+    """Edges (a, b) of (node, fp), distinct fingerprints: those of spanning forests of the pairs at `radius` or fewer bits."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("node", "fp").repartition(parts, "fp").select("node", "fp", F.inline(keys))
+    rows = nodes.select("node", "fp").repartition(parts, "fp").select("node", F.inline(F.array(*table_keys(F.col("fp"), radius))))
 
     def compare(group: pa.Table) -> pa.Table:
         node, fp, tile = (group.column(c).to_numpy() for c in ("node", "fp", "tile"))
         fp = fp.view(np.uint64)
-        bits = np.bitwise_count(fp[:, None] ^ fp[None, :])
-        near = bits <= radius
-        sides = allowed_pairs(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py())
-        if sides:
+        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+        if sides := allowed_pairs(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py()):
             for side in sides:
                 near[np.ix_(side, side)] = False
-        if pairs:
-            np.fill_diagonal(near, False)
-            at = np.flatnonzero(near.any(axis=1))
-            nearest = np.where(near, bits, BITS + 1)[at].argmin(axis=1)
-            return pa.table({"a": node[np.concatenate([at, at])], "b": node[np.concatenate([near[at].argmax(axis=1), nearest])]})
         root = spanning_roots(near)
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": node[at], "b": node[root[at]]})
@@ -97,6 +94,44 @@ def near_edges(nodes: DataFrame, radius: int = 3, tile_rows: int = 1024, pairs:
     return paired.groupBy("t", "key", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
+def candidates(nodes: DataFrame, radius: int, tile_rows: int, most: int) -> DataFrame:
+    """(a, b, more) of (node, f0, f1): pairs at `radius` or fewer bits in f0 or in f1; with a column `component`, pairs of two components only.
+
+    Of what a node meets in a tile come the `most` with the smallest ids and the `most` nearest; `more`
+    says that either end has met others. a > b; a pair comes from each bucket that holds it.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = table_keys(F.col("f0"), radius) + table_keys(F.col("f1"), radius, (1 << (radius + 1)) - 1)
+    own = ["component"] if "component" in nodes.columns else []
+    rows = nodes.repartition(parts, "node").select("node", *own, F.inline(F.array(*keys))).select("node", *own, "fp", F.xxhash64("t", "key").alias("bucket"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, fp, tile = (group.column(c).to_numpy() for c in ("node", "fp", "tile"))
+        component, fp = group.column("component").to_numpy() if own else node, fp.view(np.uint64)
+        bits = np.bitwise_count(fp[:, None] ^ fp[None, :])
+        near = (bits <= radius) & (component[:, None] != component[None, :])
+        if sides := allowed_pairs(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py()):
+            for side in sides:
+                near[np.ix_(side, side)] = False
+        at = np.flatnonzero(near.any(axis=1))
+        near, n = near[at], len(node)
+        chosen = near & (np.cumsum(near, axis=1, dtype=np.int32) <= most)
+        rank = np.where(near, bits[at].astype(np.int32) * n + np.arange(n, dtype=np.int32), np.int32(BITS * n + n))
+        nearest = np.argpartition(rank, min(most, n) - 1, axis=1)[:, :most] if len(at) else np.zeros((0, 0), int)
+        np.put_along_axis(chosen, nearest, True, axis=1)
+        chosen &= near
+        crowded = np.zeros(n, bool)
+        crowded[at] = near.sum(axis=1) > most
+        i, j = np.nonzero(chosen)
+        i = at[i]
+        return pa.table({"a": node[np.maximum(i, j)], "b": node[np.minimum(i, j)], "more": crowded[i] | crowded[j]})
+
+    paired = tile_pairs(rows, ["bucket"], "node", tile_rows, unlike="component" if own else None)
+    found = paired.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, seed: int = 42, tile_rows: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links), one row per document."""
     prints = checkpointed(fingerprints(docs, words_per_shingle, seed))
@@ -119,40 +154,25 @@ def shingles(text: bytes, words_per_shingle: int) -> set[bytes]:
 
 
 def word_fingerprints(docs: DataFrame, least_bytes: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id and fp over the distinct words of at least least_bytes bytes (of all words where none is so long)."""
+    """doc_id and f0, f1, two independent fingerprints over the distinct words of at least least_bytes bytes (of all words where none is so long)."""
 
-    def of(text: bytes) -> int:
+    def of(text: bytes) -> tuple[int, int]:
         words = set(text.lower().split())
         if not words:
-            return 0
+            return 0, 0
         words = {w for w in words if len(w) >= least_bytes} or words
-        bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in words]), np.uint8).reshape(-1, 8), axis=1)
-        return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes(), "big")
+        return tuple(majority([xxhash.xxh64_digest(w, seed + k) for w in words]) for k in range(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            fp = np.array([of(x) for x in utf8(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+            fp = np.array([of(x) for x in utf8(batch.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, 0]), pa.array(fp[:, 1])], ["doc_id", "f0", "f1"])
 
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f0 long, f1 long")
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 5, tile_rows: int = 1024) -> DataFrame:
-    """(doc_id, keep_id) of the documents that go: all of a group of similar ones but the smallest id.
 
-    Candidates are pairs of fingerprints of long words, which a few changed words move by a few bits
-    only, and documents of one fingerprint; a pair links if its shingles are similar. Groups are the
-    components of the links. Rows with a null id stay.
-    """
-    prints = checkpointed(word_fingerprints(docs).filter("doc_id is not null"))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    near = near_edges(nodes, radius, tile_rows, pairs=True)
-    same = prints.join(checkpointed(nodes.filter("n > 1").select("fp", "node")), "fp").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = checkpointed(near.unionByName(same).distinct())
-    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = checkpointed(texts.join(ends.hint("shuffle_hash"), "doc_id"))
+def verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have similar shingles."""
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -161,5 +181,40 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
             alike = [similar(x, y, words_per_shingle, similarity) for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    links = both.mapInArrow(compared, "a long, b long")
-    return connected_components(links).filter("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+    return both.mapInArrow(compared, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 5, tile_rows: int = 1024) -> DataFrame:
+    """(doc_id, keep_id) of the documents that go: all of a group of similar ones but the smallest id.
+
+    Candidates are pairs within the radius in one of two fingerprints of long words, which a few changed
+    words move by a few bits only; a pair links if its shingles are similar, and groups are the components
+    of the links. The first round compares documents of equal fingerprints with the first of them, and
+    these with their first and nearest. Pairs inside a component need no look, so the rounds that follow
+    compare documents of different components alone, eight times as many for each as before, until no
+    candidate is left. Rows with a null id stay.
+    """
+    prints = checkpointed(word_fingerprints(docs).filter("doc_id is not null"))
+    first = checkpointed(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    near = candidates(first.select("node", "f0", "f1"), radius, tile_rows, 1).select("a", "b")
+    same = prints.join(checkpointed(first.filter("n > 1").select("f0", "f1", "node")), ["f0", "f1"]).filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    new = tried = checkpointed(near.unionByName(same).distinct())
+    ends = checkpointed(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = checkpointed(texts.join(ends.hint("shuffle_hash"), "doc_id"))
+    active = checkpointed(prints.join(ends, "doc_id", "left_semi").distinct().withColumnRenamed("doc_id", "node"))
+    links, most = None, 1
+    while True:
+        linked = checkpointed(verified(new, texts, words_per_shingle, similarity))
+        links = linked if links is None else links.unionByName(linked)
+        components = checkpointed(connected_components(links))
+        most *= 8
+        apart = active.join(components, "node", "left").select("node", "f0", "f1", F.coalesce("component", "node").alias("component"))
+        found = checkpointed(candidates(apart, radius, tile_rows, most))
+        new = checkpointed(found.join(tried, ["a", "b"], "left_anti").select("a", "b"))
+        if new.isEmpty():
+            if found.filter("more").isEmpty():
+                break
+            continue
+        tried = tried.unionByName(new)
+    return components.filter("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from duoscope.llm.common import checkpointed
 
 
-def tile_pairs(rows: DataFrame, bucket: list[str], row_id: str, tile_rows: int) -> DataFrame:
-    """Rows of buckets of two or more, with `tile` and each pair (`lo`, `hi`) of tiles that they take part in."""
-    counts = checkpointed(rows.groupBy(*bucket).agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1"))
+def tile_pairs(rows: DataFrame, bucket: list[str], row_id: str, tile_rows: int, unlike: str | None = None) -> DataFrame:
+    """Rows of buckets of two or more, with `tile` and each pair (`lo`, `hi`) of tiles that they take part in.
+
+    unlike: a column of which a bucket must hold two values or more.
+    """
+    counts = rows.groupBy(*bucket).agg(F.count("*").alias("in_bucket"), *([F.min(unlike).alias("least"), F.max(unlike).alias("most")] if unlike else []))
+    counts = checkpointed(counts.filter("least < most" if unlike else "in_bucket > 1").select(*bucket, "in_bucket"))
     tiles = F.ceil(F.col("in_bucket") / tile_rows).cast("int")
     return (
         rows.join(counts, bucket)

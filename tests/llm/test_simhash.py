@@ -70,3 +70,37 @@ def test_a_large_bucket_is_cut_into_tiles_and_chains_are_followed(spark):
     for tile_rows in (4, 1000):
         found = connected_components(simhash.near_edges(nodes, 3, tile_rows)).collect()
         assert {r.component for r in found} == {0} and len(found) == 600
+
+
+def test_similar_documents_lose_no_candidate(spark, sf):
+    """Against all pairs; many texts have the same words in other orders, so that most candidates fail and few link."""
+    rnd = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    words = [f"word{i}" for i in range(60)]
+    for group in range(12):  # of three texts in an order of their own, behind each other in id only by chance
+        own = rnd.sample(words, 60)
+        for k in range(3):
+            text = own if not k else [*own[:20], *(["a"] if k == 1 else ["b", "c"]), *own[20:]]
+            rows.append((rnd.randrange(10**6, 10**7), " ".join(text)))
+    rows += [(10**8 + i, " ".join([*words[:55], f"extra{i}", f"other{i}"])) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (10**9, None), (10**9 + 1, " ")], "doc_id long, text string")
+    prints = {r.doc_id: (r.f0, r.f1) for r in simhash.word_fingerprints(docs).collect() if r.doc_id is not None}
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect() if r.doc_id is not None}
+    parent = {i: i for i in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(prints, 2):
+        near = any(((x ^ y) & (1 << 64) - 1).bit_count() <= 5 for x, y in zip(prints[a], prints[b], strict=True))
+        if near and simhash.similar(text[a], text[b], 5, 0.8):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    want = {(i, find(i)) for i in parent if find(i) != i}
+    assert len(want) > 60
+    for tile_rows in (16, 1024):
+        got = [tuple(r) for r in simhash.similar_documents(docs, tile_rows=tile_rows).collect()]
+        assert sorted(got) == sorted(want)
+    assert simhash.similar_documents(docs.limit(0)).collect() == []
