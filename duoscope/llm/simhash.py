@@ -198,23 +198,22 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
     first = checkpointed(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
     near = candidates(first.select("node", "f0", "f1"), radius, tile_rows, 1).select("a", "b")
     same = prints.join(checkpointed(first.filter("n > 1").select("f0", "f1", "node")), ["f0", "f1"]).filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    new = tried = checkpointed(near.unionByName(same).distinct())
+    tried = checkpointed(near.unionByName(same).distinct())
     ends = checkpointed(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = checkpointed(texts.join(ends.hint("shuffle_hash"), "doc_id"))
     active = checkpointed(prints.join(ends, "doc_id", "left_semi").distinct().withColumnRenamed("doc_id", "node"))
-    links, most = None, 1
-    while True:
-        linked = checkpointed(verified(new, texts, words_per_shingle, similarity))
-        links = linked if links is None else links.unionByName(linked)
-        components = checkpointed(connected_components(links))
+    links = checkpointed(verified(tried, texts, words_per_shingle, similarity))
+    components = checkpointed(connected_components(links))
+    more, most = True, 1
+    while more:
         most *= 8
         apart = active.join(components, "node", "left").select("node", "f0", "f1", F.coalesce("component", "node").alias("component"))
         found = checkpointed(candidates(apart, radius, tile_rows, most))
         new = checkpointed(found.join(tried, ["a", "b"], "left_anti").select("a", "b"))
-        if new.isEmpty():
-            if found.filter("more").isEmpty():
-                break
-            continue
-        tried = tried.unionByName(new)
+        linked = checkpointed(verified(new, texts, words_per_shingle, similarity))
+        if not linked.isEmpty():
+            links = links.unionByName(linked)
+            components = checkpointed(connected_components(links))
+        tried, more = tried.unionByName(new), not found.filter("more").isEmpty()
     return components.filter("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
