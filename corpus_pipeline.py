@@ -32,7 +32,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts with a similarity of 0.8 or more by five-word shingles, the one with the smallest id."""
-    gone = simhash.similar_documents(docs).select(F.col("doc_id").alias("gone"))
+    gone = simhash.all_similar_documents(docs).select(F.col("doc_id").alias("gone"))
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("gone"), "left_anti")
 
 

@@ -15,6 +15,7 @@ as often as they occur; an empty table gives no rows; further columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,6 +30,7 @@ from duoscope.llm.components import connected_components
 from duoscope.llm.tiles import allowed_pairs, spanning_roots, tile_pairs
 
 BITS = 64
+PARITIES = 512
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -217,3 +219,154 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
             components = checkpointed(connected_components(links))
         tried, more = tried.unionByName(new), not found.filter("more").isEmpty()
     return components.filter("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+
+
+def shingle_hashes(text: bytes, words_per_shingle: int, seed: int = 42) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles."""
+    found = [xxhash.xxh64_intdigest(x, seed) for x in shingles(text, words_per_shingle)]
+    return np.unique(np.array(found, np.uint64))
+
+
+def common_shingles(docs: DataFrame, words_per_shingle: int, sample_docs: int, most: int) -> np.ndarray:
+    """Hashes of shingles that several documents of a sample hold, rarest first; at most `most`."""
+    count = docs.count()
+    chosen = docs if count <= sample_docs else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * sample_docs / count) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            found = [shingle_hashes(x, words_per_shingle) for x in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+    held = chosen.select(F.col("text").cast("string")).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    top = held.orderBy(F.desc("n"), "shingle").limit(most).toArrow().column("shingle").to_numpy()
+    return top[::-1].astype(np.int64).view(np.uint64)
+
+
+def shingle_profiles(docs: DataFrame, similarity: float, words_per_shingle: int, common: np.ndarray) -> DataFrame:
+    """node, n (shingles), bits (parities of their hashes in PARITIES places), keys: the first n - similarity * n + 1 hashes.
+
+    Hashes are in one order for all documents, common ones last, so that two sets of the similarity or
+    more have a key in common, whatever `common` holds. Two parities differ in no more places than the
+    sets differ in shingles. Texts without words share a key of their own.
+    """
+    order = np.argsort(common)
+    listed = common[order]
+
+    def of(text: bytes) -> tuple[int, list[int], list[int]]:
+        x = shingle_hashes(text, words_per_shingle)
+        if not len(x):
+            return 0, [0] * (PARITIES // 64), [0]
+        rank = np.zeros(len(x), np.int64)
+        if len(listed):
+            i = np.minimum(np.searchsorted(listed, x), len(listed) - 1)
+            rank = np.where(listed[i] == x, order[i] + 1, 0)
+        odd = np.bincount((x & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+        first = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1
+        return len(x), np.packbits(odd.astype(bool)).view(np.int64).tolist(), x[np.lexsort((x, rank))[:first]].view(np.int64).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            n, bits, keys = zip(*map(of, utf8(batch.column(1))), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "bits", "keys"])
+
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
+    return given.mapInArrow(run, "node long, n long, bits array<long>, keys array<long>")
+
+
+def shingle_candidates(rows: DataFrame, similarity: float, tile_rows: int, most: int) -> DataFrame:
+    """(a, b, more) of (bucket, node, n, bits, component): pairs of a bucket and of two components that may be similar by n and bits.
+
+    Of what a node meets in a tile come the `most` with the smallest ids and the `most` nearest by bits;
+    `more` says that either end has met others. a > b.
+    """
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, size, component, tile = (group.column(c).to_numpy() for c in ("node", "n", "component", "tile"))
+        bits = np.array(group.column("bits").to_pylist(), np.int64).view(np.uint64)
+        two = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+        n, pairs = len(node), []
+        crowded, at = np.zeros(n, bool), np.arange(n)
+        for start in range(0, n, 256):
+            part = slice(start, min(n, start + 256))
+            apart = sum(np.bitwise_count(bits[part, None, k] ^ bits[None, :, k]).astype(np.int32) for k in range(bits.shape[1]))
+            near = apart <= (1 - similarity) / (1 + similarity) * (size[part, None] + size[None, :]) + 1e-6
+            near &= np.minimum(size[part, None], size) >= similarity * np.maximum(size[part, None], size) - 1e-6
+            near &= component[part, None] != component
+            if two:
+                near &= tile[part, None] != tile
+            some = np.flatnonzero(near.any(axis=1))
+            near, apart = near[some], apart[some]
+            chosen = near & (np.cumsum(near, axis=1, dtype=np.int32) <= most)
+            if len(some):
+                rank = np.where(near, apart.astype(np.int64) * n + at, np.int64(1) << 60)
+                np.put_along_axis(chosen, np.argpartition(rank, min(most, n) - 1, axis=1)[:, :most], True, axis=1)
+            chosen &= near
+            crowded[some + start] = near.sum(axis=1) > most
+            i, j = np.nonzero(chosen)
+            pairs.append((some[i] + start, j))
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        pair, where = np.unique(np.maximum(i, j) * n + np.minimum(i, j), return_index=True)
+        return pa.table({"a": node[pair // n], "b": node[pair % n], "more": (crowded[i] | crowded[j])[where]})
+
+    paired = tile_pairs(rows, ["bucket"], "node", tile_rows, unlike="component")
+    found = paired.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def pairs_of_few(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, more) as shingle_candidates() returns, all pairs, for buckets of a few rows."""
+    side = lambda x: rows.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "bits", "component")])
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    alike = (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6)
+    both = side("a").join(side("b"), "bucket").filter("a_node > b_node and a_component != b_component").filter(alike)
+    return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.lit(False).alias("more")).distinct()
+
+
+def all_similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 5, tile_rows: int = 1024, sample_docs: int = 20_000, most_common: int = 20_000, few: int = 8) -> DataFrame:
+    """(doc_id, keep_id) of the documents that go: all of a group of similar ones but the smallest id.
+
+    Groups are the components of all pairs whose shingles are similar. Covering SimHash comes first: a
+    spanning forest of the pairs within the radius in a fingerprint of long words, and documents of equal
+    fingerprints with the first of them, which joins most copies at little cost. An exact prefix filter on
+    the shingles then finds all other pairs, those of shingles that at most `few` documents have as a key
+at once. Pairs inside a component need no look, so the rounds for the others
+    compare documents of different components alone, the first and nearest of each, eight times as many
+    as in the round before, until no candidate is left. The sample only orders the shingles, and no
+    result depends on it. Rows with a null id stay.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        return checkpointed(verified(pairs, checkpointed(texts.join(ends.hint("shuffle_hash"), "doc_id")), words_per_shingle, similarity))
+
+    prints = checkpointed(word_fingerprints(texts))
+    first = checkpointed(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    near = near_edges(first.select("node", F.col("f0").alias("fp")), radius, tile_rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    same = prints.join(checkpointed(first.filter("n > 1").select("f0", "f1", "node")), ["f0", "f1"]).filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    tried = checkpointed(near.unionByName(same).distinct())
+    links = linked(tried)
+    components = checkpointed(connected_components(links))
+
+    profiles = checkpointed(shingle_profiles(texts, similarity, words_per_shingle, common_shingles(texts, words_per_shingle, sample_docs, most_common)))
+    keyed = profiles.select("node", F.explode("keys").alias("bucket"))
+    shared = checkpointed(keyed.join(keyed.groupBy("bucket").count().filter("count > 1"), "bucket"))
+    many = shared.filter(F.col("count") > few).select("bucket", "node")
+    more, most = True, 1
+    while more:
+        most *= 8
+        apart = profiles.select("node", "n", "bits").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = many.join(apart.select("node", "component"), "node")
+        mixed = mixed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
+        rows = checkpointed(many.join(checkpointed(mixed), "bucket").join(apart, "node"))
+        found = shingle_candidates(rows, similarity, tile_rows, most)
+        if most == 8:
+            found = found.unionByName(pairs_of_few(checkpointed(shared.filter(F.col("count") <= few).join(apart, "node")), similarity)).groupBy("a", "b").agg(F.max("more").alias("more"))
+        found = checkpointed(found)
+        new = checkpointed(found.join(tried, ["a", "b"], "left_anti").select("a", "b"))
+        if not new.isEmpty():
+            links = links.unionByName(linked(new))
+            components = checkpointed(connected_components(links))
+        tried, more = tried.unionByName(new), not found.filter("more").isEmpty()
+    return components.filter("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))

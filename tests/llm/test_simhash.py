@@ -104,3 +104,65 @@ def test_similar_documents_lose_no_candidate(spark, sf):
         got = [tuple(r) for r in simhash.similar_documents(docs, tile_rows=tile_rows).collect()]
         assert sorted(got) == sorted(want)
     assert simhash.similar_documents(docs.limit(0)).collect() == []
+
+
+def edited_pairs(rnd, words, long, edits, n=150):
+    """Pairs of a text and a copy with some of its long words (of any words where none is long) changed, at a similarity of 0.8 or more."""
+    letters = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    out = []
+    while len(out) < n:
+        text = [letters(9) if i < long * words else letters(rnd.randint(2, 4)) for i in range(words)]
+        rnd.shuffle(text)
+        copy, at = list(text), [i for i, w in enumerate(text) if len(w) > 4] or list(range(words))
+        for i in rnd.sample(at, edits):
+            copy[i] = letters(len(copy[i]))
+        pair = " ".join(text), " ".join(copy)
+        if simhash.similar(*(x.encode() for x in pair), 5, 0.8):
+            out.append(pair)
+    return out
+
+
+def test_all_similar_documents_finds_all_pairs_whatever_the_words(spark):
+    rnd = random.Random(9)
+    shapes = [(50, 0.5, 1), (100, 0.5, 2), (100, 0.1, 1), (200, 0.1, 3), (1000, 0.1, 16), (100, 0.0, 2)]
+    rows, expected, found = [], {}, {}
+    for shape in shapes:
+        for a, b in edited_pairs(rnd, *shape):
+            expected[len(rows) + 1] = (len(rows), shape)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.keep_id for r in simhash.all_similar_documents(docs, tile_rows=64, sample_docs=300).collect()}
+    for i, (keep, shape) in expected.items():
+        found[shape] = found.get(shape, 0) + (got.get(i) == keep)
+    assert found == dict.fromkeys(shapes, 150)
+    assert len(got) == len(expected)
+
+
+def test_all_similar_documents_against_all_pairs_with_a_common_passage(spark):
+    rnd = random.Random(10)
+    passage = [f"of{i % 7} to{i}" for i in range(30)]
+    rows = []
+    for i in range(40):
+        own = [rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(rnd.choice([6, 40, 90]))]
+        for _ in range(4):
+            text = list(own)
+            for _ in range(rnd.randint(0, 3)):
+                text[rnd.randrange(len(text))] = str(rnd.randint(0, 999))
+            rows.append((len(rows), " ".join([*passage, *text] if i % 2 else text)))
+    rows += [(len(rows) + k, x) for k, x in enumerate(["", " ", None, "a b", "A  b", "a b c"])]
+    text = {i: (t or "").encode() for i, t in rows}
+    parent = {i: i for i in text}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(text, 2):
+        if simhash.similar(text[a], text[b], 5, 0.8):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile_rows, sample_docs in ((8, 20), (1024, 1000)):
+        got = sorted(tuple(r) for r in simhash.all_similar_documents(docs, tile_rows=tile_rows, sample_docs=sample_docs).collect())
+        assert got == sorted((i, find(i)) for i in parent if find(i) != i)
