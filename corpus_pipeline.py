@@ -37,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say, with sources tempered by a power of 0.7 and no source asked for more than it has."""
+    """Documents as often as their rates say, with sources tempered by a power of 0.7 to the same token total."""
     drawn = mixing.mixed(docs).groupBy(F.col("doc_id").alias("drawn")).agg(F.max("copies").alias("copies")).filter("copies > 0")
     kept = docs.join(drawn.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("drawn")))
     return kept.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
