@@ -5,7 +5,8 @@ A line's key is the line without ASCII white space at its ends, A-Z in lower cas
 `counts`, the number of documents and the best id by key; and `filters`, one cuckoo filter (Fan et al.,
 2014) for each shard of the keys. An insertion asks the filters first: keys that no filter knows are
 new and are added to the filters and the counts without a look at the old counts; only the others are
-merged with them. A deletion takes a document's rows out of refs, counts the affected keys anew and
+merged with them, and those that the counts then don't have are added to the filters as well, so that
+every key in the counts has a mark of its own. A deletion takes a document's rows out of refs, counts the affected keys anew and
 takes those that nobody holds any more out of the filters, so inserting and deleting a document leaves
 the exact tables as they were. Filters only save work: results come from the exact tables.
 
@@ -170,7 +171,22 @@ class LineStore:
         again = again.groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
         counts = checkpointed(self.counts.join(maybe, "key", "left_anti").select("shard", "key", "n_docs", "keep_id").unionByName(new).unionByName(again))
         filters = probed.filter("key is null and filter is not null").select("shard", "keys", "filter")
-        outgrown = checkpointed(probed.filter("key is null and filter is null").select("shard"))
+        false = checkpointed(fresh.join(maybe, "key", "left_semi").join(self.counts, "key", "left_anti").select("shard", "key"))
+        outgrown = probed.filter("key is null and filter is null").select("shard")
+        if not false.isEmpty():
+
+            def mark(old: pa.Table, false: pa.Table) -> pa.Table:
+                if not old.num_rows or not false.num_rows:  # without a filter: outgrown, and built anew from the counts
+                    return old
+                held, keys = CuckooFilter.load(old.column("filter")[0].as_py()), false.column("key").to_pylist()
+                size = old.column("keys")[0].as_py() + len(keys)
+                full = size > 0.85 * held.buckets * held.SLOTS or not held.insert(keys)
+                return pa.table({"shard": old.column("shard"), "keys": pa.array([size], pa.int64()), "filter": pa.array([None if full else held.dump()], pa.binary())})
+
+            marked = checkpointed(filters.groupBy("shard").cogroup(false.groupBy("shard")).applyInArrow(mark, "shard int, keys long, filter binary"))
+            filters = marked.filter("filter is not null")
+            outgrown = outgrown.unionByName(marked.filter("filter is null").select("shard"))
+        outgrown = checkpointed(outgrown)
         if not outgrown.isEmpty():
             filters = filters.unionByName(self._filters(counts.join(outgrown, "shard", "left_semi")))
         return LineStore(self.refs.unionByName(added), counts, checkpointed(filters), self.shards, self.least_chars)
