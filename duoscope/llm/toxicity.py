@@ -12,7 +12,7 @@ evidence is the sum of -log p over its significant segments, and two logistic co
 into a score from 0 to 1.
 
 Fitting uses at most `train_rows` labelled rows, those with the smallest hashes of their ids, one for
-each opening of `opening` characters, since a text copied a hundred times should not vote a hundred
+each text but for case and white space, since a text copied a hundred times should not vote a hundred
 times. Defined cases: null counts as empty; empty texts have no evidence; rows with a null id are
 scored as training rows; labels that are null or contradict each other count as toxic if any is 1;
 without labels of both kinds every score is the share of toxic rows, or 0; repeated rows and further
@@ -109,13 +109,14 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
     return [(first, end, after - before) for first, end, before, after in stack]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, train_rows: int, opening: int) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, train_rows: int) -> DataFrame:
     """(text, toxic): at most train_rows labelled documents whose id isn't held out."""
     labelled = labels.filter(remainder("doc_id", modulus) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id")
-    return checkpointed(found.groupBy(F.xxhash64(F.substring("text", 1, opening)).alias("family"), "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"))
+    whole = F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256)
+    return checkpointed(found.groupBy(whole.alias("whole"), "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -132,9 +133,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, train_rows: int = 20_000, opening: int = 48, prior: float = 2.0, least_docs: int = 3, least_odds: float = 2.0, least_z: float = 2.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, train_rows: int = 20_000, prior: float = 2.0, least_docs: int = 3, least_odds: float = 2.0, least_z: float = 2.5) -> Model:
     """prior: documents that a term's prior counts for; least_*: what a term must show to enter the model."""
-    rows = training_rows(docs, labels, modulus, train_rows, opening)
+    rows = training_rows(docs, labels, modulus, train_rows)
     n = {r.toxic: r.n for r in rows.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     model = Model()

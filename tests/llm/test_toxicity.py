@@ -55,3 +55,18 @@ def test_edge_cases(spark):
     none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.score(docs.limit(0), model).collect() == []
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+
+
+def test_labelled_documents_with_a_common_header_all_count(spark):
+    header = "Licensed under the terms of a page header, v1.00"
+    assert len(header) == 48
+    rows = [(i, f"{header} " + ("you grobnik there " if i % 4 == 0 else "fine words here ") + f"w{i} v{i * 7}") for i in range(80)]
+    rows += [(1000 + i, f"{header.upper()}  you grobnik   there W0 v0") for i in range(40)]  # of one text, and one vote
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0 or i >= 1000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.token("grobnik") > 0
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == int(i % 4 == 0 or i >= 1000) for i, _ in rows)
+    used = toxicity.training_rows(docs, labels, 5, 20_000).collect()
+    assert len([r for r in used if "w0 " in r.text.lower()]) == 1
