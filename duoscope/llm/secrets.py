@@ -138,7 +138,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, model: list[float], least_run: int = 20, least_ratio: float = 12.0, least_mean: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, model: list[float], least_run: int = 12, least_ratio: float = 12.0, least_mean: float = 0.5) -> DataFrame:
     """doc_id, base (array of spans of the fixed patterns), added (spans of the model), text; one row per document."""
     spans = base_spans(F.col("text"))
     found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

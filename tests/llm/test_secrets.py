@@ -75,3 +75,15 @@ def test_only_column_expressions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = secrets.digests(secrets.scan(docs, [0.0] * 6400))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_random_keys_are_scored(spark):
+    rnd = random.Random(12)
+    noise = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    words = ["window", "handler", "request", "context", "average", "document"]
+    name = lambda: "_".join(rnd.choice(words) for _ in range(2))
+    train = spark.createDataFrame([(i, f"token={noise(30)} {name()} {name()} plain words of ordinary length") for i in range(300)], "doc_id long, text string")
+    rows = [(i, f"see {noise(12 + i % 8)} in place") for i in range(160)] + [(1000 + i, f"call {name()} again") for i in range(100)]
+    got = secrets.digests(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.fit(train))).collect()
+    assert sum(r.spans == f"markov:4:{16 + r.doc_id % 8}" for r in got if r.doc_id < 1000) >= 140
+    assert not any(r.spans for r in got if r.doc_id >= 1000)
