@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -19,11 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; on one machine, where it may be unset, a temporary folder."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", "")
+    if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder; later jobs survive the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -55,3 +67,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8; null counts as empty."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+
+
+def digests(texts: pa.Array) -> pa.Array:
+    """MD5 of each text with A-Z in lower case; null counts as empty."""
+    return pa.array([hashlib.md5(x).digest() for x in utf8(pc.ascii_lower(texts))], pa.binary())
+
+
+def digest(text: Column) -> Column:
+    """digests() as a column."""
+
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return digests(texts)
+
+    return of(text)

@@ -37,7 +37,7 @@ def content_hashes(docs: DataFrame, hash_bytes: int = 16, with_text: bool = Fals
 
 
 def exact_duplicates(docs: DataFrame, keep: str = "max", hash_bytes: int = 16) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, digest (the content hash).
 
     keep: "max" or "min", which id of a group stays. hash_bytes: 16 but in tests of collisions.
     """
@@ -56,7 +56,7 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", hash_bytes: int = 16) -
         exact = texts.join(differs, "h", "left_semi").select("doc_id", "h", F.sha2(fold_case(F.col("text")), 256).alias("text_sha256"), fold_case(F.col("text")).alias("text"))
         regrouped = exact.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         again = exact.join(regrouped, ["h", "text"])
-        columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+        columns = ["doc_id", "keep_id", "group_size", "text_sha256", "h"]
         found = found.join(differs, "h", "left_anti").select(columns).unionByName(again.select(columns))
     return found.select(
         "doc_id",
@@ -64,4 +64,5 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", hash_bytes: int = 16) -
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"),
         "text_sha256",
+        F.col("h").alias("digest"),
     )

@@ -26,7 +26,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import checkpointed, slices, utf8
+from duoscope.llm.common import checkpointed, digests, slices, utf8
 from duoscope.llm.components import connected_components
-from duoscope.llm.tiles import allowed_pairs, spanning_roots, tile_pairs
+from duoscope.llm.tiles import sides, spanning_roots, tile_pairs
 
 BITS = 64
-PARITIES = 512
+PARITIES = 2048
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -76,62 +76,30 @@ def table_keys(fp: Column, radius: int, first: int = 0) -> list[Column]:
     return [F.struct(F.lit(first + i).alias("t"), fp.alias("fp"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)]
 
 
-def near_edges(nodes: DataFrame, radius: int = 3, tile_rows: int = 1024) -> DataFrame:
-    """Edges (a, b) of (node, fp), distinct fingerprints: those of spanning forests of the pairs at `radius` or fewer bits."""
+def near_edges(nodes: DataFrame, radius: int = 3, tile_rows: int = 1024, few: int = 8) -> DataFrame:
+    """Edges (a, b) of (node, fp), distinct fingerprints: those of forests that join what all pairs at `radius` or fewer bits would join.
+
+    Buckets of at most `few` rows give their pairs by a join, larger ones are compared in tiles.
+    """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select("node", "fp").repartition(parts, "fp").select("node", F.inline(F.array(*table_keys(F.col("fp"), radius))))
+    counts = checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1"))
 
     def compare(group: pa.Table) -> pa.Table:
         node, fp, tile = (group.column(c).to_numpy() for c in ("node", "fp", "tile"))
+        x, y = sides(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py())
         fp = fp.view(np.uint64)
-        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-        if sides := allowed_pairs(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py()):
-            for side in sides:
-                near[np.ix_(side, side)] = False
-        root = spanning_roots(near)
+        i, j = np.nonzero(np.bitwise_count(fp[x, None] ^ fp[None, y]) <= radius)
+        root = spanning_roots(len(node), x[i], y[j])
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": node[at], "b": node[root[at]]})
 
-    paired = tile_pairs(rows, ["t", "key"], "fp", tile_rows)
-    return paired.groupBy("t", "key", "lo", "hi").applyInArrow(compare, "a long, b long")
-
-
-def candidates(nodes: DataFrame, radius: int, tile_rows: int, most: int) -> DataFrame:
-    """(a, b, more) of (node, f0, f1): pairs at `radius` or fewer bits in f0 or in f1; with a column `component`, pairs of two components only.
-
-    Of what a node meets in a tile come the `most` with the smallest ids and the `most` nearest; `more`
-    says that either end has met others. a > b; a pair comes from each bucket that holds it.
-    """
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = table_keys(F.col("f0"), radius) + table_keys(F.col("f1"), radius, (1 << (radius + 1)) - 1)
-    own = ["component"] if "component" in nodes.columns else []
-    rows = nodes.repartition(parts, "node").select("node", *own, F.inline(F.array(*keys))).select("node", *own, "fp", F.xxhash64("t", "key").alias("bucket"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        node, fp, tile = (group.column(c).to_numpy() for c in ("node", "fp", "tile"))
-        component, fp = group.column("component").to_numpy() if own else node, fp.view(np.uint64)
-        bits = np.bitwise_count(fp[:, None] ^ fp[None, :])
-        near = (bits <= radius) & (component[:, None] != component[None, :])
-        if sides := allowed_pairs(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py()):
-            for side in sides:
-                near[np.ix_(side, side)] = False
-        at = np.flatnonzero(near.any(axis=1))
-        near, n = near[at], len(node)
-        chosen = near & (np.cumsum(near, axis=1, dtype=np.int32) <= most)
-        rank = np.where(near, bits[at].astype(np.int32) * n + np.arange(n, dtype=np.int32), np.int32(BITS * n + n))
-        nearest = np.argpartition(rank, min(most, n) - 1, axis=1)[:, :most] if len(at) else np.zeros((0, 0), int)
-        np.put_along_axis(chosen, nearest, True, axis=1)
-        chosen &= near
-        crowded = np.zeros(n, bool)
-        crowded[at] = near.sum(axis=1) > most
-        i, j = np.nonzero(chosen)
-        i = at[i]
-        return pa.table({"a": node[np.maximum(i, j)], "b": node[np.minimum(i, j)], "more": crowded[i] | crowded[j]})
-
-    paired = tile_pairs(rows, ["bucket"], "node", tile_rows, unlike="component" if own else None)
-    found = paired.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    small = checkpointed(rows.join(counts.filter(f"in_bucket <= {few}"), ["t", "key"]).select("t", "key", "node", "fp"))
+    other = small.select("t", "key", F.col("node").alias("b"), F.col("fp").alias("b_fp"))
+    pairs = small.join(other, ["t", "key"]).filter("node > b").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp"))) <= radius)
+    large = tile_pairs(rows, ["t", "key"], "fp", tile_rows, counts.filter(f"in_bucket > {few}").withColumn("sizes", F.lit(0)))
+    tiled = large.groupBy("t", "key", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return pairs.select(F.col("node").alias("a"), "b").unionByName(tiled)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, seed: int = 42, tile_rows: int = 1024) -> DataFrame:
@@ -144,229 +112,235 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), of_null.alias("component_id"))
 
 
-def similar(a: bytes, b: bytes, words_per_shingle: int, similarity: float) -> bool:
-    """Whether the sets of shingles have at least that Jaccard similarity; two texts without words are alike."""
-    x, y = (shingles(t, words_per_shingle) for t in (a, b))
-    return len(x & y) >= similarity * len(x | y)
-
-
-def shingles(text: bytes, words_per_shingle: int) -> set[bytes]:
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words and their lengths in bytes."""
     words = text.lower().split()
-    return {b" ".join(words[i : i + words_per_shingle]) for i in range(max(1, len(words) - words_per_shingle + 1))} if words else set()
-
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64), np.fromiter(map(len, words), np.int64, len(words))
 
-def word_fingerprints(docs: DataFrame, least_bytes: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id and f0, f1, two independent fingerprints over the distinct words of at least least_bytes bytes (of all words where none is so long)."""
-
-    def of(text: bytes) -> tuple[int, int]:
-        words = set(text.lower().split())
-        if not words:
-            return 0, 0
-        words = {w for w in words if len(w) >= least_bytes} or words
-        return tuple(majority([xxhash.xxh64_digest(w, seed + k) for w in words]) for k in range(2))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            fp = np.array([of(x) for x in utf8(batch.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, 0]), pa.array(fp[:, 1])], ["doc_id", "f0", "f1"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f0 long, f1 long")
 
+def shingle_hashes(words: np.ndarray, words_per_shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles of a row of words, ascending; of all words where they are fewer; none without words."""
+    k = min(words_per_shingle, len(words))
+    found = np.zeros(len(words) - k + 1 if k else 0, np.uint64)
+    for i in range(k):
+        found = (found + words[i : i + len(found)]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(32)
+    return np.unique(found)
 
-def verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have similar shingles."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            alike = [similar(x, y, words_per_shingle, similarity) for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+def word_fingerprint(words: np.ndarray, lengths: np.ndarray, least_bytes: int = 5) -> int:
+    """Of the distinct words of at least least_bytes bytes (of all words where none is so long): a few edits move a few bits."""
+    if not len(words):
+        return 0
+    long = words[lengths >= least_bytes]
+    return majority([np.unique(long if len(long) else words).astype(">u8").tobytes()])
 
-    return both.mapInArrow(compared, "a long, b long")
 
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending sets of hashes have at least that Jaccard similarity; two empty ones do."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    if not len(x):
+        return True
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return both >= similarity * (len(x) + len(y) - both)
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 5, tile_rows: int = 1024) -> DataFrame:
-    """(doc_id, keep_id) of the documents that go: all of a group of similar ones but the smallest id.
 
-    Candidates are pairs within the radius in one of two fingerprints of long words, which a few changed
-    words move by a few bits only; a pair links if its shingles are similar, and groups are the components
-    of the links. The first round compares documents of equal fingerprints with the first of them, and
-    these with their first and nearest. Pairs inside a component need no look, so the rounds that follow
-    compare documents of different components alone, eight times as many for each as before, until no
-    candidate is left. Rows with a null id stay.
-    """
-    prints = checkpointed(word_fingerprints(docs).filter("doc_id is not null"))
-    first = checkpointed(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    near = candidates(first.select("node", "f0", "f1"), radius, tile_rows, 1).select("a", "b")
-    same = prints.join(checkpointed(first.filter("n > 1").select("f0", "f1", "node")), ["f0", "f1"]).filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    tried = checkpointed(near.unionByName(same).distinct())
-    ends = checkpointed(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = checkpointed(texts.join(ends.hint("shuffle_hash"), "doc_id"))
-    active = checkpointed(prints.join(ends, "doc_id", "left_semi").distinct().withColumnRenamed("doc_id", "node"))
-    links = checkpointed(verified(tried, texts, words_per_shingle, similarity))
-    components = checkpointed(connected_components(links))
-    more, most = True, 1
-    while more:
-        most *= 8
-        apart = active.join(components, "node", "left").select("node", "f0", "f1", F.coalesce("component", "node").alias("component"))
-        found = checkpointed(candidates(apart, radius, tile_rows, most))
-        new = checkpointed(found.join(tried, ["a", "b"], "left_anti").select("a", "b"))
-        linked = checkpointed(verified(new, texts, words_per_shingle, similarity))
-        if not linked.isEmpty():
-            links = links.unionByName(linked)
-            components = checkpointed(connected_components(links))
-        tried, more = tried.unionByName(new), not found.filter("more").isEmpty()
-    return components.filter("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
-
-
-def shingle_hashes(text: bytes, words_per_shingle: int, seed: int = 42) -> np.ndarray:
-    """The distinct 64-bit hashes of the shingles."""
-    found = [xxhash.xxh64_intdigest(x, seed) for x in shingles(text, words_per_shingle)]
-    return np.unique(np.array(found, np.uint64))
-
-
-def common_shingles(docs: DataFrame, words_per_shingle: int, sample_docs: int, most: int) -> np.ndarray:
+def common_shingles(texts: DataFrame, words_per_shingle: int, sample_docs: int, most: int) -> np.ndarray:
     """Hashes of shingles that several documents of a sample hold, rarest first; at most `most`."""
-    count = docs.count()
-    chosen = docs if count <= sample_docs else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * sample_docs / count) + 1)
+    count = texts.count()
+    chosen = texts if count <= sample_docs else texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * sample_docs / count) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            found = [shingle_hashes(x, words_per_shingle) for x in utf8(batch.column(0))]
+            found = [shingle_hashes(word_hashes(x)[0], words_per_shingle) for x in utf8(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
 
-    held = chosen.select(F.col("text").cast("string")).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    held = chosen.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
     top = held.orderBy(F.desc("n"), "shingle").limit(most).toArrow().column("shingle").to_numpy()
     return top[::-1].astype(np.int64).view(np.uint64)
 
 
-def shingle_profiles(docs: DataFrame, similarity: float, words_per_shingle: int, common: np.ndarray) -> DataFrame:
-    """node, n (shingles), bits (parities of their hashes in PARITIES places), keys: the first n - similarity * n + 1 hashes.
+def profiles(texts: DataFrame, similarity: float, words_per_shingle: int, common: np.ndarray) -> DataFrame:
+    """node (a number of the row), doc_id, digest, fp, n (shingles), bits (parities of their hashes in PARITIES places), keys.
 
-    Hashes are in one order for all documents, common ones last, so that two sets of the similarity or
-    more have a key in common, whatever `common` holds. Two parities differ in no more places than the
-    sets differ in shingles. Texts without words share a key of their own.
+    keys: the first n - similarity * n + 1 hashes in an order that is the same for all documents, common
+    ones last, so that two sets of the similarity or more have a key in common, whatever `common` holds.
+    Two parities differ in no more places than the sets differ in shingles. Texts without words share a
+    key of their own.
     """
     order = np.argsort(common)
     listed = common[order]
 
-    def of(text: bytes) -> tuple[int, list[int], list[int]]:
-        x = shingle_hashes(text, words_per_shingle)
+    def of(text: bytes) -> tuple[int, int, list[int], list[int]]:
+        words, lengths = word_hashes(text)
+        x = shingle_hashes(words, words_per_shingle)
         if not len(x):
-            return 0, [0] * (PARITIES // 64), [0]
+            return 0, 0, [0] * (PARITIES // 64), [0]
         rank = np.zeros(len(x), np.int64)
         if len(listed):
             i = np.minimum(np.searchsorted(listed, x), len(listed) - 1)
             rank = np.where(listed[i] == x, order[i] + 1, 0)
         odd = np.bincount((x & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
         first = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1
-        return len(x), np.packbits(odd.astype(bool)).view(np.int64).tolist(), x[np.lexsort((x, rank))[:first]].view(np.int64).tolist()
+        return word_fingerprint(words, lengths), len(x), np.packbits(odd.astype(bool)).view(np.int64).tolist(), x[np.lexsort((x, rank))[:first]].view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            n, bits, keys = zip(*map(of, utf8(batch.column(1))), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "bits", "keys"])
+        for batch in slices(batches, 1, 1 << 19):
+            fp, n, bits, keys = zip(*map(of, utf8(batch.column(1))), strict=True)
+            columns = [batch.column(0), digests(batch.column(1)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", "n", "bits", "keys"])
+
+    return texts.mapInArrow(run, "doc_id long, digest binary, fp long, n long, bits array<long>, keys array<long>").withColumn("node", F.monotonically_increasing_id())
+
+
+def may_be_alike(similarity: float) -> Column:
+    """Whether two sets can be so similar, by their sizes (a_n, b_n) and parities (a_bits, b_bits)."""
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6
+    return sizes & (apart <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6)
+
+
+def near_in_tile(group: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of a pair of tiles that may be alike and are of two components, nearest first, in blocks."""
+    size, component, tile = (group.column(c).to_numpy() for c in ("n", "component", "tile"))
+    bits = np.stack(group.column("bits").to_numpy(zero_copy_only=False)).view(np.uint64)
+    rows, others = sides(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py())
+    for start in range(0, len(rows), 128):
+        x = rows[start : start + 128]
+        apart = sum(np.bitwise_count(bits[x, None, k] ^ bits[None, others, k]).astype(np.int32) for k in range(bits.shape[1]))
+        near = apart <= (1 - similarity) / (1 + similarity) * (size[x, None] + size[others]) + 1e-6
+        near &= np.minimum(size[x, None], size[others]) >= similarity * np.maximum(size[x, None], size[others]) - 1e-6
+        near &= component[x, None] != component[others]
+        i, j = np.nonzero(near)
+        order = np.argsort(apart[i, j], kind="stable")
+        yield x[i[order]], others[j[order]]
+
 
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    return given.mapInArrow(run, "node long, n long, bits array<long>, keys array<long>")
+def promising(rows: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
+    """(bucket, node) of (bucket, node, component, n, bits): those that may be alike to another of their bucket and not of their component."""
 
+    def compare(group: pa.Table) -> pa.Table:
+        seen = np.zeros(group.num_rows, bool)
+        for i, j in near_in_tile(group, similarity):
+            seen[i] = seen[j] = True
+        return group.filter(pa.array(seen)).select(["bucket", "node"])
+
+    return tile_pairs(rows, ["bucket"], "node", tile_rows).groupBy("bucket", "lo", "hi").applyInArrow(compare, "bucket long, node long").distinct()
 
-def shingle_candidates(rows: DataFrame, similarity: float, tile_rows: int, most: int) -> DataFrame:
-    """(a, b, more) of (bucket, node, n, bits, component): pairs of a bucket and of two components that may be similar by n and bits.
 
-    Of what a node meets in a tile come the `most` with the smallest ids and the `most` nearest by bits;
-    `more` says that either end has met others. a > b.
+def linked_in_tiles(rows: DataFrame, similarity: float, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """Links (a, b) of (bucket, node, component, n, bits, hashes), rows of a bucket compared with each other.
+
+    Those of a forest that joins what all links between components would join: a pair that is joined
+    already needs no look. So what comes out grows with the rows, not with the pairs.
     """
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        node, size, component, tile = (group.column(c).to_numpy() for c in ("node", "n", "component", "tile"))
-        bits = np.array(group.column("bits").to_pylist(), np.int64).view(np.uint64)
-        two = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-        n, pairs = len(node), []
-        crowded, at = np.zeros(n, bool), np.arange(n)
-        for start in range(0, n, 256):
-            part = slice(start, min(n, start + 256))
-            apart = sum(np.bitwise_count(bits[part, None, k] ^ bits[None, :, k]).astype(np.int32) for k in range(bits.shape[1]))
-            near = apart <= (1 - similarity) / (1 + similarity) * (size[part, None] + size[None, :]) + 1e-6
-            near &= np.minimum(size[part, None], size) >= similarity * np.maximum(size[part, None], size) - 1e-6
-            near &= component[part, None] != component
-            if two:
-                near &= tile[part, None] != tile
-            some = np.flatnonzero(near.any(axis=1))
-            near, apart = near[some], apart[some]
-            chosen = near & (np.cumsum(near, axis=1, dtype=np.int32) <= most)
-            if len(some):
-                rank = np.where(near, apart.astype(np.int64) * n + at, np.int64(1) << 60)
-                np.put_along_axis(chosen, np.argpartition(rank, min(most, n) - 1, axis=1)[:, :most], True, axis=1)
-            chosen &= near
-            crowded[some + start] = near.sum(axis=1) > most
-            i, j = np.nonzero(chosen)
-            pairs.append((some[i] + start, j))
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        pair, where = np.unique(np.maximum(i, j) * n + np.minimum(i, j), return_index=True)
-        return pa.table({"a": node[pair // n], "b": node[pair % n], "more": (crowded[i] | crowded[j])[where]})
-
-    paired = tile_pairs(rows, ["bucket"], "node", tile_rows, unlike="component")
-    found = paired.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def pairs_of_few(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, more) as shingle_candidates() returns, all pairs, for buckets of a few rows."""
-    side = lambda x: rows.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "bits", "component")])
-    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    alike = (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6)
-    both = side("a").join(side("b"), "bucket").filter("a_node > b_node and a_component != b_component").filter(alike)
-    return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.lit(False).alias("more")).distinct()
-
-
-def all_similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 5, tile_rows: int = 1024, sample_docs: int = 20_000, most_common: int = 20_000, few: int = 8) -> DataFrame:
-    """(doc_id, keep_id) of the documents that go: all of a group of similar ones but the smallest id.
-
-    Groups are the components of all pairs whose shingles are similar. Covering SimHash comes first: a
-    spanning forest of the pairs within the radius in a fingerprint of long words, and documents of equal
-    fingerprints with the first of them, which joins most copies at little cost. An exact prefix filter on
-    the shingles then finds all other pairs, those of shingles that at most `few` documents have as a key
-at once. Pairs inside a component need no look, so the rounds for the others
-    compare documents of different components alone, the first and nearest of each, eight times as many
-    as in the round before, until no candidate is left. The sample only orders the shingles, and no
-    result depends on it. Rows with a null id stay.
+        node = group.column("node").to_numpy()
+        sets = [x.view(np.uint64) for x in group.column("hashes").to_numpy(zero_copy_only=False)]
+        root = np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
+        links = []
+        for i, j in near_in_tile(group, similarity):
+            for x, y in zip(i, j, strict=True):
+                if root[x] != root[y] and alike(sets[x], sets[y], similarity):
+                    root[root == root[y]] = root[x]
+                    links.append((x, y))
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]})
+
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("in_bucket"), F.sum("n").alias("sizes")).filter("in_bucket > 1")
+    paired = tile_pairs(rows, ["bucket"], "node", tile_rows, checkpointed(counts), tile_shingles)
+    return paired.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after further links (a, b)."""
+    if links.isEmpty():
+        return components
+    return checkpointed(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 3, tile_rows: int = 1024, tile_shingles: int = 1 << 19, sample_docs: int = 20_000, most_common: int = 20_000, few: int = 8) -> DataFrame:
+    """One row for each doc_id and digest (MD5 of the text, A-Z in lower case): kept, copies (rows that repeat both).
+
+    Of each component of documents whose sets of shingles are similar, the one with the smallest id is
+    kept. Covering SimHash joins most copies at little cost: pairs within the radius in a fingerprint of
+    the long words, and equal fingerprints. An exact prefix filter on the shingles gives all others:
+    the documents of a key that at most `few` share are compared with each other, others with the first
+    of them, and where a key then still holds two components, its documents are compared in full, in
+    tiles. Every pair is checked on its sets of 64-bit hashes. The sample only orders the shingles; no
+    result depends on it.
+
+    Defined cases: null texts and texts without words are alike; a null id is an id like others, and comes
+    last; an empty table gives no rows; further columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        return checkpointed(verified(pairs, checkpointed(texts.join(ends.hint("shuffle_hash"), "doc_id")), words_per_shingle, similarity))
-
-    prints = checkpointed(word_fingerprints(texts))
-    first = checkpointed(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    near = near_edges(first.select("node", F.col("f0").alias("fp")), radius, tile_rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    same = prints.join(checkpointed(first.filter("n > 1").select("f0", "f1", "node")), ["f0", "f1"]).filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    tried = checkpointed(near.unionByName(same).distinct())
-    links = linked(tried)
-    components = checkpointed(connected_components(links))
-
-    profiles = checkpointed(shingle_profiles(texts, similarity, words_per_shingle, common_shingles(texts, words_per_shingle, sample_docs, most_common)))
-    keyed = profiles.select("node", F.explode("keys").alias("bucket"))
-    shared = checkpointed(keyed.join(keyed.groupBy("bucket").count().filter("count > 1"), "bucket"))
-    many = shared.filter(F.col("count") > few).select("bucket", "node")
-    more, most = True, 1
-    while more:
-        most *= 8
-        apart = profiles.select("node", "n", "bits").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = many.join(apart.select("node", "component"), "node")
-        mixed = mixed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-        rows = checkpointed(many.join(checkpointed(mixed), "bucket").join(apart, "node"))
-        found = shingle_candidates(rows, similarity, tile_rows, most)
-        if most == 8:
-            found = found.unionByName(pairs_of_few(checkpointed(shared.filter(F.col("count") <= few).join(apart, "node")), similarity)).groupBy("a", "b").agg(F.max("more").alias("more"))
-        found = checkpointed(found)
-        new = checkpointed(found.join(tried, ["a", "b"], "left_anti").select("a", "b"))
-        if not new.isEmpty():
-            links = links.unionByName(linked(new))
-            components = checkpointed(connected_components(links))
-        tried, more = tried.unionByName(new), not found.filter("more").isEmpty()
-    return components.filter("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = checkpointed(profiles(texts, similarity, words_per_shingle, common_shingles(texts, words_per_shingle, sample_docs, most_common)))
+    rows = found.select("node", "doc_id", "digest")
+
+    def hashed(nodes: DataFrame) -> DataFrame:
+        """(node, hashes) of nodes, from the texts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1, 1 << 19):
+                held = [shingle_hashes(word_hashes(x)[0], words_per_shingle).view(np.int64) for x in utf8(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), digests(batch.column(1)), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "digest", "hashes"])
+
+        wanted = rows.join(nodes, "node", "left_semi")
+        ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+        held = texts.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        sets = held.mapInArrow(run, "doc_id long, digest binary, hashes array<long>").dropDuplicates(["doc_id", "digest"])
+        return checkpointed(wanted.join(sets, wanted["doc_id"].eqNullSafe(sets["doc_id"]) & (wanted["digest"] == sets["digest"])).select("node", "hashes"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are alike."""
+        sets = hashed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array([alike(p.view(np.uint64), q.view(np.uint64), similarity) for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_hashes", "b_hashes")
+        return checkpointed(both.mapInArrow(run, "a long, b long"))
+
+    first = checkpointed(found.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    near = near_edges(first.select("node", "fp"), radius, tile_rows)
+    same = found.select("node", "fp").join(first.filter("n > 1").select("fp", F.col("node").alias("b")), "fp").filter("node != b").select(F.col("node").alias("a"), "b")
+    components = checkpointed(connected_components(verified(checkpointed(near.unionByName(same).distinct()))))
+
+    own = F.coalesce("component", "node").alias("component")
+    keyed = found.select("node", "keys").join(components, "node", "left").select("node", own, F.explode("keys").alias("bucket"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in range(2)]  # equal where the documents are
+    held = keyed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("count"), F.min("component").alias("least"), F.max("component").alias("most"), *marks)
+    held = held.filter("least < most").groupBy("count", "hub", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))  # of keys with the same documents, one
+    shared = checkpointed(keyed.join(checkpointed(held.select("bucket", "hub", "count")), "bucket"))
+    small = shared.filter(f"count <= {few}")
+    all_of_few = small.join(small.select("bucket", F.col("node").alias("b"), F.col("component").alias("other")), "bucket").filter("node > b and component != other")
+    stars = shared.filter(f"count > {few} and node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    stars = stars.unionByName(all_of_few.select(F.col("node").alias("a"), "b")).distinct()
+    side = lambda x: found.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")).join(components.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")), x, "left")
+    apart = ~F.coalesce("a_component", "a").eqNullSafe(F.coalesce("b_component", "b"))
+    stars = checkpointed(stars.join(side("a"), "a").join(side("b"), "b").filter(apart & may_be_alike(similarity)).select("a", "b"))
+    if not stars.isEmpty():
+        components = joined(components, verified(stars))
+
+    many = shared.filter(f"count > {few}").select("bucket", "node").join(components, "node", "left").select("bucket", "node", own)
+    mixed = many.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
+    many = many.join(checkpointed(mixed), "bucket").join(found.select("node", "n", "bits"), "node")
+    left = checkpointed(promising(many, similarity, tile_rows))
+    if not left.isEmpty():
+        chosen = left.groupBy("bucket").agg(F.count("*").alias("count"), *marks).groupBy("count", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
+        left = checkpointed(left.join(checkpointed(chosen.select("bucket")), "bucket"))
+        rest = many.join(left, ["bucket", "node"]).join(hashed(left.select("node").distinct()), "node")
+        components = joined(components, checkpointed(linked_in_tiles(rest, similarity, tile_rows, tile_shingles)))
+
+    named = rows.join(components, "node", "left").select("doc_id", "digest", "node", "component")
+    grouped = named.filter("component is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    best = grouped.groupBy("component").agg(F.min(order).alias("best"))
+    kept = F.col("component").isNull() | F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.digest") == F.col("digest"))
+    decided = named.join(best, "component", "left").withColumn("kept", kept)
+    return decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))

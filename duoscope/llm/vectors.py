@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from duoscope.llm.common import checkpointed
 from duoscope.llm.components import connected_components
-from duoscope.llm.tiles import allowed_pairs, spanning_roots, tile_pairs
+from duoscope.llm.tiles import sides, spanning_roots, tile_pairs
 
 STEPS = (8, 16, 32, 64, 128, 256, 512)
 
@@ -50,18 +50,19 @@ def half_directions(dims: int) -> list[tuple[int, ...]]:
     return [d for d in itertools.product((-1, 0, 1), repeat=dims) if d > (0,) * dims]
 
 
-def linked_pairs(x: np.ndarray, raw: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs of rows with cosine at or over the threshold; x: unit rows by axis, raw: the same rows as given."""
+def linked_pairs(x: np.ndarray, raw: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of the pairs of a left and a right row with cosine at or over the threshold; x: unit rows by axis, raw: the same rows before they were turned."""
     n, width = x.shape
     steps = [s for s in STEPS if s < width] + [width]
     squares = np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1]
     rest = {s: np.sqrt(squares[:, s]) if s < width else np.zeros(n) for s in steps}
     low = threshold - 1e-9
     first = steps[0]
-    i, j = np.nonzero(np.triu(x[:, :first] @ x[:, :first].T + np.outer(rest[first], rest[first]) >= low, 1))
-    found = np.zeros((n, n), bool)
+    near = x[left, :first] @ x[right, :first].T + np.outer(rest[first][left], rest[first][right]) >= low
+    i, j = np.nonzero(np.triu(near, 1) if left is right else near)
+    found = []
     for start in range(0, len(i), 1 << 16):
-        a, b = i[start : start + (1 << 16)], j[start : start + (1 << 16)]
+        a, b = left[i[start : start + (1 << 16)]], right[j[start : start + (1 << 16)]]
         total = np.einsum("ij,ij->i", x[a, :first], x[b, :first])
         for s, t in itertools.pairwise(steps):
             total += np.einsum("ij,ij->i", x[a, s:t], x[b, s:t])
@@ -71,9 +72,8 @@ def linked_pairs(x: np.ndarray, raw: np.ndarray, threshold: float) -> np.ndarray
         if len(close):
             u, v = raw[a[close]], raw[b[close]]
             total[close] = np.einsum("ij,ij->i", u, v) / (np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1))
-        a, b = a[total >= threshold], b[total >= threshold]
-        found[a, b] = found[b, a] = True
-    return found
+        found.append((a[total >= threshold], b[total >= threshold]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int = 8192, grid_dims: int = 3, tile_rows: int = 1024) -> DataFrame:
@@ -112,13 +112,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int =
     def compare(group: pa.Table) -> pa.Table:
         node, copies, home, tile = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies", "home", "tile"))
         x, raw = (np.frombuffer(b"".join(group.column(c).to_pylist())).reshape(len(node), -1) for c in ("x", "raw"))
-        linked = linked_pairs(x, raw, threshold)
-        linked &= home[:, None] | home[None, :]  # two guests meet in a cell of their own
-        if sides := allowed_pairs(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py()):
-            for side in sides:
-                linked[np.ix_(side, side)] = False
-        root = spanning_roots(linked)
-        links = linked.astype(np.int64) @ copies
+        left, right = sides(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py())
+        i, j = linked_pairs(x, raw, left, right, threshold)
+        met = home[i] | home[j]  # two guests meet in a cell of their own
+        i, j = i[met], j[met]
+        root = spanning_roots(len(node), i, j)
+        links = np.bincount(i, copies[j], len(node)).astype(np.int64) + np.bincount(j, copies[i], len(node)).astype(np.int64)
         at = np.flatnonzero(links)
         return pa.table({"node": node[at], "links": links[at], "root": node[root[at]]})
 
