@@ -2,7 +2,8 @@
 
 Each round is joins and grouped minima over the edge list, so no component is ever gathered in one
 task or on the driver. Edges between a hub and its many neighbours are joined with a written table of
-minima, a join that adaptive execution can split.
+minima, a join that adaptive execution can split. Rounds are many and small, so their partitions follow
+the number of edges.
 """
 
 from __future__ import annotations
@@ -13,21 +14,28 @@ from pyspark.sql import functions as F
 from duoscope.llm.common import checkpointed
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int = 50_000) -> DataFrame:
     """(node, component): each node that has an edge, and the smallest node reachable from it.
 
     Loops, repeated edges and nulls are ignored; no edges give no rows.
     """
     high, low = F.greatest(a, b), F.least(a, b)
-    now = checkpointed(edges.filter(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct())
+    now = checkpointed(edges.filter(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = min(parts, now.count() // task_edges + 1)
+
+    def written(df: DataFrame) -> DataFrame:
+        return checkpointed(df.coalesce(width))
+
+    now = written(now.coalesce(width).distinct())
     seen = _mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpointed(both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        smallest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
+        now = written(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
         before, seen = seen, _mark(now)
         if before == seen:
             break

@@ -312,11 +312,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
     components = checkpointed(connected_components(verified(checkpointed(near.unionByName(same).distinct()))))
 
     own = F.coalesce("component", "node").alias("component")
-    keyed = found.select("node", "keys").join(components, "node", "left").select("node", own, F.explode("keys").alias("bucket"))
+    keyed = found.select("node", F.explode("keys").alias("bucket"))
+    owned = found.select("node", "keys").join(components, "node", "left").select(own, F.explode("keys").alias("bucket"))
+    mixed = owned.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
+    shared = checkpointed(keyed.join(checkpointed(mixed), "bucket").join(components, "node", "left").select("bucket", "node", own))
     marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in range(2)]  # equal where the documents are
-    held = keyed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("count"), F.min("component").alias("least"), F.max("component").alias("most"), *marks)
-    held = held.filter("least < most").groupBy("count", "hub", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))  # of keys with the same documents, one
-    shared = checkpointed(keyed.join(checkpointed(held.select("bucket", "hub", "count")), "bucket"))
+    held = shared.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("count"), *marks)
+    held = held.groupBy("count", "hub", "mark0", "mark1").agg(F.min("bucket").alias("bucket")).select("bucket", "hub", "count")  # of keys with the same documents, one
+    shared = checkpointed(shared.join(checkpointed(held), "bucket"))
     small = shared.filter(f"count <= {few}")
     all_of_few = small.join(small.select("bucket", F.col("node").alias("b"), F.col("component").alias("other")), "bucket").filter("node > b and component != other")
     stars = shared.filter(f"count > {few} and node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
