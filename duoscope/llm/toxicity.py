@@ -7,9 +7,11 @@ a clear positive score make up the model; other tokens have a small negative sco
 Ruzzo and Tompa (1999) finds all maximal segments of a document in linear time.
 
 Segment scores become p-values by extreme-value statistics (Karlin and Altschul, 1990): a document of
-n tokens without toxicity has about K n exp(-lambda s) segments of score s or more. The document's
-evidence is the sum of -log p over its significant segments, and two logistic coefficients turn it
-into a score from 0 to 1.
+n tokens without toxicity has about K n exp(-lambda s) segments of score s or more. lambda and K are
+fitted to the largest segments of clean rows. The document's evidence is the sum of -log p over its
+significant segments, and two logistic coefficients turn it into a score from 0 to 1. Maxima and
+evidence are measured for each half of the training rows with the term weights of the other half, so
+that they are those of rows not learnt from; the final weights are those of all rows.
 
 Fitting uses at most `train_rows` labelled rows, those with the smallest hashes of their ids, one for
 each text but for case and white space, since a text copied a hundred times should not vote a hundred
@@ -71,17 +73,17 @@ class Model:
         hits = [(i, s) for i, s in enumerate(map(self.seen.__getitem__, tokens)) if s > 0]
         return maximal_segments(hits, self.drift), len(tokens)
 
+    def p_value(self, score: float, n: int) -> float:
+        """Of a segment: how probable one of that score or more is in n tokens without toxicity."""
+        return -math.expm1(-min(50.0, self.k * n * math.exp(-self.rate * score)))
+
+    def significance(self, scores: list[float], n: int) -> float:
+        """The sum of -log p over the segments with a p-value below a half."""
+        return -sum(math.log(max(p, 1e-300)) for p in (self.p_value(s, n) for s in scores) if p < 0.5)
+
     def evidence(self, text: str) -> float:
         found, n = self.segments(text)
-        if not found:
-            return 0.0
-        total = 0.0
-        for _, _, s in found:
-            e = self.k * n * math.exp(-self.rate * s)
-            p = -math.expm1(-e) if e < 30 else 1.0
-            if p < 0.5:
-                total -= math.log(max(p, 1e-300))
-        return total
+        return self.significance([s for _, _, s in found], n)
 
     def score(self, text: str) -> float:
         z = self.a + self.b * math.log1p(self.evidence(text))
@@ -110,43 +112,44 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, train_rows: int) -> DataFrame:
-    """(text, toxic): at most train_rows labelled documents whose id isn't held out."""
+    """(text, toxic 0 or 1, half 0 or 1): at most train_rows labelled documents whose id isn't held out."""
     labelled = labels.filter(remainder("doc_id", modulus) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id")
     whole = F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256)
-    return checkpointed(found.groupBy(whole.alias("whole"), "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"))
+    once = found.groupBy(whole.alias("whole"), "toxic").agg(F.min_by("text", "doc_id").alias("text"))
+    return checkpointed(once.select("text", (F.col("toxic") == 1).cast("int").alias("toxic"), F.pmod(F.xxhash64("whole"), F.lit(2)).cast("int").alias("half")))
+
+
+COUNTS = ("clean0", "toxic0", "clean1", "toxic1")
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, toxic, clean): in how many training rows of either kind a term occurs."""
+    """A term, and in how many training rows of either kind and half it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = (Counter(), Counter())
+        by = [Counter() for _ in COUNTS]
         for batch in slices(batches, 0):
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by[int(toxic == 1)].update({x for t in set(TOKEN.findall(text.lower())) for x in terms(t)})
-        names = list(by[0] | by[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][x] for x in names], pa.int64()), pa.array([by[0][x] for x in names], pa.int64())], ["term", "toxic", "clean"])
+            for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by[toxic + 2 * half].update({x for t in set(TOKEN.findall(text.lower())) for x in terms(t)})
+        names = list(set().union(*by))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in by)], ["term", *COUNTS])
 
-    return rows.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.select("text", "toxic", "half").mapInArrow(count, "term string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, train_rows: int = 20_000, prior: float = 2.0, least_docs: int = 3, least_odds: float = 2.0, least_z: float = 2.5) -> Model:
-    """prior: documents that a term's prior counts for; least_*: what a term must show to enter the model."""
-    rows = training_rows(docs, labels, modulus, train_rows)
-    n = {r.toxic: r.n for r in rows.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
-    model = Model()
+def weights(found: dict[str, tuple[int, int]], toxic: int, clean: int, drift: float, prior: float, least_docs: int, least_odds: float, least_z: float) -> dict[str, float]:
+    """Scores of the terms that enter the model, from their counts in toxic and clean rows."""
+    out: dict[str, float] = {}
     if not toxic or not clean:
-        model.a = math.log((toxic + 1e-6) / (clean + 1e-6)) if toxic else -50.0
-        return model
-    found = {r.term: (r.toxic, r.clean) for r in term_counts(rows).filter(f"toxic >= {least_docs} and toxic * {clean} > clean * {toxic}").collect()}
+        return out
     share = toxic / (toxic + clean)
-    null_mean = 0.0
     for term in sorted(found, key=lambda x: (len(x) - x.endswith("*"), not x.endswith("*"), x)):
         t, c = found[term]
+        if t < least_docs or t * clean <= c * toxic:
+            continue
         expected = share
         for shorter in terms(term.rstrip("*"))[:-1]:
             if shorter != term and shorter in found:
@@ -156,29 +159,60 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, train_rows: int =
         odds = math.log(posterior_t / toxic) - math.log(posterior_c / clean)
         z = odds / math.sqrt(1 / posterior_t + 1 / posterior_c)
         if odds >= least_odds and z >= least_z:
-            model.weights[term] = odds
-        elif any(s in model.weights for s in terms(term.rstrip("*"))[:-1]) and odds < least_odds and c >= least_docs:
-            model.weights[term] = model.drift  # a known form of a toxic stem that isn't toxic itself
+            out[term] = odds
+        elif any(s in out for s in terms(term.rstrip("*"))[:-1]) and odds < least_odds and c >= least_docs:
+            out[term] = drift  # a known form of a toxic stem that isn't toxic itself
+    return out
+
+
+def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """lambda and K of rows of n tokens whose largest segments score `best` (0: none).
+
+    The likelihood of P(max < s) = exp(-K n exp(-lambda s)); rows without a segment are known to be below
+    the least score that was seen. A normal prior of 0.5 on log lambda around 0, the value for pure
+    log-odds, and half a row more than were seen hold where few clean rows have a segment.
+    """
+    hit, n = best > 0, np.maximum(n, 1)
+    least = best[hit].min() if hit.any() else 2.0
+    s = np.where(hit, best, least)
+
+    def fitted(rate: float) -> tuple[float, float]:
+        mass = (n * np.exp(-rate * s)).sum() + 1e-9
+        k = (hit.sum() + 0.5) / mass
+        return hit.sum() * math.log(rate * k) - rate * s[hit].sum() - k * mass - math.log(rate) ** 2 / 0.5, k
+
+    rate = max(np.geomspace(0.05, 8, 200), key=lambda r: fitted(r)[0])
+    return float(rate), float(fitted(rate)[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, train_rows: int = 20_000, prior: float = 2.0, least_docs: int = 3, least_odds: float = 2.0, least_z: float = 2.5) -> Model:
+    """prior: documents that a term's prior counts for; least_*: what a term must show to enter the model."""
+    rows = training_rows(docs, labels, modulus, train_rows)
+    n = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = (sum(v for (_, kind), v in n.items() if kind == k) for k in (1, 0))
+    model = Model()
+    if not toxic or not clean:
+        model.a = math.log((toxic + 1e-6) / (clean + 1e-6)) if toxic else -50.0
+        return model
+    seen = term_counts(rows).filter(f"toxic0 + toxic1 >= {least_docs} and (toxic0 + toxic1) * {clean} > (clean0 + clean1) * {toxic}").collect()
+    rule = (model.drift, prior, least_docs, least_odds, least_z)
+    model.weights = weights({r.term: (r.toxic0 + r.toxic1, r.clean0 + r.clean1) for r in seen}, toxic, clean, *rule)
+    of_half = [weights({r.term: (r[f"toxic{h}"], r[f"clean{h}"]) for r in seen}, n.get((h, 1), 0), n.get((h, 0), 0), *rule) for h in (0, 1)]
+    others = [Model(weights=of_half[1 - h] or model.weights, drift=model.drift) for h in (0, 1)]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            best = [max((s for _, _, s in model.segments(x)[0]), default=0.0) for x in batch.column(0).to_pylist()]
-            size = [len(TOKEN.findall(x)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(best), pa.array(size, pa.int64()), batch.column(0)], ["toxic", "best", "n", "text"])
-
-    seen = rows.select("text", "toxic").mapInArrow(measured, "toxic int, best double, n long, text string").select("toxic", "best", "n").toArrow()
-    y, best, size = (seen.column(c).to_numpy().astype(np.float64) for c in ("toxic", "best", "n"))
-    null = (y != 1) & (best > 0)
-    # log-odds scores have lambda 1 by construction; K from how many clean rows reach their scores, with a prior of one row.
-    reached = (np.exp(best[null]) / np.maximum(size[null], 1)).sum() if null.any() else null_mean
-    model.k = float(min(1.0, max(1e-4, (1 + min(reached, null.sum())) / max(1.0, size[y != 1].sum() / 100))))
-
-    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.evidence(x) for x in batch.column(0).to_pylist()], pa.float64())], ["toxic", "x"])
-
-    pairs = rows.select("text", "toxic").mapInArrow(weighed, "toxic int, x double").toArrow()
-    model.a, model.b = logistic(np.log1p(pairs.column(1).to_numpy()), pairs.column(0).to_numpy() == 1)
+            given = [others[h].segments(x) for x, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [[s for _, _, s in x] for x, _ in given]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64())), pa.array([size for _, size in given], pa.int64())], ["toxic", "scores", "n"])
+
+    parts = rows.select("text", "toxic", "half").mapInArrow(measured, "toxic int, scores array<double>, n long").toArrow()
+    y, size = (parts.column(c).to_numpy() for c in ("toxic", "n"))
+    scores = parts.column("scores").to_pylist()
+    best = np.array([max(x, default=0.0) for x in scores])
+    model.rate, model.k = extreme_value(best[y == 0], size[y == 0])
+    evidence = np.array([model.significance(x, k) for x, k in zip(scores, size, strict=True)])
+    model.a, model.b = logistic(np.log1p(evidence), y == 1)
     return model
 
 
@@ -225,7 +259,7 @@ def passages(docs: DataFrame, model: Model, p_most: float = 0.01) -> DataFrame:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, n = model.segments(text or "")
                 for first, end, s in found:
-                    p = -math.expm1(-min(50.0, model.k * n * math.exp(-model.rate * s)))
+                    p = model.p_value(s, n)
                     if p <= p_most:
                         rows.append((i, first, end, s, p))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "first", "end", "passage_score", "p_value"), r, strict=True)) for r in rows], schema=out)

@@ -1,6 +1,9 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from duoscope.llm import toxicity
@@ -70,3 +73,36 @@ def test_labelled_documents_with_a_common_header_all_count(spark):
     assert all(got[i] == int(i % 4 == 0 or i >= 1000) for i, _ in rows)
     used = toxicity.training_rows(docs, labels, 5, 20_000).collect()
     assert len([r for r in used if "w0 " in r.text.lower()]) == 1
+
+
+def test_lambda_and_k_are_those_of_the_maxima():
+    rng = np.random.default_rng(2)
+    n = rng.integers(20, 3000, 20_000)
+    for rate, k in ((1.0, 0.01), (1.7, 0.02), (0.6, 0.001)):
+        best = np.log(k * n / -np.log(rng.random(len(n)))) / rate
+        best = np.where(best > 2, best, 0.0)  # no segment below the least score of a term
+        got = toxicity.extreme_value(best, n)
+        assert abs(got[0] / rate - 1) < 0.08 and abs(np.log(got[1] / k)) < 0.3
+        model = toxicity.Model(rate=got[0], k=got[1])
+        p = np.array([model.p_value(s, m) for s, m in zip(best, n, strict=True) if s > 0])
+        for alpha in (0.01, 0.05, 0.1):  # p-values of clean rows are uniform where they are known
+            assert abs((p <= alpha).sum() / len(n) - alpha) < 0.015
+
+
+def test_scores_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    short = docs.filter("length(text) < 1500")
+    got = {r.doc_id: r.score for r in toxicity.score(short, model).collect()}
+    hits = 0
+    for r in short.collect():
+        tokens = re.findall(r"[^\W_]+", r.text.lower())
+        scores = []
+        for t in tokens:
+            known = [model.weights[x] for x in (t[:4] + "*" if len(t) > 4 else t, t[:5] + "*" if len(t) > 5 else t, t[:6] + "*" if len(t) > 6 else t, t) if x in model.weights]
+            scores.append(known[-1] if known else model.drift)
+        p = [-math.expm1(-model.k * len(tokens) * math.exp(-model.rate * s)) for _, _, s in brute_segments(scores)]
+        hits += len(p)
+        z = model.a + model.b * math.log1p(sum(-math.log(x) for x in p if x < 0.5))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-6
+    assert hits > 20
