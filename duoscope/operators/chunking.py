@@ -6,7 +6,7 @@ small pieces need a parser or look-ahead and run on one artifact at a time in Ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duoscope.functions import pieces as cut
+from duoscope.functions.batches import slices
 from duoscope.functions.text import chunk_header, split_lines, strip
 
 HEADING = "(?U)^(#{1,6})\\s+(\\S.*)$"
@@ -23,13 +24,13 @@ PIECE = "array<struct<text:string,start_line:int,end_line:int,label:string>>"
 ARROW_PIECE = pa.list_(pa.struct([("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("label", pa.string())]))
 
 
-def suffix(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, "(\\.[^./]*)$", 1))
+#: How to cut an artifact, by the suffix of its name: a function from text to pieces; None: as Markdown, by SQL windows.
+SPLITTERS: dict[str, Callable[[str], list[cut.Piece]] | None] = {".md": None, ".markdown": None, ".py": cut.by_definition}
 
 
-def kind(name: Column) -> Column:
-    """Which splitter an artifact's suffix asks for."""
-    return F.when(suffix(name).isin(".md", ".markdown"), "markdown").when(suffix(name) == ".py", "python").otherwise("size")
+def suffix(name: Column) -> Column:
+    """The lower-case suffix of a file's name; a name that only starts with a dot has none."""
+    return F.lower(F.regexp_extract(name, "[^/](\\.[^./]+)$", 1))
 
 
 def markdown_lines(artifacts: DataFrame) -> DataFrame:
@@ -54,35 +55,36 @@ def markdown_pieces(artifacts: DataFrame) -> DataFrame:
     ).select(*ARTIFACT, "text", "start_line", "end_line", "label")
 
 
-def chunks(artifacts: DataFrame) -> DataFrame:
+def chunks(artifacts: DataFrame, splitters: dict[str, Callable[[str], list[cut.Piece]] | None] = SPLITTERS) -> DataFrame:
     """The chunks of (pair_id, side, name, text): pos in the side, chunk_index in the artifact, source, lines, label, header.
 
-    Artifacts of one side follow each other by name. Null and blank texts have no chunks.
+    Artifacts of one side follow each other by a column `artifact_pos`, where there is one, then by name;
+    two of one side need different positions or names. Null and blank texts have no chunks. splitters:
+    other suffixes, or other cuts; what isn't listed is cut by size.
     """
-    given = artifacts.filter(strip(F.col("text")) != "").select(*ARTIFACT, "text")
-    sections = markdown_pieces(given.filter(kind(F.col("name")) == "markdown"))
+    at = F.col("artifact_pos") if "artifact_pos" in artifacts.columns else F.lit(0)
+    key = [*ARTIFACT, "artifact_pos"]
+    given = artifacts.filter(strip(F.col("text")) != "").select(*ARTIFACT, at.cast("long").alias("artifact_pos"), "text", suffix(F.col("name")).alias("suffix"))
+    as_markdown = [s for s, how in splitters.items() if how is None]
+    sections = markdown_pieces(given.filter(F.col("suffix").isin(as_markdown)).withColumn("name", F.concat_ws("\0", F.coalesce("artifact_pos", F.lit(0)).cast("string"), "name")))
     listed = sections.groupBy(*ARTIFACT).agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "text", "label"))).alias("p"))
-    listed = listed.select(*ARTIFACT, F.transform("p", lambda x: F.struct(x["text"].alias("text"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["label"].alias("label"))).alias("pieces"))
-    ready = given.join(listed, ARTIFACT, "left").select(*ARTIFACT, "text", kind(F.col("name")).alias("kind"), F.col("pieces").cast(PIECE).alias("pieces"))
+    listed = listed.select("pair_id", "side", F.col("name").alias("of"), F.transform("p", lambda x: F.struct(x["text"].alias("text"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["label"].alias("label"))).alias("pieces"))
+    given = given.withColumn("of", F.concat_ws("\0", F.coalesce("artifact_pos", F.lit(0)).cast("string"), "name"))
+    ready = given.join(listed, ["pair_id", "side", "of"], "left").select(*key, "text", "suffix", F.col("pieces").cast(PIECE).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4):
             out = []
-            for text, how, found in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-                if how == "python":
-                    parts = cut.by_definition(text)
-                elif how == "markdown":
-                    parts = [tuple(p.values()) for p in found or ()]
-                else:
-                    parts = cut.by_size(text)
+            for text, ending, found in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
+                parts = [tuple(p.values()) for p in found or ()] if ending in as_markdown else splitters.get(ending, cut.by_size)(text)
                 parts = cut.merged(cut.capped(parts), text)
                 out.append([dict(zip(("text", "start_line", "end_line", "label"), p, strict=True)) for p in parts])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, ARROW_PIECE)], [*ARTIFACT, "pieces"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, ARROW_PIECE)], [*key, "pieces"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.select(*ARTIFACT).schema)
-    flat = ready.mapInArrow(run, f"{schema}, pieces {PIECE}").select(*ARTIFACT, F.posexplode("pieces").alias("chunk_index", "p")).select(*ARTIFACT, "chunk_index", "p.*")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.select(*key).schema)
+    flat = ready.mapInArrow(run, f"{schema}, pieces {PIECE}").select(*key, F.posexplode("pieces").alias("chunk_index", "p")).select(*key, "chunk_index", "p.*")
     source = F.regexp_extract("name", "([^/]*)$", 1)
-    pos = F.row_number().over(W.partitionBy("pair_id", "side").orderBy("name", "chunk_index"))
+    pos = F.row_number().over(W.partitionBy("pair_id", "side").orderBy("artifact_pos", "name", "chunk_index"))
     return flat.select(
         "pair_id", "side", F.col("name").alias("artifact_id"), source.alias("source"), "chunk_index", pos.alias("pos"), "text", "start_line", "end_line", "label",
         chunk_header(source, F.col("label"), F.col("start_line"), F.col("end_line")).alias("header"),

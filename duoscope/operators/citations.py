@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,27 +18,43 @@ def find_citations(answers: DataFrame) -> DataFrame:
     return answers.select("pair_id", F.posexplode(both).alias("n", "c")).select("pair_id", "n", F.col("c.chunk_id").alias("chunk_id"), F.col("c.quote").alias("quote"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def wrapped_line(lines: Column, wanted: Column) -> Column:
+    """The number (from 0) of the line where a quote that runs over lines starts, as an array; empty where it doesn't occur. Linear in the text."""
+
+    def found(flat: Column) -> Column:
+        start = F.struct((F.instr(F.array_join(flat, " "), squeeze(wanted)) - 1).alias("at"), F.lit(0).alias("pos"), F.lit(-1).alias("line"))
+        step = lambda s, x: F.struct(s["at"].alias("at"), (s["pos"] + F.length(x) + 1).alias("pos"), (s["line"] + (s["pos"] <= s["at"]).cast("int")).alias("line"))
+        return let(F.aggregate(flat, start, step), lambda s: F.when(s["at"] >= 0, F.array(s["line"])).otherwise(F.array().cast("array<int>")))
+
+    return let(F.transform(lines, squeeze), found)
+
+
 def matching_lines(lines: Column, wanted: Column) -> Column:
     """Numbers (from 0) of the lines equal to the quote, else of those holding it, else of the one where it starts if it runs over lines."""
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    some = F.size(lines) > 0
-    exact = F.filter(numbers, lambda i: strip(F.get(lines, i)) == wanted)
-    held = F.filter(numbers, lambda i: F.contains(F.get(lines, i), wanted))
-    flat = F.transform(lines, squeeze)
-    at = F.instr(F.array_join(flat, " "), squeeze(wanted)) - 1
-    starts = F.aggregate(flat, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    wrapped = F.when(at >= 0, F.array(F.array_max(F.filter(numbers, lambda i: F.get(starts, i) <= at)))).otherwise(F.array().cast("array<int>"))
-    found = F.when(F.size(exact) > 0, exact).when(F.size(held) > 0, held).otherwise(wrapped)
-    return F.when(some, found).otherwise(F.array().cast("array<int>"))
+
+    def numbers(test: Callable[[Column], Column]) -> Column:
+        marked = F.transform(lines, lambda line, i: F.struct(test(line).alias("hit"), i.alias("i")))
+        return F.transform(F.filter(marked, lambda x: x["hit"]), lambda x: x["i"])
+
+    def found(w: Column) -> Column:
+        exact, held = numbers(lambda line: strip(line) == w), numbers(lambda line: F.contains(line, w))
+        return let(exact, lambda e: F.when(F.size(e) > 0, e).otherwise(let(held, lambda h: F.when(F.size(h) > 0, h).otherwise(wrapped_line(lines, w)))))
+
+    return let(wanted, found)
 
 
 def resolve(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every citation with source, line, text and unique; these are null where the id or the quote isn't found."""
     known = chunks.select("pair_id", "chunk_id", "source", "start_line", F.col("text").alias("chunk_text"))
     joined = citations.join(known, ["pair_id", "chunk_id"], "left").withColumn("lines", split_lines(F.col("chunk_text"))).withColumn("wanted", strip(F.col("quote")))
-    raw = joined.withColumn("hits", matching_lines(F.col("lines"), F.col("wanted")))
-    plain = F.when(F.size("hits") > 0, F.col("hits")).otherwise(matching_lines(F.col("lines"), unescape(F.col("wanted"))))
-    hits = raw.withColumn("hits", F.when(F.col("chunk_text").isNotNull() & (F.col("wanted") != ""), plain))
+    raw = matching_lines(F.col("lines"), F.col("wanted"))
+    both = let(raw, lambda hits: F.when(F.size(hits) > 0, hits).otherwise(matching_lines(F.col("lines"), unescape(F.col("wanted")))))
+    hits = joined.withColumn("hits", F.when(F.col("chunk_text").isNotNull() & (F.col("wanted") != ""), both))
     found = F.size("hits") > 0
     first = F.get("hits", F.lit(0))
     return hits.select(

@@ -10,64 +10,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duoscope.functions.errors import errors_table
 from duoscope.functions.responses import TOO_MANY, UNAVAILABLE, model_unavailable
-from duoscope.functions.text import tokens
+from duoscope.operators.providers import BATCH, ProviderError
 
-# Limits of the providers by tier, in tokens; pool, window, most output, most input.
-PROVIDERS = (
-    (1, "GOOGLE:1", 1_048_576, 65_536, None), (2, "GOOGLE:2", 1_048_576, 65_536, None), (3, "GOOGLE:3", 1_048_576, 65_536, None),
-    (4, "MISTRAL_API_KEY", 1_048_576, 1_048_576, None), (5, "OPENROUTER_API_KEY", 1_000_000, 65_536, None), (6, "GOOGLE:6", 1_048_576, 65_536, None),
-    (7, "MISTRAL_API_KEY", 262_144, 262_144, None), (8, "GOOGLE:8", 262_144, 32_768, 16_000), (9, "OPENROUTER_API_KEY", 256_000, 64_000, None),
-    (10, "OPENROUTER_API_KEY", 262_144, 262_144, None), (11, "CLOUDFLARE_API_KEY", 128_000, 128_000, None), (12, "GROQ_API_KEY", 8_000, 8_000, None),
-    (13, "MISTRAL_API_KEY", 262_144, 262_144, None), (14, "MISTRAL_API_KEY", 262_144, 16_384, None), (15, "GOOGLE:15", 1_048_576, 65_536, None),
-)
-MARGIN = 1.1
-ATTEMPTS = "array<struct<tier:int,error:string>>"
-
-
-def provider_fit(prompts: DataFrame, max_tokens: int, text: str = "text") -> DataFrame:
-    """Each prompt with each provider's tier and reason: null if it fits, else max_output, max_input or window."""
-    rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(w).alias("window"), F.lit(o).alias("most_out"), F.lit(i).cast("int").alias("most_in")) for t, _, w, o, i in PROVIDERS])
-    padded = F.ceil(tokens(F.col(text)).cast("double") * F.lit(MARGIN))
-    reason = F.when(F.lit(max_tokens) > F.col("most_out"), "max_output").when(F.col("padded") > F.col("most_in"), "max_input").when(F.col("padded") + max_tokens > F.col("window"), "window")
-    return prompts.withColumn("padded", padded).select("*", F.inline(rows)).withColumn("reason", reason).drop("window", "most_out", "most_in")
+ATTEMPTS = "array<struct<tier:int,model:string,error:string>>"
 
 
 def fallback(outcomes: DataFrame) -> DataFrame:
-    """request_id, tier, answer, attempts of (request_id, tier, pool, status, rate_limit, error, answer), final outcomes.
+    """request_id, tier, model, answer, attempts of (request_id, tier, pool, model, status, rate_limit, error, answer), final outcomes.
 
     A pool that answers 429 is dead for later tiers, but not if its limit is 0 (the model isn't
-    available); the first answer wins, and tiers after it aren't asked. A request has at most one
-    outcome a tier, so a fold over its outcomes is small.
+    available); the first answer wins, and tiers after it aren't asked. An outcome without a pool shares
+    none. A request has at most one outcome a tier, so a fold over its outcomes is small.
     """
     gone = model_unavailable(F.col("status"), F.col("rate_limit"))
-    row = F.struct("tier", "pool", F.coalesce(F.col("status") == TOO_MANY, F.lit(False)).alias("limited"), F.coalesce(gone, F.lit(False)).alias("gone"), "error", "answer")
+    row = F.struct("tier", "pool", "model", F.coalesce(F.col("status") == TOO_MANY, F.lit(False)).alias("limited"), F.coalesce(gone, F.lit(False)).alias("gone"), "error", "answer")
     tried = outcomes.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.array().cast("array<string>").alias("dead"), F.array().cast(ATTEMPTS).alias("attempts"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("string").alias("answer"))
+    start = F.struct(F.array().cast("array<string>").alias("dead"), F.array().cast(ATTEMPTS).alias("attempts"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("answer"))
 
     def step(s: Column, x: Column) -> Column:
-        dead = F.array_contains(s["dead"], x["pool"])
+        dead = F.coalesce(F.array_contains(s["dead"], x["pool"]), F.lit(False))
         note = F.when(dead, F.concat(F.lit("skipped: "), x["pool"], F.lit(" exhausted"))).when(x["gone"], F.concat(F.lit("not available on this account: "), x["error"])).otherwise(x["error"])
         won = ~dead & x["answer"].isNotNull()
-        kills = ~dead & x["limited"] & ~x["gone"] & x["answer"].isNull()
-        attempt = F.array(F.struct(x["tier"].cast("int").alias("tier"), note.alias("error")))
+        kills = x["pool"].isNotNull() & ~dead & x["limited"] & ~x["gone"] & x["answer"].isNull()
+        attempt = F.array(F.struct(x["tier"].cast("int").alias("tier"), x["model"].alias("model"), note.alias("error")))
         after = F.struct(
             F.when(kills, F.concat(s["dead"], F.array(x["pool"]))).otherwise(s["dead"]).alias("dead"),
             F.when(won, s["attempts"]).otherwise(F.concat(s["attempts"], attempt)).alias("attempts"),
             F.when(won, x["tier"].cast("int")).alias("tier"),
+            F.when(won, x["model"]).alias("model"),
             F.when(won, x["answer"]).alias("answer"),
         )
         return F.when(s["tier"].isNotNull(), s).otherwise(after)
 
-    return tried.withColumn("end", F.aggregate("rows", start, step)).select("request_id", "end.tier", "end.answer", "end.attempts")
+    return tried.withColumn("end", F.aggregate("rows", start, step)).select("request_id", "end.tier", "end.model", "end.answer", "end.attempts")
 
 
-class ProviderError(Exception):
-    """What a client raises; `wait` is the seconds that the answer asks for."""
+def failure(attempts: Column) -> Column:
+    """The message of a request that no tier answered, with every attempt; null where there was none."""
+    each = F.transform(attempts, lambda a: F.concat(F.lit("tier "), a["tier"].cast("string"), F.lit(" "), F.coalesce(a["model"], F.lit("?")), F.lit(": "), F.coalesce(a["error"], F.lit("?"))))
+    return F.when(F.size(attempts) > 0, F.concat(F.lit("no tier answered: "), F.array_join(each, "; ")))
 
-    def __init__(self, message: str, status: int | None = None, wait: float | None = None, rate_limit: float | None = None):
-        super().__init__(message)
-        self.status, self.wait, self.rate_limit = status, wait, rate_limit
+
+def unanswered(results: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, status_code, error_code, error_message) of the results without an answer."""
+    return errors_table(results.filter("tier is null").withColumn("error_code", F.lit("generation_unavailable")), key, message=failure(F.col("attempts")))
 
 
 @dataclass
@@ -81,21 +69,24 @@ class Policy:
     budget: float = 900.0
     sleep: Callable[[float], None] = time.sleep
     clock: Callable[[], float] = time.monotonic
+    now: Callable[[], float] = time.time
 
-    def call(self, client, prompt: str, deadline: float) -> str:
+    def call(self, client, prompt: str, deadline: float) -> dict:
         for attempt in range(self.retries + 1):
             try:
                 return client.complete(prompt)
             except ProviderError as e:
-                wait = e.wait if e.wait is not None else self.base_delay * 2**attempt
+                until = None if e.reset is None else max(0.0, e.reset - self.now())
+                wait = next((x for x in (e.wait, until) if x is not None), self.base_delay * 2**attempt)
                 final = e.status not in (TOO_MANY, UNAVAILABLE) or attempt == self.retries or e.rate_limit == 0 and e.status == TOO_MANY
-                final = final or e.status == TOO_MANY and (e.wait or 0) > self.exhausted_after
+                final = final or e.status == TOO_MANY and max(e.wait or 0, until or 0) > self.exhausted_after
                 if final or wait > self.longest_delay or self.clock() + wait >= deadline:
                     raise
                 self.sleep(wait)
         raise AssertionError("unreachable")
 
-    def run(self, clients: list, prompt: str) -> tuple[int | None, str | None, list[dict]]:
+    def run(self, clients: list, prompt: str) -> tuple[int | None, dict | None, list[dict]]:
+        """The tier that answered, its answer (text, model, finish_reason), and the attempts before it."""
         deadline, dead, attempts = self.clock() + self.budget, set(), []
         for c in clients:
             note = f"skipped: {c.pool} exhausted" if c.pool in dead else "skipped: time budget spent" if self.clock() >= deadline else None
@@ -107,33 +98,39 @@ class Policy:
                     note = f"not available on this account: {e}" if gone else str(e)
                     if e.status == TOO_MANY and not gone:
                         dead.add(c.pool)
-            attempts.append({"tier": c.tier, "error": note})
+            attempts.append({"tier": c.tier, "model": c.model, "error": note})
         return None, None, attempts
 
 
 def complete(prompts: DataFrame, clients: Callable[[], list], policy: Policy | None = None) -> DataFrame:
-    """pair_id, tier, answer, attempts of (pair_id, prompt). `clients` makes the providers once in a task; each has tier, pool and complete(prompt).
+    """pair_id, tier, model, finish_reason, answer, attempts of (pair_id, prompt).
 
-    Calls aren't repeatable: write the result before using it twice, and switch speculation off.
+    `clients` makes the providers once in a task (operators.providers.Client over a transport, or others
+    with tier, pool, model and complete(prompt)). Calls aren't repeatable: write the result before using
+    it twice, and switch speculation off.
     """
     rule = policy or Policy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = sorted(clients(), key=lambda c: c.tier)
         for batch in batches:
-            rows = [rule.run(made, p) if p and p.strip() else (None, None, [{"tier": None, "error": "prompt must not be empty"}]) for p in batch.column(1).to_pylist()]
-            tier, answer, attempts = zip(*rows, strict=True) if rows else ((), (), ())
-            kind = pa.list_(pa.struct([("tier", pa.int32()), ("error", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tier, pa.int32()), pa.array(answer, pa.string()), pa.array(attempts, kind)], ["pair_id", "tier", "answer", "attempts"])
+            rows = [rule.run(made, p) if p and p.strip() else (None, None, [{"tier": None, "model": None, "error": "prompt must not be empty"}]) for p in batch.column(1).to_pylist()]
+            said = [a or {} for _, a, _ in rows]
+            kind = pa.list_(pa.struct([("tier", pa.int32()), ("model", pa.string()), ("error", pa.string())]))
+            texts = [pa.array([a.get(k) for a in said], pa.string()) for k in ("model", "finish_reason", "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _, _ in rows], pa.int32()), *texts, pa.array([x for _, _, x in rows], kind)], ["pair_id", "tier", "model", "finish_reason", "answer", "attempts"])
 
-    return prompts.select(F.col("pair_id").cast("long"), "prompt").mapInArrow(run, f"pair_id long, tier int, answer string, attempts {ATTEMPTS}")
+    return prompts.select(F.col("pair_id").cast("long"), "prompt").mapInArrow(run, f"pair_id long, tier int, model string, finish_reason string, answer string, attempts {ATTEMPTS}")
 
 
-def embed(texts: DataFrame, client: Callable[[], object], dim: int, size: int = 96) -> DataFrame:
-    """id, embedding (unit length) and error of (id, text); the client embeds lists of at most `size` texts."""
+def embed(texts: DataFrame, client: Callable[[], object], dim: int, size: int = BATCH, max_input_tokens: int | None = None) -> DataFrame:
+    """id, embedding (unit length) and error of (id, text); the client embeds lists of at most `size` texts, of which BATCH is the most."""
     from duoscope.operators.vectors import text_errors, unit, validated
 
-    checked = text_errors(texts.select(F.col("id").cast("long"), "text"))
+    if not 1 <= size <= BATCH:
+        raise ValueError(f"a batch holds 1 to {BATCH} texts")
+
+    checked = text_errors(texts.select(F.col("id").cast("long"), "text"), max_input_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = client()

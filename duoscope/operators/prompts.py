@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duoscope.functions.errors import status_code
 from duoscope.functions.text import strip, tokens
 from duoscope.operators.selection import select_within
 
@@ -24,14 +25,28 @@ class Instructions:
     closing: str
 
 
-RULES = "Side A describes the work, side B carries it out. Cite a part by its id and the exact words, as in [B-17 \"the words\"]."
+PREAMBLE = """You compare two sides of one piece of work. Side A describes what should be done, side B is what was done. Each side comes as an outline of all its parts and the text of those that had room."""
+RULES = (
+    "Say only what the texts show; where a part's text was not included, say that you have not seen it.",
+    'Cite a part by its id and its exact words, as in [B-17 "the words"], for each claim about it.',
+    "Quote from one line where you can, without changing a character.",
+    "A value that differs, one that only one side has, and one that can't be found are three different things.",
+)
+LABELS = {
+    "DIFFERENT": "both sides state it and they disagree",
+    "ONLY IN A": "described, and not found in side B",
+    "ONLY IN B": "done, and not described in side A",
+    "UNSEEN": "the part that would show it was not included",
+}
 
 
 def instructions(name: str, sections: list[str]) -> Instructions:
-    """The header lists the sections of the answer; the closing repeats their numbers."""
+    """The header has preamble, rules, labels and the sections of the answer; the closing repeats their numbers."""
     numbers = ", ".join(f"§{i}" for i in range(1, len(sections) + 1))
+    rules = "\n".join(f"- {x}" for x in RULES)
+    labels = "\n".join(f"{k}: {v}" for k, v in LABELS.items())
     listed = "\n".join(f"§{i} {s}" for i, s in enumerate(sections, 1))
-    return Instructions(name, f"{RULES}\n\nOUTPUT\n{listed}", f"Answer with sections {numbers} in this order.")
+    return Instructions(name, f"{PREAMBLE}\n\nRULES\n{rules}\n\nLABELS\n{labels}\n\nOUTPUT\n{listed}", f"Answer with sections {numbers} in this order.")
 
 
 TEMPLATES = {
@@ -83,3 +98,16 @@ def plan(chunks: DataFrame, questions: DataFrame, template: Instructions = TEMPL
     fits = (F.col("n_sent") > 0) & (tokens(F.col("prompt")) <= budget)
     status = F.when(F.col("prompt").isNull(), "invalid_question").when(fits, "ok").otherwise("artifacts_too_large_to_compare")
     return selected, made.join(sent, "pair_id").withColumn("status", status)
+
+
+def report(results: DataFrame, counts: DataFrame, cited: DataFrame) -> DataFrame:
+    """pair_id, status_code (null where there is an answer) and report, the JSON that a request returns.
+
+    results: pair_id, answer, model, tier, finish_reason, attempts; counts: side_counts(); cited:
+    citation_counts(). Pairs of counts that have no result come without an answer.
+    """
+    sides = counts.groupBy("pair_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("side", F.struct("total", "sent"))))).alias("chunks"))
+    whole = sides.join(results, "pair_id", "left").join(cited, "pair_id", "left")
+    body = F.struct("answer", "model", "tier", "finish_reason", "attempts", "chunks", F.struct("written", "resolved", "resolved_list").alias("citations"))
+    code = F.when(F.col("tier").isNull(), "generation_unavailable")
+    return whole.select("pair_id", status_code(code).alias("status_code"), F.to_json(body).alias("report"))

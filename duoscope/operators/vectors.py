@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.functions.text import strip, tokens
-
-BATCH = 96
+from duoscope.operators.providers import BATCH
 
 
 def norm(vector: Column) -> Column:
@@ -37,3 +36,9 @@ def batches(texts: DataFrame, by: str, order: str, size: int = BATCH) -> DataFra
     from pyspark.sql import Window
 
     return texts.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("int"))
+
+
+def first_errors(checked: DataFrame, by: str, order: str, k: int = 3) -> DataFrame:
+    """(by, error, n, first) of texts with error: how many of a batch have it, and the first k by order."""
+    found = checked.filter("error is not null").groupBy(by, "error")
+    return found.agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("first"))  # a batch has at most BATCH texts

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from duoscope.functions import responses as R
 from duoscope.functions import text as T
-from duoscope.operators import chunking, citations, completion, prompts, selection, vectors
+from duoscope.functions.errors import errors_table
+from duoscope.operators import chunking, citations, completion, prompts, providers, selection, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -188,10 +189,26 @@ def build_prompt(spark, sf_dir):
     return prompts.build_prompt(prompts.build_context(s).join(questions(s), "pair_id"), REPORT).select("pair_id", "prompt")
 
 
-@query()
+# The plan: overhead and room of each pair, its budget from the room, and the tokens of the prompt that comes out.
+PLAN = f"""{TURNS}, q AS (SELECT pair_id, sum(ceil((length(chunk_id) + 2) / 3.0)) AS prefixes FROM c GROUP BY pair_id),
+ z AS (SELECT *, FALSE AS chosen FROM c),
+ x AS (SELECT pair_id, side, 'SIDE ' || side || chr(10) || chr(10) || 'ALL PARTS, IN ORDER' || chr(10) || string_agg(chunk_id || '  text NOT included  ' || header, chr(10) ORDER BY pos)
+    || chr(10) || chr(10) || 'TEXT' || chr(10) || '(no part of this side was included)' AS part FROM z GROUP BY pair_id, side),
+ y AS (SELECT pair_id, string_agg(part, chr(10) || chr(10) || chr(10) ORDER BY side) AS context FROM x GROUP BY pair_id),
+ r AS (SELECT pair_id, (ceil(length({PROMPT}) / 3.0) + prefixes)::BIGINT AS overhead FROM y JOIN q USING (pair_id)),
+ i AS (SELECT c.*, overhead, 1200 - overhead AS room, 1200 - overhead > 0 AND sum(cost) OVER (PARTITION BY pair_id, side ORDER BY pos ROWS UNBOUNDED PRECEDING) <= floor((1200 - overhead) / 2.0) AS included FROM c JOIN r USING (pair_id)),
+ e AS (SELECT pair_id, side, 'SIDE ' || side || chr(10) || chr(10) || 'ALL PARTS, IN ORDER' || chr(10)
+    || string_agg(chunk_id || '  ' || CASE WHEN included THEN 'text included' ELSE 'text NOT included' END || '  ' || header, chr(10) ORDER BY pos) || chr(10) || chr(10) || 'TEXT' || chr(10)
+    || coalesce(string_agg(chunk_id || '  ' || header || chr(10) || text, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE included), '(no part of this side was included)') AS part FROM i GROUP BY pair_id, side),
+ k AS (SELECT pair_id, string_agg(part, chr(10) || chr(10) || chr(10) ORDER BY side) AS context FROM e GROUP BY pair_id),
+ n AS (SELECT pair_id, count(*) FILTER (WHERE included) AS n_sent, min(overhead) AS overhead, min(room) AS room FROM i GROUP BY pair_id)"""
+
+
+@query(f"""WITH {PLAN} SELECT pair_id, overhead, room, n_sent, CASE WHEN n_sent > 0 AND ceil(length({PROMPT}) / 3.0) <= 1200 THEN 'ok' ELSE 'artifacts_too_large_to_compare' END AS status
+    FROM k JOIN n USING (pair_id)""")
 def prompt_plan(spark, sf_dir):
     t = selection.assign_ids(turns(spark, sf_dir))
-    return prompts.plan(t, questions(t), budget=1_000)[1].select("pair_id", "overhead", "room", "n_sent", "status")
+    return prompts.plan(t, questions(t), budget=1_200)[1].select("pair_id", "overhead", "room", "n_sent", "status")
 
 
 def answers(spark, sf_dir) -> DataFrame:
@@ -276,19 +293,19 @@ def reset_epoch(spark, sf_dir):
     return waits(spark, sf_dir).select("event_id", "reset")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 7.5::DOUBLE WHEN event_id % 4 = 1 THEN 30.0::DOUBLE WHEN event_id % 5 = 0 THEN (2.0::DOUBLE) ** (event_id % 3) ELSE (event_id % 90)::DOUBLE END AS delay FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 7.5::DOUBLE WHEN event_id % 4 = 1 THEN 30.0::DOUBLE WHEN event_id % 4 = 2 THEN 0.0::DOUBLE WHEN event_id % 5 = 0 THEN (2.0::DOUBLE) ** (event_id % 3) ELSE (event_id % 90)::DOUBLE END AS delay FROM events""")
 def retry_delay(spark, sf_dir):
     reset = F.when((F.col("event_id") % 5 != 0), F.col("reset"))
     return waits(spark, sf_dir).select("event_id", R.delay(F.col("told"), reset, F.lit(NOW), F.col("event_id") % 3).alias("delay"))
 
 
-TIERS = ", ".join(f"({t}, {w}, {o}, {i or 'NULL'})" for t, _, w, o, i in completion.PROVIDERS)
+TIERS = ", ".join(f"({p.tier}, {p.window}, {p.most_out}, {p.most_in or 'NULL'})" for p in providers.CHAIN)
 
 
 @query(f"""WITH p(tier, win, most_out, most_in) AS (VALUES {TIERS}), d AS (SELECT doc_id, ceil(ceil(length(text) / 3.0)::DOUBLE * 1.1::DOUBLE)::BIGINT AS padded FROM documents)
     SELECT doc_id, tier, padded, CASE WHEN 4000 > most_out THEN 'max_output' WHEN padded > most_in THEN 'max_input' WHEN padded + 4000 > win THEN 'window' END AS reason FROM d, p""")
 def provider_fit(spark, sf_dir):
-    return completion.provider_fit(table(spark, sf_dir, "documents"), 4000).select("doc_id", "tier", "padded", "reason")
+    return providers.provider_fit(table(spark, sf_dir, "documents"), 4000).select("doc_id", "tier", "padded", "reason")
 
 
 def outcomes(spark, sf_dir) -> DataFrame:
@@ -296,7 +313,7 @@ def outcomes(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     code = (F.col("event_id") * 13 + F.floor(F.col("event_id") / 5)) % 7
     status = F.when(code == 0, 200).when(code <= 4, 429).otherwise(503)
-    return e.select(F.floor(F.col("event_id") / 5).alias("request_id"), (F.col("event_id") % 5 + 1).cast("int").alias("tier"), F.col("event_type").alias("pool"), status.alias("status"), F.when(code == 4, 0.0).alias("rate_limit"), F.concat(F.lit("status "), status.cast("string")).alias("error"), F.when(code == 0, F.concat(F.lit("answer "), F.col("event_id").cast("string"))).alias("answer"))
+    return e.select(F.floor(F.col("event_id") / 5).alias("request_id"), (F.col("event_id") % 5 + 1).cast("int").alias("tier"), F.col("event_type").alias("pool"), F.concat(F.lit("model "), (F.col("event_id") % 5 + 1).cast("string")).alias("model"), status.alias("status"), F.when(code == 4, 0.0).alias("rate_limit"), F.concat(F.lit("status "), status.cast("string")).alias("error"), F.when(code == 0, F.concat(F.lit("answer "), F.col("event_id").cast("string"))).alias("answer"))
 
 
 @query("""WITH o AS (SELECT event_id // 5 AS request_id, event_id % 5 + 1 AS tier, event_type AS pool, (event_id * 13 + event_id // 5) % 7 AS code, event_id FROM events),
@@ -310,11 +327,114 @@ def fallback_chain(spark, sf_dir):
     return found.select("request_id", "tier", "answer", F.array_join(F.transform("attempts", lambda a: F.concat_ws(" ", a["tier"].cast("string"), a["error"])), "; ").alias("attempts"))
 
 
-@query()
+# A request for each pair, answered as the request of the same number among the outcomes.
+REPLY = """o AS (SELECT event_id // 5 AS request_id, event_id % 5 + 1 AS tier, event_type AS pool, (event_id * 13 + event_id // 5) % 7 AS code, event_id FROM events),
+    d AS (SELECT *, coalesce(bool_or(code BETWEEN 1 AND 3) OVER (PARTITION BY request_id, pool ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS dead FROM o),
+    w AS (SELECT *, min(CASE WHEN code = 0 AND NOT dead THEN tier END) OVER (PARTITION BY request_id) AS won FROM d),
+    a AS (SELECT request_id AS pair_id, min(won)::INT AS tier, max(CASE WHEN tier = won THEN 'answer ' || event_id END) AS answer, count(*) FILTER (WHERE won IS NULL OR tier < won) AS n_attempts FROM w GROUP BY request_id)"""
+
+
+@query(f"""WITH {TURNS}, {REPLY}, l AS (SELECT pair_id, pos, unnest(string_split(text, chr(10))) AS line FROM t),
+    q AS (SELECT pair_id, pos, substring(string_split(text, chr(10))[1], 4, 30) AS quote FROM c),
+    f AS (SELECT q.pair_id, q.pos, trim(quote) <> '' AND bool_or(contains(line, trim(quote))) AS found FROM q JOIN l USING (pair_id, pos) GROUP BY q.pair_id, q.pos, quote),
+    g AS (SELECT pair_id, count(*) AS written, count(*) FILTER (WHERE found) AS resolved FROM f GROUP BY pair_id),
+    h AS (SELECT pair_id, count(*) FILTER (WHERE side = 'A') AS a_total, count(*) FILTER (WHERE side = 'A' AND included) AS a_sent, count(*) FILTER (WHERE side = 'B') AS b_total, count(*) FILTER (WHERE side = 'B' AND included) AS b_sent FROM s GROUP BY pair_id)
+    SELECT h.*, answer, CASE WHEN tier IS NOT NULL THEN 'model ' || tier END AS model, tier, CASE WHEN tier IS NOT NULL THEN 'stop' END AS finish_reason, coalesce(n_attempts, 0) AS n_attempts, written, resolved,
+    CASE WHEN tier IS NULL THEN 503 END AS status_code FROM h LEFT JOIN a USING (pair_id) LEFT JOIN g USING (pair_id)""")
 def compare_report(spark, sf_dir):
-    """What a request returns for each pair: counts by side, and the citations of an answer that quotes its turns."""
+    """What a request returns for each pair, read back from its JSON: the answer and how it was had, counts by side, and the citations of an answer that quotes its turns."""
     found, t = quotes(spark, sf_dir)
-    counts = selection.side_counts(selection.select_within(t, BUDGET)).groupBy("pair_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("side", F.struct("total", "sent"))))).alias("chunks"))
-    cited = citations.citation_counts(citations.resolve(found, t))
-    body = F.to_json(F.struct("chunks", F.struct("written", "resolved", "resolved_list").alias("citations")))
-    return counts.join(cited, "pair_id", "left").select("pair_id", body.alias("report"))
+    body = prompts.report(
+        completion.fallback(outcomes(spark, sf_dir)).withColumn("finish_reason", F.when(F.col("tier").isNotNull(), "stop")).withColumnRenamed("request_id", "pair_id"),
+        selection.side_counts(selection.select_within(t, BUDGET)),
+        citations.citation_counts(citations.resolve(found, t)),
+    )
+    get = lambda path: F.get_json_object("report", f"$.{path}")
+    count = lambda path: F.coalesce(get(path), F.lit("0")).cast("long")
+    return body.select(
+        "pair_id", *[count(f"chunks.{s}.{k}").alias(f"{s.lower()}_{k}") for s in "AB" for k in ("total", "sent")],
+        get("answer").alias("answer"), get("model").alias("model"), get("tier").cast("int").alias("tier"), get("finish_reason").alias("finish_reason"),
+        F.coalesce(F.json_array_length(get("attempts")), F.lit(0)).cast("long").alias("n_attempts"), count("citations.written").alias("written"), F.json_array_length(get("citations.resolved_list")).cast("long").alias("resolved"),
+        "status_code",
+    )
+
+
+CODES = "CASE event_id % 5 WHEN 0 THEN 'invalid_question' WHEN 1 THEN 'upload_too_large' WHEN 2 THEN 'generation_unavailable' WHEN 3 THEN 'no such code' END"
+
+
+@query(f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN 422 WHEN 1 THEN 413 WHEN 2 THEN 503 ELSE 400 END AS status_code, {CODES} AS error_code, event_type AS error_message FROM events WHERE event_id % 5 < 4")
+def error_rows(spark, sf_dir):
+    return errors_table(table(spark, sf_dir, "events").withColumn("error_code", F.expr(CODES)), "event_id", message=F.col("event_type"))
+
+
+def around(request: dict, *mark: str) -> tuple[str, str]:
+    before, after = providers.around(request, *mark)
+    return quoted(before), quoted(after)
+
+
+CHAT = [(p.tier, *around(p.request(providers.MARK, 4000))) for p in (providers.CHAIN[0], providers.CHAIN[3], providers.CHAIN[4])]
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, {t} AS tier, {b} || to_json(text)::VARCHAR || {a} AS body FROM documents" for t, b, a in CHAT))
+def chat_payloads(spark, sf_dir):
+    """The requests of three tiers for each document as a prompt."""
+    d = table(spark, sf_dir, "documents")
+    rows = [F.struct(F.lit(p.tier).alias("tier"), providers.chat_payload(p, F.col("text"), 4000).alias("body")) for p in (providers.CHAIN[0], providers.CHAIN[3], providers.CHAIN[4])]
+    return d.select("doc_id", F.inline(F.array(*rows)))
+
+
+def embed_sql(e: providers.Embedder) -> str:
+    if e.kind == "values":
+        before, after = around(e.request([providers.MARK])["requests"][0])
+        return f"'{{\"requests\":[' || array_to_string(list_transform(texts, lambda t: {before} || to_json(t)::VARCHAR || {after}), ',') || ']}}'"
+    before, after = around(e.request([providers.MARK]), providers.json.dumps([providers.MARK]))
+    return f"{before} || to_json(texts)::VARCHAR || {after}"
+
+
+@query("WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id) " + " UNION ALL ".join(f"SELECT conv_id, {quoted(e.model)} AS model, {embed_sql(e)} AS body FROM t" for e in providers.EMBEDDERS))
+def embed_payloads(spark, sf_dir):
+    """The requests of every embedder for the turns of each conversation."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    rows = [F.struct(F.lit(e.model).alias("model"), providers.embed_payload(e, F.col("texts")).alias("body")) for e in providers.EMBEDDERS]
+    return t.select("conv_id", F.inline(F.array(*rows)))
+
+
+@query(r"""SELECT doc_id, doc_id % 2 = 0 AS google, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') END AS said,
+    CASE WHEN doc_id % 2 = 0 THEN 'served' ELSE 'configured' END AS model,
+    CASE WHEN doc_id % 7 = 3 AND doc_id % 2 = 0 THEN 'prompt was blocked: SAFETY' WHEN doc_id % 7 = 3 OR regexp_replace(text, '\s', '', 'g') = '' THEN 'returned an empty answer (' || CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE 'length' END || ')' END AS error,
+    CASE WHEN doc_id % 2 = 0 THEN '? in / ? out / ? thought tokens' ELSE doc_id || ' in / 7 out / ? reasoning tokens' END AS usage FROM documents""")
+def provider_answers(spark, sf_dir):
+    """Response bodies made of documents, in both shapes, read back."""
+    text = providers.json_string(F.col("text"))
+    n = F.col("doc_id")
+    google = F.when(n % 7 == 3, F.lit('{"modelVersion":"served","promptFeedback":{"blockReason":"SAFETY"}}')).otherwise(F.concat(F.lit('{"modelVersion":"served","candidates":[{"content":{"parts":[{"text":'), text, F.lit("},{}]}}]}")))
+    content = F.when(n % 7 == 3, F.lit('" "')).when(n % 3 == 0, F.concat(F.lit('[{"type":"thinking","text":"x"},{"type":"text","text":'), text, F.lit("}]"))).otherwise(text)
+    openai = F.concat(F.lit('{"choices":[{"finish_reason":"length","message":{"content":'), content, F.lit('}}],"usage":{"completion_tokens":7,"prompt_tokens":'), n.cast("string"), F.lit("}}"))
+    is_google = n % 2 == 0
+    d = table(spark, sf_dir, "documents").select("doc_id", is_google.alias("google"), google.alias("g"), openai.alias("o"))
+    name = F.lit("configured")
+    a = F.when(F.col("google"), R.answer(F.col("g"), "google", name)).otherwise(R.answer(F.col("o"), "openai", name))
+    usage = F.when(F.col("google"), R.usage_summary(F.col("g"), "google")).otherwise(R.usage_summary(F.col("o"), "openai"))
+    return d.select("doc_id", "google", a.alias("a"), usage.alias("usage")).select("doc_id", "google", F.col("a.text").alias("said"), F.col("a.model").alias("model"), F.col("a.error").alias("error"), "usage")
+
+
+@query(f"""SELECT event_id, 'p HTTP ' || CASE WHEN event_id % 2 = 0 THEN 429 ELSE 503 END || ': ' || event_type AS message, CASE WHEN event_id % 2 = 0 THEN 429 ELSE 503 END AS status,
+    CASE WHEN event_id % 3 = 0 THEN (event_id % 50)::DOUBLE END AS retry_after, {NOW!r}::DOUBLE + event_id % 90 AS reset_at, CASE WHEN event_id % 2 = 0 THEN 0.0::DOUBLE END AS rate_limit FROM events""")
+def error_outcomes(spark, sf_dir):
+    """What responses of status 429 and 503 say, their headers made of events."""
+    n = F.col("event_id")
+    headers = F.map_filter(
+        F.create_map(F.lit("Retry-After"), F.when(n % 3 == 0, (n % 50).cast("string")), F.lit("X-RateLimit-Reset"), (n % 90).cast("string"), F.lit("X-RateLimit-Limit-Tokens"), F.when(n % 2 == 0, "0")),
+        lambda k, v: v.isNotNull(),
+    )
+    status = F.when(n % 2 == 0, 429).otherwise(503)
+    found = table(spark, sf_dir, "events").select("event_id", R.outcome(F.lit("p"), status, headers, F.col("event_type"), F.lit(NOW)).alias("o"))
+    return found.select("event_id", "o.*")
+
+
+@query(f"SELECT p_partkey, p_brand FROM part WHERE upper(split_part(p_type, ' ', 1)) || '_API_KEY' IN (SELECT upper(split_part(p_type, ' ', 1)) || '_API_KEY' FROM part WHERE p_size < 3 AND p_partkey < 400)")
+def keyed_tiers(spark, sf_dir):
+    """Parts as tiers, the kinds of some small ones as the keys that are set."""
+    p = table(spark, sf_dir, "part")
+    key = F.concat(F.upper(F.split("p_type", " ")[0]), F.lit("_API_KEY"))
+    return providers.keyed_tiers(p.withColumn("key_env", key), p.filter("p_size < 3 and p_partkey < 400").select(key.alias("name"))).select("p_partkey", "p_brand")

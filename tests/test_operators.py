@@ -1,10 +1,13 @@
 import json
+import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from duoscope.functions import pieces, responses, text
-from duoscope.operators import chunking, citations, completion, prompts, selection, vectors
+from duoscope.functions import errors, pieces, responses, text
+from duoscope.operators import chunking, citations, completion, prompts, providers, selection, vectors
 from duoscope.sources import files
 from duoscope.streaming.intake import start_intake
 
@@ -103,7 +106,7 @@ def test_resolution_order(spark):
 def test_headers(spark):
     now = F.lit(1_000_000_000.0)
     assert one(spark, responses.retry_after(F.col("h"), now), h="5") == 5
-    assert one(spark, responses.retry_after(F.col("h"), now), h="-5") is None
+    assert one(spark, responses.retry_after(F.col("h"), now), h="-5") == 0
     assert one(spark, responses.retry_after(F.col("h"), now), h="soon") is None
     assert one(spark, responses.retry_after(F.col("h"), now), h="Sun, 09 Sep 2001 01:46:50 GMT") == 10
     assert one(spark, responses.reset_at(F.col("h"), now), h="30") == 1_000_000_030
@@ -116,7 +119,12 @@ def test_bodies(spark):
     message = lambda c: body({"choices": [{"message": {"content": c}}]})
     assert one(spark, responses.openai_message(F.col("b")), b=message("hi")) == "hi"
     assert one(spark, responses.openai_message(F.col("b")), b=message([{"type": "text", "text": "a"}, {"type": "think"}, {"type": "text", "text": "b"}])) == "ab"
-    assert one(spark, responses.openai_message(F.col("b")), b=message("")) is None
+    for given, want in (("", None), (" \n", None), (" x ", "x"), ("[]", "[]"), ('[{"a":1}]', '[{"a":1}]'), ([], None), (["a"], None), (5, None), (None, None)):
+        assert one(spark, responses.openai_message(F.col("b")), b=message(given)) == want, given
+    assert one(spark, responses.google_message(F.col("b")), b=body({"candidates": [{"content": {"parts": [{"text": " "}]}}]})) is None
+    blocked = one(spark, responses.answer(F.col("b"), "google", F.lit("n")), b=body({"promptFeedback": {"blockReason": "SAFETY"}}))
+    assert tuple(blocked) == (None, "n", "unknown", "prompt was blocked: SAFETY")
+    assert one(spark, responses.answer(F.col("b"), "openai", F.lit("n")), b="not JSON").error == "the response can't be read"
     assert one(spark, responses.google_message(F.col("b")), b=body({"candidates": [{"content": {"parts": [{"text": "x"}, {"text": "y"}]}}]})) == "xy"
     assert one(spark, responses.raw_vectors(F.col("b"), "indexed"), b=body({"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]})) == [[1.0], [2.0]]
     assert one(spark, responses.raw_vectors(F.col("b"), "result"), b=body({"success": True, "result": {"shape": [2, 1], "data": [[1.0]]}})) is None
@@ -124,15 +132,167 @@ def test_bodies(spark):
     assert one(spark, responses.raw_vectors(F.col("b"), "values"), b=body({"embeddings": [{"values": [3.0]}]})) == [[3.0]]
 
 
+def test_hostile_python_is_cut_by_size():
+    for source in ("-" * 20_000 + "x", "x" + ".a" * 20_000, "(" * 300 + ")" * 300):
+        assert pieces.by_definition(source) == pieces.by_size(source)
+
+
+def test_a_form_feed_shifts_text_but_not_lines():
+    """The parser counts two lines before f, splitlines() three, so the text of f ends a line early."""
+    assert pieces.by_definition("x = 1\n\x0c\ndef f():\n    pass\n") == [("x = 1", 1, 1, ""), ("def f():", 4, 4, "def f"), ("    pass", 5, 5, "")]
+
+
+def slow_merge(parts, text):
+    """By definition: the first small piece with a fitting neighbour is joined, and all starts again from there."""
+    lines = text.splitlines()
+    body = lambda a, b: "\n".join(lines[min(a[1], b[1]) - 1 : max(a[2], b[2])])
+    at, parts = 0, list(parts)
+    while at < len(parts):
+        options = []
+        for other in (at + 1, at - 1):
+            if len(parts[at][0]) < 90 and 0 <= other < len(parts) and len(body(parts[at], parts[other])) <= 1530:
+                shared = len(os.path.commonprefix([parts[x][3].split(" · ") for x in (at, other)]))
+                options.append((shared, other > at, other))
+        if not options:
+            at += 1
+            continue
+        a, b = sorted((at, max(options)[2]))
+        longer = parts[b] if len(parts[b][0]) > len(parts[a][0]) else parts[a]
+        parts[a : b + 1] = [(body(parts[a], parts[b]), min(parts[a][1], parts[b][1]), max(parts[a][2], parts[b][2]), longer[3])]
+        at = a
+    return parts
+
+
+def test_merging_against_a_slow_version():
+    rnd = random.Random(1)
+    for _ in range(400):
+        lines, parts = [], []
+        for _ in range(rnd.randint(1, 12)):
+            first = len(lines) + 1
+            lines += [" ".join(rnd.choice(["aa", "bbbb", "c"]) for _ in range(rnd.choice([1, 3, 10, 60, 200]))) for _ in range(rnd.randint(1, 3))]
+            parts.append(("\n".join(lines[first - 1 :]), first, len(lines), rnd.choice(["", "a", "a · b", "a · b · c", "d"])))
+            lines += [""] * (rnd.random() < 0.3)
+        text = "\n".join(lines)
+        assert pieces.merged(parts, text) == slow_merge(parts, text)
+
+
+def slow_cuts(text, separators=pieces.SEPARATORS):
+    """By definition: text that is too long is cut behind each of the first separator that it holds, and so on."""
+    if len(text) <= 1530:
+        return [text] if text else []
+    if not separators:
+        return [text[:1530], *slow_cuts(text[1530:], ())]
+    first, *others = separators
+    parts = [x + first for x in text.split(first)]
+    parts[-1] = parts[-1].removesuffix(first)
+    return [y for x in parts for y in slow_cuts(x, tuple(others))]
+
+
+def test_cuts_against_a_slow_version():
+    rnd = random.Random(2)
+    for _ in range(60):
+        text = "".join(rnd.choice(["word", " ", "\n", "\n\n", "\n\n\n", "x" * rnd.randint(1, 900)]) for _ in range(rnd.randint(1, 80)))
+        assert [text[a:b] for a, b in pieces.spans(text) if a < b] == slow_cuts(text)
+
+
+def test_positions_and_other_splitters(spark):
+    rows = [(1, "A", "b.rst", 0, "one"), (1, "A", "a.rst", 1, "two"), (1, "A", "b.rst", 2, "three"), (1, "A", ".md", 3, "# four")]
+    df = spark.createDataFrame(rows, "pair_id long, side string, name string, artifact_pos int, text string")
+    got = chunking.chunks(df, chunking.SPLITTERS | {".rst": lambda t: [(t.upper(), 1, 1, "R")]}).orderBy("pos").collect()
+    assert [(r.text, r.label, r.source) for r in got] == [("ONE", "R", "b.rst"), ("TWO", "R", "a.rst"), ("THREE", "R", "b.rst"), ("# four", "", ".md")]
+    twice = [(1, "A", "m.md", 5, "# T\nbody"), (1, "A", "m.md", 4, "# U\nother")]
+    got = chunking.chunks(spark.createDataFrame(twice, df.schema)).orderBy("pos").collect()
+    assert [r.label for r in got] == ["U", "T"]
+
+
+def test_a_quote_in_a_long_text(spark):
+    text_ = "\n".join(f"line {i} of the text" for i in range(5_000)) + "\nthe end\n  of it"
+    cites = spark.createDataFrame([(1, 0, "B-0", "line 4321 of the text line 4322 of"), (1, 1, "B-0", "the end of it"), (1, 2, "B-0", "none of this")], "pair_id long, n int, chunk_id string, quote string")
+    chunk = spark.createDataFrame([(1, "B-0", "b", 1, text_)], "pair_id long, chunk_id string, source string, start_line int, text string")
+    start = time.perf_counter()
+    assert [r.line for r in citations.resolve(cites, chunk).orderBy("n").collect()] == [4322, 5001, None]
+    assert time.perf_counter() - start < 20
+
+
+def test_an_outcome_without_a_pool(spark):
+    schema = "request_id long, tier int, pool string, model string, status int, rate_limit double, error string, answer string"
+    rows = [(1, 1, None, "a", 429, None, "busy", None), (1, 2, None, "b", 200, None, None, "yes"), (2, 1, "p", "a", 429, None, "busy", None), (2, 2, "p", "b", 200, None, None, "never")]
+    got = {r.request_id: r for r in completion.fallback(spark.createDataFrame(rows, schema)).collect()}
+    assert (got[1].tier, got[1].model, got[1].answer) == (2, "b", "yes") and got[2].tier is None
+    bad = completion.unanswered(completion.fallback(spark.createDataFrame(rows, schema))).collect()
+    assert [tuple(r) for r in bad] == [(2, 503, "generation_unavailable", "no tier answered: tier 1 a: busy; tier 2 b: skipped: p exhausted")]
+
+
+def test_error_codes(spark):
+    assert one(spark, errors.status_code(F.col("c")), c="upload_too_large") == 413
+    assert one(spark, errors.status_code(F.col("c")), c="what") == 400
+    rows = spark.createDataFrame([(i, t, "too_long" if i % 2 else None) for i, t in enumerate("abcdefghij")], "pos int, text string, error string").withColumn("batch", F.lit(0))
+    assert [tuple(r) for r in vectors.first_errors(rows, "batch", "pos").collect()] == [(0, "too_long", 5, [1, 3, 5])]
+    with pytest.raises(ValueError):
+        completion.embed(rows, None, dim=2, size=97)
+
+
+def test_requests(spark):
+    for p in providers.CHAIN:
+        body = one(spark, providers.chat_payload(p, F.col("t"), 9), t='a "b"\n\\é😀')
+        assert json.loads(body) == p.request('a "b"\n\\é😀', 9)
+    for e in providers.EMBEDDERS:
+        for task in ("query", "document"):
+            body = one(spark, providers.embed_payload(e, F.array("t", F.lit("x")), task), t='q"')
+            assert json.loads(body) == e.request(['q"', "x"], task)
+    assert [p.tier for p in providers.CHAIN] == list(range(1, 16))
+    assert providers.EMBEDDERS[3].request(["x"], "query")["requests"][0]["taskType"] == "RETRIEVAL_QUERY"
+
+
+def test_credentials():
+    env = {"CLOUDFLARE_API_KEY": " k ", "CLOUDFLARE_ACCOUNT_ID": "acc", "GOOGLE_API_KEY": "g", "MISTRAL_API_KEY": " "}
+    assert providers.address(providers.CHAIN[10], env).split("/")[-5:] == ["acc", "ai", "v1", "chat", "completions"]
+    assert providers.address(providers.EMBEDDERS[1], env).endswith("/acc/ai/run/@cf/baai/bge-base-en-v1.5")
+    assert providers.headers(providers.CHAIN[10], env)["Authorization"] == "Bearer k"
+    assert providers.headers(providers.EMBEDDERS[3], env)["x-goog-api-key"] == "g"
+    with pytest.raises(providers.ProviderError, match="MISTRAL_API_KEY is not set"):
+        providers.headers(providers.CHAIN[3], env)
+    with pytest.warns(UserWarning, match="OPENROUTER_API_KEY"):
+        assert "Gemini 3.7 Flash" in providers.validate_keys(env)
+    with pytest.raises(RuntimeError, match="GROQ_API_KEY"):
+        providers.validate_keys({})
+
+
+def test_client_over_a_transport():
+    sent, env = [], {"GOOGLE_API_KEY": "g", "GROQ_API_KEY": "q"}
+
+    def send(url, headers, body):
+        sent.append((url, json.loads(body)))
+        return replies.pop(0)
+
+    google, groq = (providers.Client(p, send, 100, env) for p in (providers.CHAIN[0], providers.CHAIN[11]))
+    replies = [(200, {}, json.dumps({"candidates": [{"finishReason": "STOP", "content": {"parts": [{"text": " a"}, {"text": "b "}]}}]})), (429, {"Retry-After": "7", "x-ratelimit-limit-day": "0"}, "slow " * 200)]
+    assert google.complete("hi") == {"text": "ab", "model": "Gemini 3.7 Flash", "finish_reason": "STOP"}
+    assert sent[0][0].endswith("gemini-3.7-flash:generateContent") and sent[0][1]["generationConfig"]["maxOutputTokens"] == 100
+    with pytest.raises(providers.ProviderError) as e:
+        google.complete("hi")
+    assert (e.value.status, e.value.wait, e.value.rate_limit) == (429, 7.0, 0.0) and len(str(e.value)) < 330
+    with pytest.raises(providers.ProviderError, match="does not fit"):
+        groq.complete("x" * 30_000)
+    assert len(sent) == 2
+    for body in ("nonsense", "{}", '{"choices":[{"message":{"content":" "}}]}', '{"choices":[{"message":{"content":5}}]}'):
+        with pytest.raises(providers.ProviderError):
+            providers.read_answer(providers.CHAIN[3], body)
+    said = {"choices": [{"message": {"content": [{"type": "text", "text": "x"}, {"type": "thinking"}]}}], "model": "m"}
+    assert providers.read_answer(providers.CHAIN[3], json.dumps(said)) == {"text": "x", "model": "m", "finish_reason": "unknown"}
+    assert providers.told({"X-RateLimit-Reset": "30"}, lambda: 1e9)["reset"] == 1e9 + 30
+    assert providers.told({"Retry-After": "Sun, 09 Sep 2001 01:46:50 GMT"}, lambda: 1e9)["wait"] == 10
+
+
 class Fake:
     def __init__(self, tier, pool, script):
-        self.tier, self.pool, self.script = tier, pool, list(script)
+        self.tier, self.pool, self.model, self.script = tier, pool, f"m{tier}", list(script)
 
     def complete(self, prompt):
         x = self.script.pop(0)
         if isinstance(x, Exception):
             raise x
-        return x
+        return {"text": x, "model": self.model, "finish_reason": "stop"}
 
 
 def test_live_policy():
@@ -140,20 +300,20 @@ def test_live_policy():
     waits = []
     rule = completion.Policy(sleep=waits.append, clock=lambda: 0.0)
     clients = [Fake(1, "p", [E("busy", 429, 5), E("busy", 429, 5)]), Fake(2, "p", []), Fake(3, "q", [E("none", 429, rate_limit=0)]), Fake(4, "q", [E("down", 503), "yes"])]
-    assert rule.run(clients, "x") == (4, "yes", [{"tier": 1, "error": "busy"}, {"tier": 2, "error": "skipped: p exhausted"}, {"tier": 3, "error": "not available on this account: none"}])
+    assert rule.run(clients, "x") == (4, {"text": "yes", "model": "m4", "finish_reason": "stop"}, [{"tier": 1, "model": "m1", "error": "busy"}, {"tier": 2, "model": "m2", "error": "skipped: p exhausted"}, {"tier": 3, "model": "m3", "error": "not available on this account: none"}])
     assert waits == [5, 1.0]
     assert rule.run([Fake(1, "p", [E("long", 429, 61)])], "x")[0] is None and len(waits) == 2
 
 
 def test_complete_and_embed_in_tasks(spark):
     class Echo:
-        tier, pool = 1, "p"
+        tier, pool, model = 1, "p", "m"
 
         def complete(self, prompt):
-            return prompt.upper()
+            return {"text": prompt.upper(), "model": "served", "finish_reason": "stop"}
 
     got = completion.complete(spark.createDataFrame([(1, "a"), (2, " ")], "pair_id long, prompt string"), lambda: [Echo()]).orderBy("pair_id").collect()
-    assert got[0].answer == "A" and got[1].answer is None
+    assert tuple(got[0]) == (1, 1, "served", "stop", "A", []) and got[1].answer is None
 
     class Twos:
         def embed(self, texts):
