@@ -19,6 +19,7 @@ import functools
 import json
 import math
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,26 +31,66 @@ KINDS = {
     "hex": (r"[0-9a-f]+", 0, 16),
 }
 MARKS = {"assign": (":", "="), "access": ("AKIA",)}  # of which a text with such a match holds one
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+SPAN = "array<struct<start:int,kind:int,end:int,run:string>>"
+BLOCK = 256
 LOW, WIDTH = 43, 80  # of the characters that the models know, from + to z
 PRIOR = 20.0  # transitions that the frequencies of characters count for
 
 
-def located(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1) -> Column:
-    """Spans of the leftmost non-overlapping matches whose group has at least `least` characters, in code points."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array all those before it, combined by an associative op.
+
+    Block by block, since an array that grows by one is copied each time: a text with 40,000 matches
+    costs 40,000 copies of half a block instead of half of 40,000 arrays.
+    """
+
+    def along(start: Column, block: Column) -> Column:
+        grown = F.aggregate(block, F.array(start), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x))))
+        return F.slice(grown, F.lit(1), F.size(block))
+
+    def in_blocks(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(along(zero, F.transform(bs, lambda block: F.aggregate(block, zero, op))), bs, along)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, in_blocks(v)).otherwise(F.slice(v, 1, 0)))
+
+
+def located(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1, keep: bool = False) -> Column:
+    """Spans of the leftmost non-overlapping matches whose group has at least `least` characters, in code points.
+
+    keep: with the match as `run`, since to take it from a long text by position would read all before it.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     between = F.split(text, pattern, -1)
-    triples = F.zip_with(F.zip_with(between, whole, lambda b, w: F.struct(F.length(b).alias("b"), F.length(w).alias("w"))), part, lambda x, p: F.struct(x["b"].alias("b"), x["w"].alias("w"), F.length(p).alias("p")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    matches = F.zip_with(F.zip_with(between, whole, lambda b, w: F.struct(F.length(b).alias("b"), F.length(w).alias("w"), (w if keep else F.lit(None).cast("string")).alias("run"))), part, lambda x, p: F.struct(x["b"].alias("b"), x["w"].alias("w"), x["run"].alias("run"), F.length(p).alias("p")))
 
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["b"]
-        end = begin + F.coalesce(x["w"], F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["p"], F.lit(0)) >= least, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+    def spans(m: Column) -> Column:
+        before = running(F.transform(m, lambda x: x["b"] + F.coalesce(x["w"], F.lit(0))), F.lit(0), lambda a, b: a + b)
+        placed = F.zip_with(m, before, lambda x, at: F.struct((at + x["b"]).alias("start"), F.lit(kind).alias("kind"), (at + x["b"] + x["w"]).alias("end"), x["run"].alias("run"), x["p"].alias("p")))
+        return F.transform(F.filter(placed, lambda x: F.coalesce(x["p"] >= least, F.lit(False))), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "end", "run")]))
 
-    return F.when(text.rlike(pattern), F.aggregate(triples, start, add, lambda s: s["found"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(matches, spans)).otherwise(F.array()).cast(SPAN)
+
+
+def apart(runs: Column, base: Column) -> Column:
+    """The runs that overlap none of the base spans, by one sweep over all of them in order."""
+    is_run = lambda x: x["kind"] >= len(KINDS)
+    beyond = F.lit((1 << 31) - 1)
+
+    def swept(every: Column) -> Column:
+        ended = running(F.transform(every, lambda x: F.when(is_run(x), 0).otherwise(x["end"])), F.lit(0), lambda a, b: F.greatest(a, b))
+        begins = F.reverse(running(F.transform(F.reverse(every), lambda x: F.when(is_run(x), beyond).otherwise(x["start"])), beyond, lambda a, b: F.least(a, b)))
+        met = F.zip_with(F.zip_with(every, ended, lambda x, e: F.struct(x.alias("x"), e.alias("ended"))), begins, lambda x, b: F.struct(x["x"].alias("x"), x["ended"].alias("ended"), b.alias("begins")))
+        free = F.filter(met, lambda m: is_run(m["x"]) & (m["ended"] <= m["x"]["start"]) & (m["begins"] >= m["x"]["end"]))
+        return F.transform(free, lambda m: m["x"])
+
+    return F.when(F.size(runs) > 0, let(F.array_sort(F.concat(base, runs)), swept)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -66,10 +107,6 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def inside(spans: Column, text: Column, skip: int = 0) -> Column:
-    return F.transform(spans, lambda s: F.substring(text, s["start"] + 1 + skip, s["end"] - s["start"] - skip))
-
-
 def run_pattern(least_run: int) -> str:
     return rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least_run},}}+"
 
@@ -80,14 +117,12 @@ def training_strings(docs: DataFrame, train_docs: int) -> DataFrame:
     chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if count > train_docs:
         chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.floor(1e6 * train_docs / count))
-    spans = base_spans(F.col("text"))
-    found = chosen.select("text", *[s.alias(k) for k, s in spans.items()])
-    last = F.transform(inside(F.col("assign"), F.col("text")), lambda x: F.regexp_extract(x, KINDS["assign"][0], 2))
-    random = F.concat(last, inside(F.col("access"), F.col("text")), inside(F.col("hex"), F.col("text")))
+    long = lambda pattern, group, least: F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= least)
+    random = F.concat(*[long(*x) for x in KINDS.values()])
     bare = F.regexp_replace("text", "|".join(p for p, _, _ in (KINDS["assign"], KINDS["access"])) + "|[0-9a-f]{16,}", " ")
     ordinary = F.regexp_extract_all(bare, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{5,}"), F.lit(0))
     labelled = F.concat(F.transform(random, lambda x: F.struct(x.alias("string"), F.lit(1).alias("random"))), F.transform(ordinary, lambda x: F.struct(x.alias("string"), F.lit(0).alias("random"))))
-    return found.select(F.inline(labelled)).distinct()
+    return chosen.select(F.inline(labelled)).distinct()
 
 
 def code(char: Column) -> Column:
@@ -142,11 +177,9 @@ def scan(docs: DataFrame, model: list[float], least_run: int = 12, least_ratio:
     """doc_id, base (array of spans of the fixed patterns), added (spans of the model), text; one row per document."""
     spans = base_spans(F.col("text"))
     found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = found.select("doc_id", "text", *[s.alias(k) for k, s in spans.items()], located(F.col("text"), run_pattern(least_run), len(KINDS)).alias("runs"))
+    found = found.select("doc_id", "text", *[s.alias(k) for k, s in spans.items()], located(F.col("text"), run_pattern(least_run), len(KINDS), keep=True).alias("runs"))
     base = F.concat(*[F.col(k) for k in KINDS])
-    free = F.filter("runs", lambda r: ~F.exists(base, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
-
-    spelt = F.transform(free, lambda r: F.struct(r.alias("span"), codes(F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"])).alias("codes")))
+    spelt = F.transform(apart(F.col("runs"), base), lambda r: F.struct(r.alias("span"), codes(r["run"]).alias("codes")))
     random = F.filter(spelt, lambda x: ratio(x["codes"], model) >= F.greatest(F.lit(least_ratio), least_mean * F.size(x["codes"])))
     return found.select("doc_id", *KINDS, base.alias("base"), F.transform(random, lambda x: x["span"]).alias("added"), "text")
 
