@@ -4,16 +4,17 @@ A rolling hash over 16 bytes cuts each text where the content says so, hence tex
 passage share its chunks. A Python worker encodes a chunk once and keeps its ids in a bounded store,
 which serves all documents of all its tasks. A cut may fall inside a word: the ids at the ends of a
 chunk are not used then, and the join is repaired by encoding again what stands between the last
-white space before it and the first one after it, over as many chunks as that takes. The tokenizer
-drops white space and never merges across it, so from there on both sides agree with the encoding of
-the whole text. Inside a new chunk, stretches between white space that the worker has met are taken
+white space before it and the first one after it, over as many chunks as that takes. Each new join is
+then encoded once more with the words on either side of it: where the ids of the three are not those
+of each alone, the text is encoded as a whole instead. A tokenizer that doesn't drop white space, or
+merges across it, is refused. Inside a new chunk, stretches between white space that the worker has met are taken
 from a second bounded store; only new ones reach the tokenizer.
 
 Nothing is shuffled: sharing chunks between workers by a shuffle would move every text and its ids,
 several times the cost of encoding a chunk once in each worker.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text; a text without white
-space is one piece; repeated rows and further columns change nothing; an empty table gives no rows.
+space is one piece; ids that are null or unknown decode to nothing; repeated rows and further columns change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ _WORKERS: dict[tuple, "ReusingEncoder"] = {}
 
 
 class Chunk:
-    """Pieces of a chunk; ids are those of the pieces that white space ends on both sides."""
+    """Pieces of a chunk; ids are those of the pieces that white space ends on both sides, of which first and last stay known."""
 
-    __slots__ = ("head", "ids", "tail", "words")
+    __slots__ = ("first", "head", "ids", "last", "tail", "words")
 
     def __init__(self, head: bytes, words: list[bytes], tail: bytes):
         self.head, self.words, self.tail, self.ids = head, words, tail, b""
+        self.first, self.last = (words[0], words[-1]) if words else (b"", b"")
 
 
 def cut(data: np.ndarray, starts: np.ndarray, gear: np.ndarray, bits: int) -> np.ndarray:
@@ -69,9 +71,16 @@ class ReusingEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         # Without a decoder of its own the tokenizer joins its tokens by spaces, done here by table.
         self.tokens = None if self.tokenizer.decoder else dict(zip(vocabulary.values(), vocabulary, strict=True))
+        for x, y in (("a", "b"), ("word", "1"), ("é", "_x"), ("the", "the")):
+            for space in (" ", "\n", "\t ", " \r\n\x0b\x0c "):
+                if self.plain(f"{x}{space}{y}") != self.plain(x) + self.plain(y) or self.plain(f"{space}{x}{space}") != self.plain(x):
+                    raise ValueError("the tokenizer keeps white space or merges across it, so texts can't be encoded in chunks")
         self.chunks: dict[bytes, Chunk | None] = {}
         self.words: dict[bytes, bytes] = {}
 
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
         if len(self.chunks) > self.max_chunks:
@@ -120,7 +129,24 @@ class ReusingEncoder:
         for chunk in fresh:
             chunk.ids = b"".join(map(known, chunk.words))
             chunk.words = []
-        return [b"".join([known(x) if isinstance(x, bytes) else x.ids for x in plan]) for plan in plans]
+        coded = [b"".join([known(x) if isinstance(x, bytes) else x.ids for x in plan]) for plan in plans]
+        for k in self.disagreeing(plans, set(missing)):
+            coded[k] = array("i", self.plain(texts[k].decode())).tobytes()
+        return coded
+
+    def disagreeing(self, plans: list[list[bytes | Chunk]], new: set[bytes]) -> set[int]:
+        """Numbers of the texts with a new join whose ids change beside the words around it."""
+        at, sides = [], []
+        for k, plan in enumerate(plans):
+            for i, x in enumerate(plan):
+                if isinstance(x, bytes) and x in new:
+                    before, after = plan[i - 1].last if i else b"", plan[i + 1].first if i + 1 < len(plan) else b""
+                    if before or after:
+                        at.append(k)
+                        sides.append([w for w in (before, x, after) if w])
+        found = self.tokenizer.encode_batch_fast([b" ".join(w).decode() for w in sides], add_special_tokens=False)
+        alone = lambda w: self.words[w] if w in self.words else array("i", self.plain(w.decode())).tobytes()
+        return {k for k, words, code in zip(at, sides, found, strict=True) if array("i", code.ids).tobytes() != b"".join(map(alone, words))}
 
     @staticmethod
     def split(piece: bytes) -> Chunk | None:
@@ -130,8 +156,8 @@ class ReusingEncoder:
 
     def decode(self, ids: list[int]) -> str:
         if self.tokens:
-            return " ".join(map(self.tokens.__getitem__, ids))
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+            return " ".join(x for x in map(self.tokens.get, ids) if x is not None)
+        return self.tokenizer.decode([i for i in ids if i is not None], skip_special_tokens=False)
 
 
 def worker(path: str, **settings) -> ReusingEncoder:

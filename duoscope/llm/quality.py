@@ -59,9 +59,9 @@ def linear(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     return SCALE * np.bincount(text, weights[code], len(texts)) / np.maximum(n, 1)
 
 
-def rated_rows(docs: DataFrame, ratings: DataFrame, train_rows: int, modulus: int | None) -> DataFrame:
+def rated_rows(docs: DataFrame, ratings: DataFrame, grades: int, train_rows: int, modulus: int | None) -> DataFrame:
     """(text, grade): at most train_rows rated documents; with a modulus, ids whose remainder is 0 are held out."""
-    rated = ratings.filter("doc_id is not null and grade is not null")
+    rated = ratings.filter(f"doc_id is not null and grade >= 0 and grade < {grades} and grade = floor(grade)")
     if modulus:
         rated = rated.filter(remainder("doc_id", modulus) != 0)
     chosen = rated.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -69,7 +69,7 @@ def rated_rows(docs: DataFrame, ratings: DataFrame, train_rows: int, modulus: in
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, train_rows: int = 20_000, modulus: int | None = 5, bits: int = 16, steps: int = 40, rate: float = 0.3, ridge: float = 1e-4) -> Model:
-    """ratings: (doc_id, grade) with grades from 0 up to `grades` - 1."""
+    """ratings: (doc_id, grade) with whole grades from 0 up to `grades` - 1; rows with others or null are no ratings."""
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, train_rows: int = 20_0
                 x = (SCALE * n / max(1, n.sum())).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([grade], pa.int32()), pa.array([code.astype(np.int32)]), pa.array([x])], ["grade", "i", "x"])
 
-    rows = checkpointed(rated_rows(docs, ratings, train_rows, modulus).mapInArrow(sparse, "grade int, i array<int>, x array<float>")).coalesce(4)
+    rows = checkpointed(rated_rows(docs, ratings, grades, train_rows, modulus).mapInArrow(sparse, "grade int, i array<int>, x array<float>")).coalesce(4)
     counts = {r.grade: r.n for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     above = np.array([(sum(n for g, n in counts.items() if g >= k) + 0.5 * (grades - k)) / (total + 0.5 * grades) for k in range(1, grades)])

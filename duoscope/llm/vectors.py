@@ -78,7 +78,9 @@ def linked_pairs(x: np.ndarray, raw: np.ndarray, left: np.ndarray, right: np.nda
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int = 8192, grid_dims: int = 3, tile_rows: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept: links inside a label at cosine >= threshold, one row per vector."""
-    given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "label")
+    label = F.col("label") + F.lit(0) if vectors.schema["label"].dataType.typeName() in ("float", "double") else F.col("label")  # -0.0 is 0.0
+    as_text = F.when(F.col("label").isNotNull(), F.to_json(F.struct(label.alias("label"))))  # labels of any type
+    given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), as_text.alias("label"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
     distinct = checkpointed(given.filter(F.coalesce(usable, F.lit(False))).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
@@ -104,10 +106,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int =
                         rows.append((*body, ",".join(map(str, cell + d)), False))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    label_type = distinct.schema["label"].dataType.simpleString()
-    schema = pa.schema([("label", {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[label_type]), ("width", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("x", pa.binary()), ("raw", pa.binary()), ("cell", pa.string()), ("home", pa.bool_())])
+    schema = pa.schema([("label", pa.string()), ("width", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("x", pa.binary()), ("raw", pa.binary()), ("cell", pa.string()), ("home", pa.bool_())])
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = distinct.select("label", "node", "copies", "embedding").repartition(parts, "node").mapInArrow(placed, f"label {label_type}, width int, node long, copies long, x binary, raw binary, cell string, home boolean")
+    rows = distinct.select("label", "node", "copies", "embedding").repartition(parts, "node").mapInArrow(placed, "label string, width int, node long, copies long, x binary, raw binary, cell string, home boolean")
 
     def compare(group: pa.Table) -> pa.Table:
         node, copies, home, tile = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies", "home", "tile"))

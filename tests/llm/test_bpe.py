@@ -50,3 +50,43 @@ def test_hard_texts_and_round_trip(spark):
     assert [tuple(r)[1:] for r in bpe.digests(coded).orderBy("doc_id").collect()] == want(HARD)
     assert [r.text for r in bpe.decode(coded, PATH).orderBy("doc_id").collect()] == [r.decoded for r in coded.orderBy("doc_id").collect()]
     assert bpe.encode(docs.limit(0), PATH).collect() == []
+
+
+def test_ids_that_are_null_or_unknown_decode_to_nothing(spark):
+    ids = tokenizer().encode("the cat", add_special_tokens=False).ids
+    rows = spark.createDataFrame([(1, [ids[0], None, 10**8, ids[1]]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [r.text for r in bpe.decode(rows, PATH).orderBy("doc_id").collect()] == [tokenizer().decode(ids), "", ""]
+
+
+def test_a_tokenizer_that_keeps_white_space_is_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    kept = Tokenizer(models.WordLevel({"a": 0, "b": 1, "Ġa": 2, "Ġb": 3, "?": 4}, unk_token="?"))
+    kept.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    kept.save(str(tmp_path / "kept.json"))
+    with pytest.raises(ValueError, match="white space"):
+        bpe.ReusingEncoder(str(tmp_path / "kept.json"))
+
+
+def test_a_join_that_disagrees_is_encoded_as_a_whole():
+    encoder, plain = bpe.ReusingEncoder(PATH, chunk_bits=4), tokenizer()
+    text = "some words that are cut into chunks here and there " * 5
+    poisoned = {}
+
+    class Off:
+        """Ids of a join that are wrong when it stands alone."""
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            out = plain.encode_batch_fast(texts, **kw)
+            if not poisoned:
+                poisoned["x"] = True
+                return [plain.encode("zebra", add_special_tokens=False)] * len(texts)
+            return out
+
+    encoder.tokenizer = Off()
+    import numpy as np
+
+    assert np.frombuffer(encoder.encode([text.encode()])[0], np.int32).tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -40,7 +40,7 @@ def test_held_out_accuracy(spark):
 def test_edge_cases(spark):
     rows = [(i, "good clean prose here" if i % 3 else "### $$$ %%% &&&") for i in range(60)] + [(90, None), (91, ""), (92, "ab"), (93, "good clean prose " * 20_000), (93, "good clean prose " * 20_000), (None, "### $$$ %%%")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("grade", F.lit("clash"))
-    ratings = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(1, None), (None, 1), (999, 0), (2, 1)], "doc_id long, grade int")
+    ratings = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(1, None), (None, 1), (999, 0), (2, 1), (7, 5), (8, -1)], "doc_id long, grade int")
     model = quality.fit(docs, ratings, grades=2)
     got = quality.score(docs, model).collect()
     assert len(got) == len(rows)
