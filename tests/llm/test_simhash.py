@@ -1,7 +1,10 @@
+import hashlib
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -72,38 +75,63 @@ def test_a_large_bucket_is_cut_into_tiles_and_chains_are_followed(spark):
         assert {r.component for r in found} == {0} and len(found) == 600
 
 
-def test_similar_documents_lose_no_candidate(spark, sf):
-    """Against all pairs; many texts have the same words in other orders, so that most candidates fail and few link."""
-    rnd = random.Random(5)
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    words = [f"word{i}" for i in range(60)]
-    for group in range(12):  # of three texts in an order of their own, behind each other in id only by chance
-        own = rnd.sample(words, 60)
-        for k in range(3):
-            text = own if not k else [*own[:20], *(["a"] if k == 1 else ["b", "c"]), *own[20:]]
-            rows.append((rnd.randrange(10**6, 10**7), " ".join(text)))
-    rows += [(10**8 + i, " ".join([*words[:55], f"extra{i}", f"other{i}"])) for i in range(40)]
-    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (10**9, None), (10**9 + 1, " ")], "doc_id long, text string")
-    prints = {r.doc_id: (r.f0, r.f1) for r in simhash.word_fingerprints(docs).collect() if r.doc_id is not None}
-    text = {r.doc_id: (r.text or "").encode() for r in docs.collect() if r.doc_id is not None}
-    parent = {i: i for i in prints}
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def groups(rows):
+    """For each (id, text), by position, the smallest id of its component over all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(prints, 2):
-        near = any(((x ^ y) & (1 << 64) - 1).bit_count() <= 5 for x, y in zip(prints[a], prints[b], strict=True))
-        if near and simhash.similar(text[a], text[b], 5, 0.8):
-            x, y = sorted((find(a), find(b)))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, hashlib.md5(fold(rows[i][1])).digest()))
+    rank = {i: r for r, i in enumerate(order)}
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)), key=rank.__getitem__)
             parent[y] = x
-    want = {(i, find(i)) for i in parent if find(i) != i}
-    assert len(want) > 60
-    for tile_rows in (16, 1024):
-        got = [tuple(r) for r in simhash.similar_documents(docs, tile_rows=tile_rows).collect()]
-        assert sorted(got) == sorted(want)
-    assert simhash.similar_documents(docs.limit(0)).collect() == []
+    return [find(i) for i in range(len(rows))]
+
+
+def fold(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+
+
+def check(spark, rows, **settings):
+    """Against all pairs: of each component one row stays, the first by id; copies counts rows that repeat id and text."""
+    first = groups(rows)
+    key = lambda i: (rows[i][0], hashlib.md5(fold(rows[i][1])).digest())
+    copies = Counter(map(key, range(len(rows))))
+    want = {key(i): (key(first[i]) == key(i), copies[key(i)]) for i in range(len(rows))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("component", F.lit("x"))
+    got = simhash.similar_documents(docs, **settings).collect()
+    assert {(r.doc_id, bytes(r.digest)): (r.kept, r.copies) for r in got} == want and len(got) == len(want)
+    return want
+
+
+def test_similar_documents_of_the_table_and_of_one_set_of_words(spark, sf):
+    """Many texts have the same words in other orders, so that most candidates fail and few link."""
+    rnd = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    words = [f"word{i}" for i in range(60)]
+    for _ in range(12):
+        own = rnd.sample(words, 60)
+        rows += [(rnd.randrange(10**6, 10**7), " ".join(own if not k else [*own[:20], *(["a"] if k == 1 else ["b", "c"]), *own[20:]])) for k in range(3)]
+    rows += [(10**8 + i, " ".join([*words[:55], f"extra{i}", f"other{i}"])) for i in range(40)]
+    rows += [(None, rows[0][1]), (10**9, None), (10**9 + 1, " "), (rows[3][0], "another text under an id that is taken"), rows[5], rows[5]]
+    assert sum(not kept for kept, _ in check(spark, rows, tile_rows=16).values()) > 50
+    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def edited_pairs(rnd, words, long, edits, n=150):
@@ -117,28 +145,27 @@ def edited_pairs(rnd, words, long, edits, n=150):
         for i in rnd.sample(at, edits):
             copy[i] = letters(len(copy[i]))
         pair = " ".join(text), " ".join(copy)
-        if simhash.similar(*(x.encode() for x in pair), 5, 0.8):
+        if similar(*pair):
             out.append(pair)
     return out
 
 
-def test_all_similar_documents_finds_all_pairs_whatever_the_words(spark):
+def test_all_pairs_are_found_whatever_the_words(spark):
     rnd = random.Random(9)
     shapes = [(50, 0.5, 1), (100, 0.5, 2), (100, 0.1, 1), (200, 0.1, 3), (1000, 0.1, 16), (100, 0.0, 2)]
-    rows, expected, found = [], {}, {}
+    rows, of = [], {}
     for shape in shapes:
         for a, b in edited_pairs(rnd, *shape):
-            expected[len(rows) + 1] = (len(rows), shape)
+            of[len(rows) + 1] = shape
             rows += [(len(rows), a), (len(rows) + 1, b)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.keep_id for r in simhash.all_similar_documents(docs, tile_rows=64, sample_docs=300).collect()}
-    for i, (keep, shape) in expected.items():
-        found[shape] = found.get(shape, 0) + (got.get(i) == keep)
-    assert found == dict.fromkeys(shapes, 150)
-    assert len(got) == len(expected)
+    gone = {r.doc_id for r in simhash.similar_documents(docs, tile_rows=64, sample_docs=300).filter("not kept").collect()}
+    assert Counter(of[i] for i in gone) == dict.fromkeys(shapes, 150) and len(gone) == len(of)
 
 
-def test_all_similar_documents_against_all_pairs_with_a_common_passage(spark):
+@pytest.mark.parametrize(("settings"), [{"tile_rows": 8, "sample_docs": 20, "few": 2, "tile_shingles": 300}, {}])
+def test_groups_around_a_common_passage(spark, settings):
+    """Groups larger than `few` and than a tile, some of which only the comparison in tiles can join."""
     rnd = random.Random(10)
     passage = [f"of{i % 7} to{i}" for i in range(30)]
     rows = []
@@ -149,20 +176,34 @@ def test_all_similar_documents_against_all_pairs_with_a_common_passage(spark):
             for _ in range(rnd.randint(0, 3)):
                 text[rnd.randrange(len(text))] = str(rnd.randint(0, 999))
             rows.append((len(rows), " ".join([*passage, *text] if i % 2 else text)))
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(50):  # each is like its neighbours and not like those further off
+        rows.append((len(rows), " ".join(chain)))
+        chain[rnd.randrange(60)] = f"d{i}"
     rows += [(len(rows) + k, x) for k, x in enumerate(["", " ", None, "a b", "A  b", "a b c"])]
-    text = {i: (t or "").encode() for i, t in rows}
-    parent = {i: i for i in text}
+    check(spark, rows, **settings)
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in itertools.combinations(text, 2):
-        if simhash.similar(text[a], text[b], 5, 0.8):
-            x, y = sorted((find(a), find(b)))
-            parent[y] = x
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for tile_rows, sample_docs in ((8, 20), (1024, 1000)):
-        got = sorted(tuple(r) for r in simhash.all_similar_documents(docs, tile_rows=tile_rows, sample_docs=sample_docs).collect())
-        assert got == sorted((i, find(i)) for i in parent if find(i) != i)
+def test_the_steps_find_what_the_first_ones_leave(spark):
+    """With no SimHash edge and stars only, tiles still join all that is alike."""
+    rnd = random.Random(13)
+    base = [f"w{rnd.randint(0, 9)}x{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for at in rnd.sample(range(120), 1):
+            text[at] = f"z{i}"
+        rows.append((i, " ".join(text)))
+    hashes = {i: simhash.shingle_hashes(simhash.word_hashes(t.encode())[0], 5) for i, t in rows}
+    bits = lambda x: np.packbits((np.bincount((x & np.uint64(simhash.PARITIES - 1)).astype(np.int64), minlength=simhash.PARITIES) & 1).astype(bool)).view(np.int64).tolist()
+    given = [(7, i, i, len(x), bits(x), x.view(np.int64).tolist()) for i, x in hashes.items()]
+    df = spark.createDataFrame(given, "bucket long, node long, component long, n long, bits array<long>, hashes array<long>")
+    from duoscope.llm.components import connected_components
+
+    near = simhash.promising(df.drop("hashes"), 0.8, 16)
+    assert near.count() == 60
+    links = simhash.linked_in_tiles(df, 0.8, 16, 4000).collect()
+    assert all(similar(rows[r.a][1], rows[r.b][1]) for r in links)
+    got = connected_components(spark.createDataFrame([tuple(r) for r in links], "a long, b long")).collect()
+    first = groups(rows)
+    assert {r.node: r.component for r in got} == {i: f for i, f in enumerate(first) if first.count(f) > 1}

@@ -1,6 +1,8 @@
+from datetime import date
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from duoscope.llm import vectors
@@ -53,3 +55,10 @@ def test_whole_table(spark, sf):
 
 def test_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize(("kind", "labels"), [("double", [0.0, -0.0, 2.5]), ("boolean", [True, True, False]), ("smallint", [1, 1, 2]), ("date", [date(2020, 1, 1), date(2020, 1, 1), date(2020, 1, 2)]), ("string", ["a", "a", "b"])])
+def test_labels_of_any_type(spark, kind, labels):
+    rows = [(1, [1.0, 0.0], labels[0]), (2, [1.0, 0.01], labels[1]), (3, [1.0, 0.0], labels[2]), (4, [1.0, 0.0], None)]
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
