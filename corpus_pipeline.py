@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.llm import bpe, exact, mixing, simhash, toxicity
-from duoscope.llm.common import checkpointed, digest, shared_folder, table
+from duoscope.llm.common import checkpointed, digest, shared_folder, table, to_each_task
 from duoscope.llm.queries import TOKENIZER
 
 
@@ -30,7 +30,7 @@ def staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text").cast("string")).alias("digest"))
 
     def met(other: DataFrame, how: str) -> DataFrame:
-        other = other.select(F.col("doc_id").alias("id"), F.col("digest").alias("d")).hint("shuffle_hash")
+        other = to_each_task(other.select(F.col("doc_id").alias("id"), F.col("digest").alias("d")))
         return rows.join(other, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), how)
 
     again = decided.filter("kept and copies > 1")

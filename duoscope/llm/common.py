@@ -39,6 +39,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def to_each_task(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A written table of short rows for the right side of a join: sent to each task where it has at most `most_rows`, else met by a shuffle."""
+    return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_hash")
+
+
 def fold_case(text: Column) -> Column:
     """A-Z in lower case, other letters as they are."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import checkpointed, digests, slices, utf8
+from duoscope.llm.common import checkpointed, digests, slices, to_each_task, utf8
 from duoscope.llm.components import connected_components
 from duoscope.llm.tiles import sides, spanning_roots, tile_pairs
 
@@ -261,7 +261,7 @@ def joined(components: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 3, tile_rows: int = 1024, tile_shingles: int = 1 << 19, sample_docs: int = 20_000, most_common: int = 20_000, few: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 3, tile_rows: int = 1024, tile_shingles: int = 1 << 19, sample_docs: int = 5_000, most_common: int = 20_000, few: int = 8) -> DataFrame:
     """One row for each doc_id and digest (MD5 of the text, A-Z in lower case): kept, copies (rows that repeat both).
 
     Of each component of documents whose sets of shingles are similar, the one with the smallest id is
@@ -288,8 +288,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
                 yield pa.RecordBatch.from_arrays([batch.column(0), digests(batch.column(1)), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "digest", "hashes"])
 
         wanted = rows.join(nodes, "node", "left_semi")
-        ids = wanted.select(F.col("doc_id").alias("id")).distinct()
-        held = texts.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        ids = to_each_task(checkpointed(wanted.select(F.col("doc_id").alias("id")).distinct()))
+        held = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
         sets = held.mapInArrow(run, "doc_id long, digest binary, hashes array<long>").dropDuplicates(["doc_id", "digest"])
         return checkpointed(wanted.join(sets, wanted["doc_id"].eqNullSafe(sets["doc_id"]) & (wanted["digest"] == sets["digest"])).select("node", "hashes"))
 
