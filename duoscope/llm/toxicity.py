@@ -9,9 +9,9 @@ Ruzzo and Tompa (1999) finds all maximal segments of a document in linear time.
 Segment scores become p-values by extreme-value statistics (Karlin and Altschul, 1990): a document of
 n tokens without toxicity has about K n exp(-lambda s) segments of score s or more. lambda and K are
 fitted to the largest segments of clean rows. The document's evidence is the sum of -log p over its
-significant segments, and two logistic coefficients turn it into a score from 0 to 1. Maxima and
-evidence are measured for each half of the training rows with the term weights of the other half, so
-that they are those of rows not learnt from; the final weights are those of all rows.
+significant segments, and two logistic coefficients turn it into a score from 0 to 1. The maxima are
+measured for each half of the training rows with the term weights of the other half, so that they are
+those of rows not learnt from; weights and coefficients are those of all rows.
 
 Fitting uses at most `train_rows` labelled rows, those with the smallest hashes of their ids, one for
 each text but for case and white space, since a text copied a hundred times should not vote a hundred
@@ -203,15 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, train_rows: int =
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             given = [others[h].segments(x) for x, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            found = [[s for _, _, s in x] for x, _ in given]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64())), pa.array([size for _, size in given], pa.int64())], ["toxic", "scores", "n"])
+            best = [max((s for _, _, s in x), default=0.0) for x, _ in given]
+            scores = [[s for _, _, s in model.segments(x)[0]] for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(best, pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array([size for _, size in given], pa.int64())], ["toxic", "best", "scores", "n"])
 
-    parts = rows.select("text", "toxic", "half").mapInArrow(measured, "toxic int, scores array<double>, n long").toArrow()
-    y, size = (parts.column(c).to_numpy() for c in ("toxic", "n"))
-    scores = parts.column("scores").to_pylist()
-    best = np.array([max(x, default=0.0) for x in scores])
+    parts = rows.select("text", "toxic", "half").mapInArrow(measured, "toxic int, best double, scores array<double>, n long").toArrow()
+    y, best, size = (parts.column(c).to_numpy() for c in ("toxic", "best", "n"))
     model.rate, model.k = extreme_value(best[y == 0], size[y == 0])
-    evidence = np.array([model.significance(x, k) for x, k in zip(scores, size, strict=True)])
+    evidence = np.array([model.significance(x, k) for x, k in zip(parts.column("scores").to_pylist(), size, strict=True)])
     model.a, model.b = logistic(np.log1p(evidence), y == 1)
     return model
 
