@@ -15,6 +15,7 @@ as often as they occur; an empty table gives no rows; further columns are ignore
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from itertools import accumulate
@@ -146,6 +147,17 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
+def parities(hashes: np.ndarray, places: int) -> np.ndarray:
+    """Parities of the hashes in a power of two of places, by their lowest bits, as 64-bit words. XORing its halves gives that of half the places."""
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def wide_places(n: int) -> int:
+    """Places for n hashes: 2 n or more, so that sets short of the similarity rarely pass for alike however large they are."""
+    return max(PARITIES, 1 << (2 * n - 1).bit_length())
+
+
 def common_shingles(texts: DataFrame, words_per_shingle: int, sample_docs: int, most: int) -> np.ndarray:
     """Hashes of shingles that several documents of a sample hold, rarest first; at most `most`."""
     count = texts.count()
@@ -181,9 +193,8 @@ def profiles(texts: DataFrame, similarity: float, words_per_shingle: int, common
         if len(listed):
             i = np.minimum(np.searchsorted(listed, x), len(listed) - 1)
             rank = np.where(listed[i] == x, order[i] + 1, 0)
-        odd = np.bincount((x & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
         first = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1
-        return word_fingerprint(words, lengths), len(x), np.packbits(odd.astype(bool)).view(np.int64).tolist(), x[np.lexsort((x, rank))[:first]].view(np.int64).tolist()
+        return word_fingerprint(words, lengths), len(x), parities(x, PARITIES).tolist(), x[np.lexsort((x, rank))[:first]].view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 19):
@@ -195,8 +206,11 @@ def profiles(texts: DataFrame, similarity: float, words_per_shingle: int, common
 
 
 def may_be_alike(similarity: float) -> Column:
-    """Whether two sets can be so similar, by their sizes (a_n, b_n) and parities (a_bits, b_bits)."""
-    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Whether two sets can be so similar, by their sizes (a_n, b_n) and parities (a_bits, b_bits), whose places differ by a factor of two at most if the sizes fit."""
+    words = F.least(F.size("a_bits"), F.size("b_bits"))
+    differing = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    halved = lambda x: F.when(F.size(x) > words, differing(F.slice(x, 1, words), F.slice(x, words + 1, words))).otherwise(F.col(x))
+    apart = F.aggregate(F.transform(differing(halved("a_bits"), halved("b_bits")), F.bit_count), F.lit(0), lambda s, x: s + x)
     sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6
     return sizes & (apart <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6)
 
@@ -204,20 +218,37 @@ def may_be_alike(similarity: float) -> Column:
 def near_in_tile(group: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the pairs of a pair of tiles that may be alike and are of two components, nearest first, in blocks."""
     size, component, tile = (group.column(c).to_numpy() for c in ("n", "component", "tile"))
-    bits = np.stack(group.column("bits").to_numpy(zero_copy_only=False)).view(np.uint64)
+    bits = group.column("bits").to_numpy(zero_copy_only=False)
+    words = np.fromiter(map(len, bits), np.int64, len(bits))
     rows, others = sides(tile, group.column("lo")[0].as_py(), group.column("hi")[0].as_py())
-    for start in range(0, len(rows), 128):
-        x = rows[start : start + 128]
-        apart = sum(np.bitwise_count(bits[x, None, k] ^ bits[None, others, k]).astype(np.int32) for k in range(bits.shape[1]))
-        near = apart <= (1 - similarity) / (1 + similarity) * (size[x, None] + size[others]) + 1e-6
-        near &= np.minimum(size[x, None], size[others]) >= similarity * np.maximum(size[x, None], size[others]) - 1e-6
-        near &= component[x, None] != component[others]
-        i, j = np.nonzero(near)
-        order = np.argsort(apart[i, j], kind="stable")
-        yield x[i[order]], others[j[order]]
-
-
-def promising(rows: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
+
+    def folded(at: np.ndarray, width: int) -> np.ndarray:
+        found = np.stack(bits[at]).view(np.uint64)
+        return found if found.shape[1] == width else found[:, :width] ^ found[:, width:]
+
+    for p, q in itertools.product(np.unique(words[rows]), np.unique(words[others])):
+        width = min(p, q)
+        if max(p, q) > 2 * width:
+            continue  # of sizes too far apart
+        left, right = rows[words[rows] == p], others[words[others] == q]
+        b = folded(right, width)
+        for start in range(0, len(left), 128):
+            x = left[start : start + 128]
+            a = folded(x, width)
+            apart = sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int32) for k in range(width))
+            near = apart <= (1 - similarity) / (1 + similarity) * (size[x, None] + size[right]) + 1e-6
+            near &= np.minimum(size[x, None], size[right]) >= similarity * np.maximum(size[x, None], size[right]) - 1e-6
+            near &= component[x, None] != component[right]
+            i, j = np.nonzero(near)
+            order = np.argsort(apart[i, j], kind="stable")
+            yield x[i[order]], right[j[order]]
+
+
+def bucket_sizes(rows: DataFrame) -> DataFrame:
+    return checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("in_bucket"), F.sum("n").alias("sizes")).filter("in_bucket > 1"))
+
+
+def promising(rows: DataFrame, similarity: float, tile_rows: int, tile_shingles: int) -> DataFrame:
     """(bucket, node) of (bucket, node, component, n, bits): those that may be alike to another of their bucket and not of their component."""
 
     def compare(group: pa.Table) -> pa.Table:
@@ -226,7 +257,8 @@ def promising(rows: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
             seen[i] = seen[j] = True
         return group.filter(pa.array(seen)).select(["bucket", "node"])
 
-    return tile_pairs(rows, ["bucket"], "node", tile_rows).groupBy("bucket", "lo", "hi").applyInArrow(compare, "bucket long, node long").distinct()
+    paired = tile_pairs(rows, ["bucket"], "node", tile_rows, bucket_sizes(rows.select("bucket", "n")), tile_shingles)
+    return paired.groupBy("bucket", "lo", "hi").applyInArrow(compare, "bucket long, node long").distinct()
 
 
 def linked_in_tiles(rows: DataFrame, similarity: float, tile_rows: int, tile_shingles: int) -> DataFrame:
@@ -249,8 +281,7 @@ def linked_in_tiles(rows: DataFrame, similarity: float, tile_rows: int, tile_shi
         at = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]})
 
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("in_bucket"), F.sum("n").alias("sizes")).filter("in_bucket > 1")
-    paired = tile_pairs(rows, ["bucket"], "node", tile_rows, checkpointed(counts), tile_shingles)
+    paired = tile_pairs(rows, ["bucket"], "node", tile_rows, bucket_sizes(rows.select("bucket", "n")), tile_shingles)
     return paired.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
@@ -280,30 +311,33 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
     rows = found.select("node", "doc_id", "digest")
 
     def hashed(nodes: DataFrame) -> DataFrame:
-        """(node, hashes) of nodes, from the texts."""
+        """(node, n, bits, hashes) of nodes, from the texts; bits: parities in wide_places."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 1, 1 << 19):
-                held = [shingle_hashes(word_hashes(x)[0], words_per_shingle).view(np.int64) for x in utf8(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), digests(batch.column(1)), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "digest", "hashes"])
+                held = [shingle_hashes(word_hashes(x)[0], words_per_shingle) for x in utf8(batch.column(1))]
+                bits, hashes = ([parities(x, wide_places(len(x))) for x in held], [x.view(np.int64) for x in held])
+                columns = [pa.array([len(x) for x in held], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, hashes))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), digests(batch.column(1)), *columns], ["doc_id", "digest", "n", "bits", "hashes"])
 
         wanted = rows.join(nodes, "node", "left_semi")
         ids = to_each_task(checkpointed(wanted.select(F.col("doc_id").alias("id")).distinct()))
         held = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        sets = held.mapInArrow(run, "doc_id long, digest binary, hashes array<long>").dropDuplicates(["doc_id", "digest"])
-        return checkpointed(wanted.join(sets, wanted["doc_id"].eqNullSafe(sets["doc_id"]) & (wanted["digest"] == sets["digest"])).select("node", "hashes"))
+        sets = held.mapInArrow(run, "doc_id long, digest binary, n long, bits array<long>, hashes array<long>").dropDuplicates(["doc_id", "digest"])
+        return checkpointed(wanted.join(sets, wanted["doc_id"].eqNullSafe(sets["doc_id"]) & (wanted["digest"] == sets["digest"])).select("node", "n", "bits", "hashes"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are alike."""
         sets = hashed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+        side = lambda x, *columns: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array([alike(p.view(np.uint64), q.view(np.uint64), similarity) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_hashes", "b_hashes")
+        pairs = checkpointed(pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").filter(may_be_alike(similarity)).select("a", "b"))
+        both = pairs.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "a_hashes", "b_hashes")
         return checkpointed(both.mapInArrow(run, "a long, b long"))
 
     first = checkpointed(found.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
@@ -333,11 +367,15 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
     many = shared.filter(f"count > {few}").select("bucket", "node").join(components, "node", "left").select("bucket", "node", own)
     mixed = many.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
     many = many.join(checkpointed(mixed), "bucket").join(found.select("node", "n", "bits"), "node")
-    left = checkpointed(promising(many, similarity, tile_rows))
+    bit_shingles = 16 * tile_shingles  # parities take a sixteenth of the hashes or less
+    left = checkpointed(promising(many, similarity, tile_rows, bit_shingles))
     if not left.isEmpty():
         chosen = left.groupBy("bucket").agg(F.count("*").alias("count"), *marks).groupBy("count", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
         left = checkpointed(left.join(checkpointed(chosen.select("bucket")), "bucket"))
-        rest = many.join(left, ["bucket", "node"]).join(hashed(left.select("node").distinct()), "node")
+        sets = hashed(left.select("node").distinct())
+        many = many.drop("n", "bits").join(left, ["bucket", "node"])
+        left = checkpointed(promising(many.join(sets.drop("hashes"), "node"), similarity, tile_rows, bit_shingles))  # parities in more places
+        rest = many.join(left, ["bucket", "node"]).join(sets, "node")
         components = joined(components, checkpointed(linked_in_tiles(rest, similarity, tile_rows, tile_shingles)))
 
     named = rows.join(components, "node", "left").select("doc_id", "digest", "node", "component")

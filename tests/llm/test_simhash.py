@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -200,10 +201,29 @@ def test_the_steps_find_what_the_first_ones_leave(spark):
     df = spark.createDataFrame(given, "bucket long, node long, component long, n long, bits array<long>, hashes array<long>")
     from duoscope.llm.components import connected_components
 
-    near = simhash.promising(df.drop("hashes"), 0.8, 16)
+    near = simhash.promising(df.drop("hashes"), 0.8, 16, 64_000)
     assert near.count() == 60
     links = simhash.linked_in_tiles(df, 0.8, 16, 4000).collect()
     assert all(similar(rows[r.a][1], rows[r.b][1]) for r in links)
     got = connected_components(spark.createDataFrame([tuple(r) for r in links], "a long, b long")).collect()
     first = groups(rows)
     assert {r.node: r.component for r in got} == {i: f for i, f in enumerate(first) if first.count(f) > 1}
+
+
+def test_parities_in_more_places_lose_no_pair(spark):
+    """Of sizes around a power of two, alike or not; whatever is alike passes in SQL and in a tile, and long unlike sets do not."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 100, 1000, 1024, 1025, 5000, 8192, 9000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[n // 9 :], base[:1]])), np.unique(np.concatenate([base[n // 2 :], rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)]))]
+    bits = [simhash.parities(x, simhash.wide_places(len(x))) for x in sets]
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    rows = [(a, b, len(sets[a]), len(sets[b]), bits[a].tolist(), bits[b].tolist()) for a, b in pairs]
+    df = spark.createDataFrame(rows, "a int, b int, a_n long, b_n long, a_bits array<long>, b_bits array<long>")
+    in_sql = {(r.a, r.b) for r in df.filter(simhash.may_be_alike(0.8)).collect()}
+    columns = {"n": pa.array([len(x) for x in sets]), "component": pa.array(range(len(sets))), "tile": pa.array([0] * len(sets)), "bits": pa.array([x.tolist() for x in bits], pa.list_(pa.int64())), "lo": pa.array([0] * len(sets)), "hi": pa.array([0] * len(sets))}
+    in_tile = {(min(p), max(p)) for i, j in simhash.near_in_tile(pa.table(columns), 0.8) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(a, b) for a, b in pairs if simhash.alike(sets[a], sets[b], 0.8)}
+    assert want and want <= in_sql and in_sql == in_tile
+    assert all((a, b) in want for a, b in in_sql if min(len(sets[a]), len(sets[b])) > 4000)
