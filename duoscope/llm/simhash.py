@@ -158,6 +158,12 @@ def wide_places(n: int) -> int:
     return max(PARITIES, 1 << (2 * n - 1).bit_length())
 
 
+def are_alike(similarity: float) -> Column:
+    """alike() of the columns a_hashes and b_hashes."""
+    x, y, both = F.size("a_hashes"), F.size("b_hashes"), F.size(F.array_intersect("a_hashes", "b_hashes"))
+    return (F.least(x, y) >= similarity * F.greatest(x, y)) & (both >= similarity * (x + y - both))
+
+
 def common_shingles(texts: DataFrame, words_per_shingle: int, sample_docs: int, most: int) -> np.ndarray:
     """Hashes of shingles that several documents of a sample hold, rarest first; at most `most`."""
     count = texts.count()
@@ -330,15 +336,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
         """The pairs (a, b) that are alike."""
         sets = hashed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         side = lambda x, *columns: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array([alike(p.view(np.uint64), q.view(np.uint64), similarity) for p, q in zip(x, y, strict=True)], pa.bool_()))
-
         pairs = checkpointed(pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").filter(may_be_alike(similarity)).select("a", "b"))
-        both = pairs.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "a_hashes", "b_hashes")
-        return checkpointed(both.mapInArrow(run, "a long, b long"))
+        both = pairs.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
+        return checkpointed(both.filter(are_alike(similarity)).select("a", "b"))
 
     first = checkpointed(found.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
     near = near_edges(first.select("node", "fp"), radius, tile_rows)
