@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import bpe, exact, lines, mixing, pst, quality, secrets, simhash, toxicity, vectors
+from duoscope.llm import bpe, exact, hnsw, lines, mixing, pst, quality, secrets, simhash, toxicity, variants, vectors, whitening
 from duoscope.llm.common import remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,7 +63,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_quality, op3_exact_dedup, op4_bpe, op5_suffix_tree, op6_line_dedup, op7_secrets, op8_toxicity, op9_simhash, op10_mixing)}
+def op11_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_quality, op3_exact_dedup, op4_bpe, op5_suffix_tree, op6_line_dedup, op7_secrets, op8_toxicity, op9_simhash, op10_mixing, op11_hnsw, op12_whitening, op13_variants)}
 
 ORACLES = {
     "op3_exact_dedup": """
