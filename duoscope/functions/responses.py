@@ -104,9 +104,11 @@ def raw_vectors(body: Column, kind: str) -> Column:
     """Vectors of an embedding response in the order of the texts, by the shape of the provider's body."""
     if kind == "indexed":
         rows = F.from_json(F.get_json_object(body, "$.data"), "array<struct<index:int,embedding:array<double>>>")
-        return F.transform(F.array_sort(rows), lambda r: r["embedding"])
+        rows = F.when(~F.exists(rows, lambda r: r.isNull() | r["index"].isNull()), rows)
+        placed = F.transform(rows, lambda r, at: F.struct(r["index"], at.alias("at"), r["embedding"].alias("v")))
+        return F.transform(F.array_sort(placed), lambda r: r["v"])
     if kind == "result":
-        ok = F.get_json_object(body, "$.success") == "true"
+        ok = F.coalesce(F.get_json_object(body, "$.success"), F.lit("true")) == "true"
         found = F.from_json(F.get_json_object(body, "$.result.data"), "array<array<double>>")
         return F.when(ok & (F.size(found) == F.get_json_object(body, "$.result.shape[0]").cast("int")), found)
     if kind == "float":

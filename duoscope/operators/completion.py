@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from duoscope.functions.errors import errors_table
 from duoscope.functions.responses import TOO_MANY, UNAVAILABLE, model_unavailable
-from duoscope.operators.providers import BATCH, ProviderError
+from duoscope.operators.citations import let
+from duoscope.operators.embedding import embed  # noqa: F401  (the other kind of call)
+from duoscope.operators.providers import ProviderError
 
 ATTEMPTS = "array<struct<tier:int,model:string,error:string>>"
 
@@ -47,6 +49,105 @@ def fallback(outcomes: DataFrame) -> DataFrame:
     return tried.withColumn("end", F.aggregate("rows", start, step)).select("request_id", "end.tier", "end.model", "end.answer", "end.attempts")
 
 
+@dataclass(frozen=True)
+class Waits:
+    """When a call is tried again, and for how long a request may go on; seconds."""
+
+    retries: int = 1
+    base_delay: float = 1.0
+    longest_delay: float = 30.0
+    exhausted_after: float = 60.0
+    budget: float = 900.0
+
+
+def fallback_in_time(calls: DataFrame, waits: Waits = Waits()) -> DataFrame:
+    """request_id, tier, model, answer, attempts, elapsed of recorded calls, each tier's first (attempt 0) and those after it.
+
+    calls: request_id, tier, pool, model, attempt, status, retry_after, reset_at, rate_limit, error,
+    answer, seconds (that the call took; null: none) and started (of the request, as epoch seconds).
+    The fold carries a clock: calls and waits move it on. 429 and 503 are tried again, unless retries are
+    used up, the model isn't available (429 with a limit of 0), the answer asks for longer than the
+    longest delay or past the budget, or, for 429, for longer than exhausted_after. What a tier ends on
+    is its attempt; where that is 429, its pool is dead, unless the model isn't available. Once the budget is
+    spent, tiers are skipped. Calls that this rule would not have made are ignored; where it would have
+    made one that isn't recorded, the tier ends on the last that is. elapsed: where the clock stops. A
+    request has few calls, so its fold is small.
+    """
+    row = F.struct(
+        "tier", "attempt", "pool", "model", "status", "retry_after", "reset_at", "rate_limit", "error", "answer",
+        F.coalesce("seconds", F.lit(0.0)).cast("double").alias("seconds"), F.col("started").cast("double").alias("started"),
+    )
+    tried = calls.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    text, none = (lambda: F.lit(None).cast("string")), F.lit(False)
+    # open: what a tier ends on, if it isn't tried again; its tier is null where none is open.
+    idle = F.struct(F.lit(None).cast("int").alias("tier"), text().alias("model"), text().alias("note"), text().alias("kills"), F.lit(0).alias("tries"))
+    start = F.struct(
+        F.lit(0.0).alias("clock"), F.array().cast("array<string>").alias("dead"), F.array().cast(ATTEMPTS).alias("attempts"), F.lit(None).cast("int").alias("at"), idle.alias("open"),
+        F.lit(None).cast("int").alias("tier"), text().alias("model"), text().alias("answer"),
+    )
+
+    def closed(s: Column, when: Column | None = None) -> Column:
+        """With the open tier ended, if there is one; when: a further condition."""
+        o = s["open"]
+        ends = o["tier"].isNotNull() if when is None else o["tier"].isNotNull() & when
+        ended = F.concat(s["attempts"], F.array(F.struct(o["tier"].alias("tier"), o["model"].alias("model"), o["note"].alias("error"))))
+        return F.struct(
+            s["clock"].alias("clock"),
+            F.when(ends & o["kills"].isNotNull(), F.concat(s["dead"], F.array(o["kills"]))).otherwise(s["dead"]).alias("dead"),
+            F.when(ends, ended).otherwise(s["attempts"]).alias("attempts"),
+            s["at"].alias("at"),
+            F.when(ends, idle).otherwise(o).alias("open"),
+            *[s[c].alias(c) for c in ("tier", "model", "answer")],
+        )
+
+    def judged(s: Column, x: Column) -> Column:
+        """What a row is to the state, tiers before it ended: `makes` a call, skips its tier (`note`), or neither; and what such a call comes to."""
+        first = s["at"].isNull() | (s["at"] != x["tier"])
+        dead = F.coalesce(F.array_contains(s["dead"], x["pool"]), none)
+        skip = F.when(first & dead, F.concat(F.lit("skipped: "), x["pool"], F.lit(" exhausted"))).when(first & (s["clock"] >= waits.budget), F.lit("skipped: time budget spent"))
+        gone = F.coalesce((x["status"] == TOO_MANY) & (x["rate_limit"] == 0), none)
+        clock = s["clock"] + x["seconds"]
+        return F.struct(
+            skip.alias("skip"),
+            (skip.isNull() & (first | s["open"]["tier"].isNotNull())).alias("makes"),
+            F.when(first, 0).otherwise(s["open"]["tries"]).alias("tries"),
+            F.coalesce(x["status"] == TOO_MANY, none).alias("limited"),
+            gone.alias("gone"),
+            clock.alias("clock"),
+            F.coalesce(x["retry_after"].cast("double"), x["reset_at"] - (x["started"] + clock)).alias("told"),
+        )
+
+    def moved(s: Column, x: Column, j: Column) -> Column:
+        delay = F.coalesce(F.when(j["told"].isNotNull(), F.greatest(F.lit(0.0), j["told"])), waits.base_delay * F.pow(F.lit(2.0), j["tries"]))
+        again = F.coalesce(x["status"].isin(TOO_MANY, UNAVAILABLE), none)
+        final = ~again | j["gone"] | (j["tries"] >= waits.retries) | (j["limited"] & F.coalesce(j["told"] > waits.exhausted_after, none)) | (delay > waits.longest_delay) | (j["clock"] + delay >= waits.budget)
+        won = j["makes"] & x["answer"].isNotNull()
+        error = F.coalesce(x["error"], F.lit("?"))
+        note = F.when(j["gone"], F.concat(F.lit("not available on this account: "), error)).otherwise(error)
+        kills = F.when(j["limited"] & ~j["gone"], x["pool"])
+        hold = F.struct(x["tier"].cast("int").alias("tier"), x["model"].alias("model"), note.alias("note"), kills.alias("kills"), (j["tries"] + 1).alias("tries"))
+        skipped = F.concat(s["attempts"], F.array(F.struct(x["tier"].cast("int").alias("tier"), x["model"].alias("model"), j["skip"].alias("error"))))
+        after = F.struct(
+            F.when(j["makes"], j["clock"] + F.when(won | final, 0.0).otherwise(delay)).otherwise(s["clock"]).alias("clock"),
+            s["dead"].alias("dead"),
+            F.when(j["skip"].isNotNull(), skipped).otherwise(s["attempts"]).alias("attempts"),
+            F.when(j["makes"] | j["skip"].isNotNull(), x["tier"].cast("int")).otherwise(s["at"]).alias("at"),
+            F.when(won, idle).when(j["makes"], hold).otherwise(s["open"]).alias("open"),
+            F.when(won, x["tier"].cast("int")).alias("tier"),
+            F.when(won, x["model"]).alias("model"),
+            F.when(won, x["answer"]).alias("answer"),
+        )
+        return let(F.struct(after.alias("s"), (j["makes"] & final).alias("final")), lambda y: closed(y["s"], y["final"]))
+
+    def step(s: Column, x: Column) -> Column:
+        other = s["at"].isNull() | (s["at"] != x["tier"])
+        on = let(closed(s, other), lambda t: let(judged(t, x), lambda j: moved(t, x, j)))
+        return F.when(s["tier"].isNotNull(), s).otherwise(on)
+
+    ended = tried.withColumn("end", F.aggregate("rows", start, step, lambda s: closed(s)))
+    return ended.select("request_id", "end.tier", "end.model", "end.answer", "end.attempts", F.col("end.clock").alias("elapsed"))
+
+
 def failure(attempts: Column) -> Column:
     """The message of a request that no tier answered, with every attempt; null where there was none."""
     each = F.transform(attempts, lambda a: F.concat(F.lit("tier "), a["tier"].cast("string"), F.lit(" "), F.coalesce(a["model"], F.lit("?")), F.lit(": "), F.coalesce(a["error"], F.lit("?"))))
@@ -60,7 +161,7 @@ def unanswered(results: DataFrame, key: str = "request_id") -> DataFrame:
 
 @dataclass
 class Policy:
-    """Waits and retries of live calls."""
+    """Waits and retries of live calls, as in Waits."""
 
     retries: int = 1
     base_delay: float = 1.0
@@ -78,8 +179,9 @@ class Policy:
             except ProviderError as e:
                 until = None if e.reset is None else max(0.0, e.reset - self.now())
                 wait = next((x for x in (e.wait, until) if x is not None), self.base_delay * 2**attempt)
+                told = e.wait if e.wait is not None else until
                 final = e.status not in (TOO_MANY, UNAVAILABLE) or attempt == self.retries or e.rate_limit == 0 and e.status == TOO_MANY
-                final = final or e.status == TOO_MANY and max(e.wait or 0, until or 0) > self.exhausted_after
+                final = final or e.status == TOO_MANY and told is not None and told > self.exhausted_after
                 if final or wait > self.longest_delay or self.clock() + wait >= deadline:
                     raise
                 self.sleep(wait)
@@ -121,24 +223,3 @@ def complete(prompts: DataFrame, clients: Callable[[], list], policy: Policy | N
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _, _ in rows], pa.int32()), *texts, pa.array([x for _, _, x in rows], kind)], ["pair_id", "tier", "model", "finish_reason", "answer", "attempts"])
 
     return prompts.select(F.col("pair_id").cast("long"), "prompt").mapInArrow(run, f"pair_id long, tier int, model string, finish_reason string, answer string, attempts {ATTEMPTS}")
-
-
-def embed(texts: DataFrame, client: Callable[[], object], dim: int, size: int = BATCH, max_input_tokens: int | None = None) -> DataFrame:
-    """id, embedding (unit length) and error of (id, text); the client embeds lists of at most `size` texts, of which BATCH is the most."""
-    from duoscope.operators.vectors import text_errors, unit, validated
-
-    if not 1 <= size <= BATCH:
-        raise ValueError(f"a batch holds 1 to {BATCH} texts")
-
-    checked = text_errors(texts.select(F.col("id").cast("long"), "text"), max_input_tokens)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = client()
-        for batch in batches:
-            for start in range(0, batch.num_rows, size):
-                part = batch.slice(start, size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.embed(part.column(1).to_pylist()), pa.list_(pa.float64()))], ["id", "embedding"])
-
-    found = validated(checked.filter("error is null").select("id", "text").mapInArrow(run, "id long, embedding array<double>"), dim)
-    bad = checked.filter("error is not null").select("id", F.lit(None).cast("array<double>").alias("embedding"), "error")
-    return found.select("id", F.when(F.col("error").isNull(), unit(F.col("embedding"))).alias("embedding"), "error").unionByName(bad)

@@ -254,7 +254,11 @@ class Client:
         if reason := misfit(p, len(prompt), self.max_tokens):
             raise ProviderError(f"{p.name}: the prompt does not fit ({reason})")
         body = json.dumps(p.request(prompt, self.max_tokens), ensure_ascii=False)
-        status, given, text = self.send(address(p, self.env), headers(p, self.env), body)
+        where, how = address(p, self.env), headers(p, self.env)
+        try:
+            status, given, text = self.send(where, how, body)
+        except Exception as why:  # a transport raises what it likes: timeouts, resets, DNS
+            raise ProviderError(f"{p.name}: request failed: {why}") from why
         if status != 200:
             raise ProviderError(f"{p.name} HTTP {status}: {text.strip()[:300]}", status, **told(given))
         return read_answer(p, text)

@@ -6,13 +6,15 @@ B, in the order of the turns. Documents serve as artifacts named by id and langu
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.functions import responses as R
 from duoscope.functions import text as T
 from duoscope.functions.errors import errors_table
-from duoscope.operators import chunking, citations, completion, prompts, providers, selection, vectors
+from duoscope.operators import chunking, citations, completion, embedding, prompts, providers, selection, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -438,3 +440,77 @@ def keyed_tiers(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     key = F.concat(F.upper(F.split("p_type", " ")[0]), F.lit("_API_KEY"))
     return providers.keyed_tiers(p.withColumn("key_env", key), p.filter("p_size < 3 and p_partkey < 400").select(key.alias("name"))).select("p_partkey", "p_brand")
+
+
+#: One embedder for each shape of an answer, as wide as the table's vectors.
+SHAPES = tuple(replace(providers.EMBEDDERS[i], dim=64) for i in (0, 1, 3, 4))
+SHAPE_NAMES = "[" + ", ".join(quoted(e.name) for e in SHAPES) + "]"
+SHAPE_MODELS = "[" + ", ".join(quoted(e.model) for e in SHAPES) + "]"
+
+
+def recorded_batches(spark, sf_dir) -> DataFrame:
+    """Answers to batches of eight vectors in the four shapes; by number, some are short, narrow, zero, refused, no JSON or of another shape."""
+    fault, kind = F.col("batch") % 9, F.col("batch") % 4
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("batch"), F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v")).alias("row"))
+    b = rows.groupBy("batch").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # eight rows at most
+    v = F.transform("rows", lambda r, i: F.when((fault == 2) & (i == 0), F.slice(r["v"], 1, 63)).when((fault == 3) & (i == 0), F.transform(r["v"], lambda x: F.lit(0.0))).otherwise(r["v"]))
+    b = b.withColumn("v", v).withColumn("v", F.when(fault == 1, F.slice("v", 1, F.size("v") - 1)).otherwise(F.col("v")))
+    size = F.size("v").cast("string")
+    indexed = F.concat(F.lit('{"model":"served","usage":{"prompt_tokens":9},"data":'), F.to_json(F.reverse(F.transform("v", lambda x, i: F.struct(i.alias("index"), x.alias("embedding"))))), F.lit("}"))
+    result = F.concat(F.lit('{"success":true,"result":{"shape":['), size, F.lit(',64],"data":'), F.to_json("v"), F.lit("}}"))
+    values = F.concat(F.lit('{"embeddings":'), F.to_json(F.transform("v", lambda x: F.struct(x.alias("values")))), F.lit("}"))
+    float_ = F.concat(F.lit('{"embeddings":{"float":'), F.to_json("v"), F.lit('},"meta":{"billed_units":{"input_tokens":5}}}'))
+    whole = F.when(kind == 0, indexed).when(kind == 1, result).when(kind == 2, values).otherwise(float_)
+    other = F.when(kind == 1, F.lit('{"success":false,"errors":["full"]}')).otherwise(F.lit("{}"))
+    body = F.when(fault == 4, "slow down").when(fault == 5, " oops ").when(fault == 6, other).otherwise(whole)
+    model = F.element_at(F.array(*[F.lit(e.model) for e in SHAPES]), kind.cast("int") + 1)
+    return b.select("batch", model.alias("model"), F.transform("rows", lambda r: r["vec_id"]).alias("ids"), F.when(fault == 4, 429).otherwise(200).alias("status"), body.alias("body"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, vec_id // 8 AS batch, embedding::DOUBLE[] AS v, count(*) OVER (PARTITION BY vec_id // 8) AS n, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS at FROM embeddings),
+    k AS (SELECT *, batch % 9 AS fault, batch % 4 AS kind, {SHAPE_NAMES}[batch % 4 + 1] || ': ' AS name FROM e),
+    f AS (SELECT *, CASE fault WHEN 1 THEN name || 'asked for ' || n || ' vectors but got ' || (n - 1) WHEN 2 THEN name || 'expected 64 dimensions, got [63]' WHEN 3 THEN name || 'a zero vector cannot be normalized'
+        WHEN 4 THEN name || 'HTTP 429: slow down' WHEN 5 THEN name || 'response was not JSON: oops'
+        WHEN 6 THEN name || CASE WHEN kind = 1 THEN 'the response reports failure: ["full"]' ELSE 'unexpected response shape: {{}}' END END AS error FROM k)
+    SELECT batch, vec_id AS id, CASE WHEN error IS NULL THEN CASE WHEN kind = 0 THEN 'served' ELSE {SHAPE_MODELS}[kind + 1] END END AS model, error,
+    CASE WHEN error IS NULL THEN round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) END AS first, CASE WHEN error IS NULL THEN round(v[64] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) END AS last FROM f""")
+def embed_responses(spark, sf_dir):
+    """Recorded answers of four shapes, read into unit vectors or a batch's error."""
+    read = embedding.read_responses(recorded_batches(spark, sf_dir), SHAPES)
+    at = lambda i: F.round(F.get("embedding", F.lit(i)), 9)
+    return read.select("batch", "id", "model", "error", at(0).alias("first"), at(63).alias("last"))
+
+
+def timed_calls(spark, sf_dir) -> DataFrame:
+    """Four tiers a request with two calls each, made of events: their kinds as pools, seconds by id."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    code = (n * 13 + F.floor(n / 8)) % 11
+    status = F.when(code == 0, 200).when(code <= 4, 429).when(code <= 7, 503).otherwise(500)
+    wait = F.when(n % 5 == 1, 5.0).when(n % 5 == 2, 31.0).when(n % 5 == 3, 61.0)
+    return e.select(
+        F.floor(n / 8).alias("request_id"), (F.floor(n % 8 / 2) + 1).cast("int").alias("tier"), F.col("event_type").alias("pool"), F.concat(F.lit("model "), F.floor(n % 8 / 2).cast("string")).alias("model"),
+        (n % 2).cast("int").alias("attempt"), status.alias("status"), wait.alias("retry_after"), F.when(n % 7 < 3, F.lit(NOW + 90)).alias("reset_at"), F.when(code == 4, 0.0).alias("rate_limit"),
+        F.concat(F.lit("status "), status.cast("string")).alias("error"), F.when(code == 0, F.concat(F.lit("answer "), n.cast("string"))).alias("answer"), (n % 4 * 20.0).alias("seconds"), F.lit(NOW).alias("started"),
+    )
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id // 8 AS request_id, event_id % 8 AS n, event_id % 8 // 2 + 1 AS tier, event_type AS pool, (event_id * 13 + event_id // 8) % 11 AS code, event_id AS id FROM events),
+    o AS (SELECT *, CASE WHEN code = 0 THEN 200 WHEN code <= 4 THEN 429 WHEN code <= 7 THEN 503 ELSE 500 END AS status, CASE id % 5 WHEN 1 THEN 5.0 WHEN 2 THEN 31.0 WHEN 3 THEN 61.0 END::DOUBLE AS retry,
+        (id % 4 * 20)::DOUBLE AS seconds, id % 7 < 3 AS resets FROM e),
+    s AS (SELECT DISTINCT request_id, -1::BIGINT AS n, 0::DOUBLE AS clock, []::VARCHAR[] AS dead, []::VARCHAR[] AS attempts, false AS open, NULL::BIGINT AS won, NULL::VARCHAR AS answer FROM o
+    UNION ALL SELECT request_id, n, CASE WHEN over THEN clock WHEN calls THEN later + CASE WHEN code = 0 OR final THEN 0 ELSE delay END ELSE clock END,
+        CASE WHEN calls AND code BETWEEN 1 AND 3 AND final THEN list_append(dead, pool) ELSE dead END,
+        CASE WHEN skip IS NOT NULL THEN list_append(attempts, tier || ' ' || skip) WHEN calls AND code > 0 AND final THEN list_append(attempts, tier || CASE WHEN code = 4 THEN ' not available on this account: status ' ELSE ' status ' END || status) ELSE attempts END,
+        calls AND code > 0 AND NOT final, CASE WHEN over THEN won WHEN calls AND code = 0 THEN tier END, CASE WHEN over THEN answer WHEN calls AND code = 0 THEN 'answer ' || id END
+    FROM (SELECT *, code >= 8 OR code = 4 OR tries = 1 OR (status = 429 AND coalesce(told > 60, false)) OR delay > 30 OR later + delay >= 150 AS final
+    FROM (SELECT *, coalesce(greatest(told, CASE WHEN told IS NOT NULL THEN 0 END), 2.0 ** tries) AS delay
+    FROM (SELECT *, NOT over AND (open OR (first AND skip IS NULL)) AS calls, coalesce(retry, CASE WHEN resets THEN 90 - later END) AS told
+    FROM (SELECT s.request_id, s.n + 1 AS n, s.clock, s.dead, s.attempts, s.open, s.won, s.answer, s.won IS NOT NULL AS over, o.n % 2 = 0 AS first, o.tier, o.pool, o.code, o.status, o.retry, o.resets, o.id, s.clock + o.seconds AS later,
+        CASE WHEN s.won IS NULL AND o.n % 2 = 0 THEN CASE WHEN list_contains(s.dead, o.pool) THEN 'skipped: ' || o.pool || ' exhausted' WHEN s.clock >= 150 THEN 'skipped: time budget spent' END END AS skip, CASE WHEN s.open THEN 1 ELSE 0 END AS tries
+    FROM s JOIN o ON s.request_id = o.request_id AND o.n = s.n + 1)))))
+    SELECT request_id, won::INT AS tier, answer, array_to_string(attempts, '; ') AS attempts, round(clock, 6) AS elapsed FROM s WHERE n = 7""")
+def fallback_timed(spark, sf_dir):
+    """The fallback over calls that take time, with waits, retries and a budget of 150 seconds."""
+    found = completion.fallback_in_time(timed_calls(spark, sf_dir), completion.Waits(budget=150.0))
+    said = F.array_join(F.transform("attempts", lambda a: F.concat_ws(" ", a["tier"].cast("string"), a["error"])), "; ")
+    return found.select("request_id", "tier", "answer", said.alias("attempts"), F.round("elapsed", 6).alias("elapsed"))
