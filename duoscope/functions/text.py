@@ -55,3 +55,8 @@ def section_numbers(text: Column) -> Column:
 def chunk_header(source: Column, label: Column, start: Column, end: Column) -> Column:
     span = F.concat(F.lit("lines "), start.cast("string"), F.lit("-"), end.cast("string"))
     return F.concat(F.lit("["), F.concat_ws(" · ", source, F.nullif(label, F.lit("")), span), F.lit("]"))
+
+
+def suffix(name: Column) -> Column:
+    """The lower-case suffix of a file's name; a name that only starts with a dot has none, nor has one that ends with it."""
+    return F.lower(F.regexp_extract(name, "[^/](\\.[^./]+)$", 1))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from duoscope.functions import pieces as cut
 from duoscope.functions.batches import slices
-from duoscope.functions.text import chunk_header, split_lines, strip
+from duoscope.functions.text import chunk_header, split_lines, strip, suffix
 
 HEADING = "(?U)^(#{1,6})\\s+(\\S.*)$"
 FENCE = "(?U)^\\s*(```|~~~)"
@@ -28,11 +28,6 @@ ARROW_PIECE = pa.list_(pa.struct([("text", pa.string()), ("start_line", pa.int32
 SPLITTERS: dict[str, Callable[[str], list[cut.Piece]] | None] = {".md": None, ".markdown": None, ".py": cut.by_definition}
 
 
-def suffix(name: Column) -> Column:
-    """The lower-case suffix of a file's name; a name that only starts with a dot has none."""
-    return F.lower(F.regexp_extract(name, "[^/](\\.[^./]+)$", 1))
-
-
 def markdown_lines(artifacts: DataFrame) -> DataFrame:
     """Each line with is_heading and section: a fence hides headings until the next fence."""
     lines = artifacts.select(*ARTIFACT, F.posexplode(split_lines(F.col("text"))).alias("at", "line")).withColumn("line_no", F.col("at") + 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from duoscope.functions import responses as R
 from duoscope.functions import text as T
 from duoscope.functions.errors import errors_table
-from duoscope.operators import chunking, citations, completion, embedding, prompts, providers, selection, vectors
+from duoscope.operators import chunking, citations, completion, embedding, prompts, providers, ranking, selection, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -514,3 +514,13 @@ def fallback_timed(spark, sf_dir):
     found = completion.fallback_in_time(timed_calls(spark, sf_dir), completion.Waits(budget=150.0))
     said = F.array_join(F.transform("attempts", lambda a: F.concat_ws(" ", a["tier"].cast("string"), a["error"])), "; ")
     return found.select("request_id", "tier", "answer", said.alias("attempts"), F.round("elapsed", 6).alias("elapsed"))
+
+
+@query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, round(list_inner_product(q.v, x.v), 12) AS score FROM u q JOIN u x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+    SELECT query_id, rank::INT AS rank, id, round(score, 9) AS score FROM r WHERE rank <= 10""")
+def nearest_vectors(spark, sf_dir):
+    """The ten nearest to each vector whose id is divisible by 20, among all rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return ranking.top_k(e.filter("id % 20 = 0"), e).withColumn("score", F.round("score", 9))

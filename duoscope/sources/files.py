@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.functions.text import normalise_newlines
+from duoscope.functions.text import normalise_newlines, suffix
 
 MAX_BYTES = 1_000_000
 BODY_SLACK = 65_536
@@ -20,7 +20,7 @@ def read_uploads(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) ->
     name = F.regexp_extract("path", "([^/]*)$", 1)
     large = files.filter(F.col("length") > max_bytes).select(name.alias("name"), F.lit(None).cast("string").alias("text"), F.lit("upload_too_large").alias("error_code"))
     small = files.filter(F.col("length") <= max_bytes).select(name.alias("name"), F.col("content"))
-    error = F.when(~F.col("name").rlike("[^.]\\.[^.]+$"), "unnamed_upload").when(~F.is_valid_utf8(F.col("content").cast("string")), "unreadable_upload")
+    error = F.when(suffix(F.col("name")) == "", "unnamed_upload").when(~F.is_valid_utf8(F.col("content").cast("string")), "unreadable_upload")
     small = small.withColumn("error_code", error).select("name", F.when(F.col("error_code").isNull(), F.col("content").cast("string")).alias("text"), "error_code")
     status = F.when(F.col("error_code") == "upload_too_large", 413).when(F.col("error_code").isNotNull(), 422)
     return small.unionByName(large).withColumn("status", status)
