@@ -1,7 +1,8 @@
 """Artifacts cut into line-addressed chunks.
 
-Markdown sections are windows over exploded lines; Python definitions, cuts by size and the merging of
-small pieces need a parser or look-ahead and run on one artifact at a time in Arrow batches.
+Definitions and the merging of small pieces need a parser or look-ahead, so whole chunks are made of one
+artifact at a time in Arrow batches. Cuts by size are also column expressions (`size_pieces`), Markdown
+sections also windows over lines (`markdown_pieces`), for those who want these alone.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duoscope.functions import pieces as cut
+from duoscope.functions import splitting
 from duoscope.functions.batches import slices
 from duoscope.functions.text import chunk_header, split_lines, strip, suffix
 
@@ -21,11 +23,12 @@ HEADING = "(?U)^(#{1,6})\\s+(\\S.*)$"
 FENCE = "(?U)^\\s*(```|~~~)"
 ARTIFACT = ["pair_id", "side", "name"]
 PIECE = "array<struct<text:string,start_line:int,end_line:int,label:string>>"
+FIELDS = ("text", "start_line", "end_line", "label")
 ARROW_PIECE = pa.list_(pa.struct([("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("label", pa.string())]))
 
 
-#: How to cut an artifact, by the suffix of its name: a function from text to pieces; None: as Markdown, by SQL windows.
-SPLITTERS: dict[str, Callable[[str], list[cut.Piece]] | None] = {".md": None, ".markdown": None, ".py": cut.by_definition}
+#: How to cut an artifact, by the suffix of its name; what isn't listed is cut by size.
+SPLITTERS: dict[str, Callable[[str], list[cut.Piece]]] = {".md": cut.by_heading, ".markdown": cut.by_heading, ".py": cut.by_definition}
 
 
 def markdown_lines(artifacts: DataFrame) -> DataFrame:
@@ -50,34 +53,36 @@ def markdown_pieces(artifacts: DataFrame) -> DataFrame:
     ).select(*ARTIFACT, "text", "start_line", "end_line", "label")
 
 
-def chunks(artifacts: DataFrame, splitters: dict[str, Callable[[str], list[cut.Piece]] | None] = SPLITTERS) -> DataFrame:
+def size_pieces(artifacts: DataFrame) -> DataFrame:
+    """(pair_id, side, name, at, text, start_line, end_line) of artifacts cut by size alone, before caps and merges: column expressions without a shuffle."""
+    return artifacts.select(*ARTIFACT, F.posexplode(splitting.size_pieces(F.col("text"))).alias("at", "p")).select(*ARTIFACT, "at", "p.text", "p.start_line", "p.end_line")
+
+
+def cut_artifact(name_suffix: str, text: str, splitters: dict[str, Callable[[str], list[cut.Piece]]] = SPLITTERS) -> list[cut.Piece]:
+    """The final pieces of one artifact: cut by its suffix, capped, and small ones merged."""
+    return cut.merged(cut.capped(splitters.get(name_suffix, cut.by_size)(text)), text)
+
+
+def chunks(artifacts: DataFrame, splitters: dict[str, Callable[[str], list[cut.Piece]]] = SPLITTERS) -> DataFrame:
     """The chunks of (pair_id, side, name, text): pos in the side, chunk_index in the artifact, source, lines, label, header.
 
+    An artifact is cut where it lies, so only its chunks are shuffled, for their positions in a side.
     Artifacts of one side follow each other by a column `artifact_pos`, where there is one, then by name;
-    two of one side need different positions or names. Null and blank texts have no chunks. splitters:
-    other suffixes, or other cuts; what isn't listed is cut by size.
+    two of one side need different positions or names. Null and blank texts have no chunks; null keys are
+    keys like others. splitters: other suffixes, or other cuts.
     """
     at = F.col("artifact_pos") if "artifact_pos" in artifacts.columns else F.lit(0)
     key = [*ARTIFACT, "artifact_pos"]
     given = artifacts.filter(strip(F.col("text")) != "").select(*ARTIFACT, at.cast("long").alias("artifact_pos"), "text", suffix(F.col("name")).alias("suffix"))
-    as_markdown = [s for s, how in splitters.items() if how is None]
-    sections = markdown_pieces(given.filter(F.col("suffix").isin(as_markdown)).withColumn("name", F.concat_ws("\0", F.coalesce("artifact_pos", F.lit(0)).cast("string"), "name")))
-    listed = sections.groupBy(*ARTIFACT).agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "text", "label"))).alias("p"))
-    listed = listed.select("pair_id", "side", F.col("name").alias("of"), F.transform("p", lambda x: F.struct(x["text"].alias("text"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["label"].alias("label"))).alias("pieces"))
-    given = given.withColumn("of", F.concat_ws("\0", F.coalesce("artifact_pos", F.lit(0)).cast("string"), "name"))
-    ready = given.join(listed, ["pair_id", "side", "of"], "left").select(*key, "text", "suffix", F.col("pieces").cast(PIECE).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4):
-            out = []
-            for text, ending, found in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
-                parts = [tuple(p.values()) for p in found or ()] if ending in as_markdown else splitters.get(ending, cut.by_size)(text)
-                parts = cut.merged(cut.capped(parts), text)
-                out.append([dict(zip(("text", "start_line", "end_line", "label"), p, strict=True)) for p in parts])
+            texts, endings = (batch.column(i).to_pylist() for i in (4, 5))
+            out = [[dict(zip(FIELDS, p, strict=True)) for p in cut_artifact(ending, text, splitters)] for text, ending in zip(texts, endings, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, ARROW_PIECE)], [*key, "pieces"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.select(*key).schema)
-    flat = ready.mapInArrow(run, f"{schema}, pieces {PIECE}").select(*key, F.posexplode("pieces").alias("chunk_index", "p")).select(*key, "chunk_index", "p.*")
+    flat = given.mapInArrow(run, f"{schema}, pieces {PIECE}").select(*key, F.posexplode("pieces").alias("chunk_index", "p")).select(*key, "chunk_index", "p.*")
     source = F.regexp_extract("name", "([^/]*)$", 1)
     pos = F.row_number().over(W.partitionBy("pair_id", "side").orderBy("artifact_pos", "name", "chunk_index"))
     return flat.select(

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.functions import responses as R
+from duoscope.functions import tables
 from duoscope.functions import text as T
 from duoscope.functions.errors import errors_table
+from duoscope.functions.pieces import SEPARATORS
 from duoscope.operators import chunking, citations, completion, embedding, prompts, providers, ranking, selection, vectors
 
 QUERIES: dict = {}
@@ -115,15 +117,18 @@ def markdown_chunks(spark, sf_dir):
     return chunking.chunks(headed(spark, sf_dir)).select("pair_id", "chunk_index", "start_line", "end_line", "label", "text")
 
 
-@query("""SELECT p_partkey AS pair_id, unnest(['class P' || p_partkey, 'def size_' || p_size]) AS label, unnest([1, 8]) AS start_line, unnest([4, 10]) AS end_line FROM part""")
-def python_definitions(spark, sf_dir):
-    """A class and a decorated function made of each part, both long enough to stay apart."""
+def part_sources(spark, sf_dir) -> DataFrame:
+    """Python of each part: a class and a decorated function, both long enough to stay apart."""
     filler = "# " + "x" * 100
     p = table(spark, sf_dir, "part")
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     source = F.concat(F.lit("class P"), key, F.lit(f":\n    {filler}\n    def name(self):\n        return {filler!r}\n\n\n\n@wraps\ndef size_"), size, F.lit(f"():\n    return {filler!r}\n"))
-    given = p.select(F.col("p_partkey").alias("pair_id"), F.lit("B").alias("side"), F.lit("part.py").alias("name"), source.alias("text"))
-    return chunking.chunks(given).select("pair_id", "label", "start_line", "end_line")
+    return p.select(F.col("p_partkey").alias("pair_id"), F.lit("B").alias("side"), F.lit("part.py").alias("name"), source.alias("text"))
+
+
+@query("""SELECT p_partkey AS pair_id, unnest(['class P' || p_partkey, 'def size_' || p_size]) AS label, unnest([1, 8]) AS start_line, unnest([4, 10]) AS end_line FROM part""")
+def python_definitions(spark, sf_dir):
+    return chunking.chunks(part_sources(spark, sf_dir)).select("pair_id", "label", "start_line", "end_line")
 
 
 @query(f"WITH {TURNS} SELECT pair_id, side, pos, chunk_id FROM c")
@@ -524,3 +529,39 @@ def nearest_vectors(spark, sf_dir):
     """The ten nearest to each vector whose id is divisible by 20, among all rows."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return ranking.top_k(e.filter("id % 20 = 0"), e).withColumn("score", F.round("score", 9))
+
+
+def cuts_sql() -> str:
+    """The texts in ever finer parts, by lists: l0 to l4."""
+    steps = ["l0 AS (SELECT doc_id, text, [text] AS p FROM documents WHERE regexp_matches(text, '\\S'))"]
+    for i, separator in enumerate(SEPARATORS, 1):
+        mark = "' '" if separator == " " else f"repeat(chr(10), {len(separator)})"
+        parts = f"list_transform(string_split(x, {mark}), lambda y, i: CASE WHEN i < len(string_split(x, {mark})) THEN y || {mark} ELSE y END)"
+        steps.append(f"l{i} AS (SELECT doc_id, text, flatten(list_transform(p, lambda x: CASE WHEN length(x) > 1530 THEN list_filter({parts}, lambda y: y <> '') ELSE [x] END)) AS p FROM l{i - 1})")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {cuts_sql()}, h AS (SELECT doc_id, text, flatten(list_transform(p, lambda x: list_transform(range(0, length(x), 1530), lambda i: length(substring(x, i + 1, 1530))))) AS sizes FROM l4),
+    f AS (SELECT doc_id, text, list_reduce(list_transform(sizes, lambda s: {{'b': 0::BIGINT, 'e': s::BIGINT, 'done': []::STRUCT(b BIGINT, e BIGINT)[]}}), lambda a, x: {{
+        'b': CASE WHEN a.e > 0 AND a.e + x.e - a.b > 1500 THEN greatest(a.b, a.e - 150, a.e + x.e - 1530) ELSE a.b END, 'e': a.e + x.e,
+        'done': CASE WHEN a.e > 0 AND a.e + x.e - a.b > 1500 THEN list_append(a.done, {{'b': a.b, 'e': a.e}}) ELSE a.done END}}) AS s FROM h),
+    u AS (SELECT doc_id, text, unnest(list_append(s.done, {{'b': s.b, 'e': s.e}})) AS c FROM f),
+    t AS (SELECT doc_id, c.b AS b, substring(text, c.b + 1, c.e - c.b) AS body, left(text, c.b) AS before FROM u),
+    k AS (SELECT doc_id, b, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS text, len(string_split(before || regexp_extract(body, '^\\s+'), chr(10))) AS start_line FROM t)
+    SELECT doc_id AS pair_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INT AS at, start_line::INT AS start_line, (start_line + len(string_split(text, chr(10))) - 1)::INT AS end_line, text FROM k WHERE text <> ''""")
+def size_pieces(spark, sf_dir):
+    """Documents cut by size, packed with an overlap, without Python."""
+    return chunking.size_pieces(artifacts(spark, sf_dir)).select("pair_id", "at", "start_line", "end_line", "text")
+
+
+@query("""WITH p AS (SELECT *, '# ' || p_name AS one, '## Rest of it' || chr(10) || p_type AS two FROM part),
+    c AS (SELECT p_partkey, 'B-0' AS chunk_id, 'a.py' AS artifact_id, 'class P' || p_partkey AS label, 1 AS start_line, 4 AS end_line FROM p
+    UNION ALL SELECT p_partkey, 'B-1', 'a.py', 'def size_' || p_size, 8, 10 FROM p
+    UNION ALL SELECT p_partkey, 'B-2', 'b.md', CASE WHEN length(two) > length(one) THEN 'Rest of it' ELSE trim(p_name) END, 1, 4 FROM p)
+    SELECT p_partkey AS pair_id, chunk_id, artifact_id, label, start_line, end_line, '[' || artifact_id || ' · ' || label || ' · lines ' || start_line || '-' || end_line || ']' AS header FROM c""")
+def side_chunks_sql(spark, sf_dir):
+    """Two files of each part, cut, merged and numbered by a table function from SQL: Python with a class and a function, and Markdown of two small sections that become one."""
+    tables.register(spark)
+    md = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.lit("B").alias("side"), F.lit("b.md").alias("name"), F.concat(F.lit("# "), "p_name", F.lit("\n\n## Rest of it\n"), "p_type").alias("text"))
+    files = part_sources(spark, sf_dir).withColumn("name", F.lit("a.py")).unionByName(md)
+    return spark.sql("SELECT pair_id, chunk_id, artifact_id, label, start_line, end_line, header FROM side_chunks(TABLE(SELECT * FROM {files}) PARTITION BY (pair_id, side) ORDER BY name)", files=files)

@@ -1,3 +1,4 @@
+import itertools
 import json
 import os
 import random
@@ -142,25 +143,31 @@ def test_a_form_feed_shifts_text_but_not_lines():
     assert pieces.by_definition("x = 1\n\x0c\ndef f():\n    pass\n") == [("x = 1", 1, 1, ""), ("def f():", 4, 4, "def f"), ("    pass", 5, 5, "")]
 
 
-def slow_merge(parts, text):
-    """By definition: the first small piece with a fitting neighbour is joined, and all starts again from there."""
-    lines = text.splitlines()
-    body = lambda a, b: "\n".join(lines[min(a[1], b[1]) - 1 : max(a[2], b[2])])
-    at, parts = 0, list(parts)
-    while at < len(parts):
-        options = []
-        for other in (at + 1, at - 1):
-            if len(parts[at][0]) < 90 and 0 <= other < len(parts) and len(body(parts[at], parts[other])) <= 1530:
-                shared = len(os.path.commonprefix([parts[x][3].split(" · ") for x in (at, other)]))
-                options.append((shared, other > at, other))
-        if not options:
-            at += 1
-            continue
-        a, b = sorted((at, max(options)[2]))
-        longer = parts[b] if len(parts[b][0]) > len(parts[a][0]) else parts[a]
-        parts[a : b + 1] = [(body(parts[a], parts[b]), min(parts[a][1], parts[b][1]), max(parts[a][2], parts[b][2]), longer[3])]
-        at = a
-    return parts
+def slow_merge(parts, text, settled=0):
+    """By the rule: pieces before `settled` stay; the first after them that is small and has a neighbour with room is replaced by the two as one."""
+    rows = text.splitlines()
+
+    def one(left, right):
+        first, last = min(left[1], right[1]), max(left[2], right[2])
+        return "\n".join(rows[first - 1 : last]), first, last, max((left, right), key=lambda p: len(p[0]))[3]
+
+    def kin(p, q):
+        pairs = zip(p[3].split(" · "), q[3].split(" · "), strict=False)
+        return sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], pairs))
+
+    if settled == len(parts):
+        return list(parts)
+    before, piece, after = parts[:settled], parts[settled], parts[settled + 1 :]
+    ways = []  # (closeness, whether it is the next, what comes of it, where to go on)
+    if len(piece[0]) < 90 and after:
+        ways.append((kin(piece, after[0]), True, (*before, one(piece, after[0]), *after[1:]), settled))
+    if len(piece[0]) < 90 and before:
+        ways.append((kin(piece, before[-1]), False, (*before[:-1], one(before[-1], piece), *after), settled - 1))
+    ways = [w for w in ways if len(w[2][w[3]][0]) <= 1530]
+    if not ways:
+        return slow_merge(parts, text, settled + 1)
+    _, _, parts, settled = max(ways, key=lambda w: w[:2])
+    return slow_merge(parts, text, settled)
 
 
 def test_merging_against_a_slow_version():
@@ -173,7 +180,7 @@ def test_merging_against_a_slow_version():
             parts.append(("\n".join(lines[first - 1 :]), first, len(lines), rnd.choice(["", "a", "a · b", "a · b · c", "d"])))
             lines += [""] * (rnd.random() < 0.3)
         text = "\n".join(lines)
-        assert pieces.merged(parts, text) == slow_merge(parts, text)
+        assert pieces.merged(parts, text) == slow_merge(tuple(parts), text)
 
 
 def slow_cuts(text, separators=pieces.SEPARATORS):
