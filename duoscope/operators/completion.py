@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from duoscope.functions.errors import errors_table
 from duoscope.functions.responses import TOO_MANY, UNAVAILABLE, model_unavailable
 from duoscope.operators.citations import let
 from duoscope.operators.embedding import embed  # noqa: F401  (the other kind of call)
-from duoscope.operators.providers import ProviderError
+from duoscope.operators.providers import CHAIN, ProviderError
 
 ATTEMPTS = "array<struct<tier:int,model:string,error:string>>"
 
@@ -172,8 +173,9 @@ class Policy:
     clock: Callable[[], float] = time.monotonic
     now: Callable[[], float] = time.time
 
-    def call(self, client, prompt: str, deadline: float) -> dict:
+    def call(self, client, prompt: str, deadline: float, spent: dict) -> dict:
         for attempt in range(self.retries + 1):
+            spent["calls"] += 1
             try:
                 return client.complete(prompt)
             except ProviderError as e:
@@ -185,16 +187,19 @@ class Policy:
                 if final or wait > self.longest_delay or self.clock() + wait >= deadline:
                     raise
                 self.sleep(wait)
+                spent["waited"] += wait
         raise AssertionError("unreachable")
 
-    def run(self, clients: list, prompt: str) -> tuple[int | None, dict | None, list[dict]]:
-        """The tier that answered, its answer (text, model, finish_reason), and the attempts before it."""
+    def run(self, clients: list, prompt: str, spent: dict | None = None) -> tuple[int | None, dict | None, list[dict]]:
+        """The tier that answered, its answer (text, model, finish_reason), and the attempts before it. spent: gets `calls` made and seconds `waited`."""
         deadline, dead, attempts = self.clock() + self.budget, set(), []
+        spent = {} if spent is None else spent
+        spent |= {"calls": 0, "waited": 0.0}
         for c in clients:
             note = f"skipped: {c.pool} exhausted" if c.pool in dead else "skipped: time budget spent" if self.clock() >= deadline else None
             if note is None:
                 try:
-                    return c.tier, self.call(c, prompt, deadline), attempts
+                    return c.tier, self.call(c, prompt, deadline, spent), attempts
                 except ProviderError as e:
                     gone = e.status == TOO_MANY and e.rate_limit == 0
                     note = f"not available on this account: {e}" if gone else str(e)
@@ -205,21 +210,51 @@ class Policy:
 
 
 def complete(prompts: DataFrame, clients: Callable[[], list], policy: Policy | None = None) -> DataFrame:
-    """pair_id, tier, model, finish_reason, answer, attempts of (pair_id, prompt).
+    """pair_id, request_id, tier, model, finish_reason, answer, attempts, calls, waited, tokens_in, tokens_out of (pair_id, prompt).
 
     `clients` makes the providers once in a task (operators.providers.Client over a transport, or others
-    with tier, pool, model and complete(prompt)). Calls aren't repeatable: write the result before using
+    with tier, pool, model and complete(prompt)). request_id is a UUID of the task's own making; tokens are
+    null where the answer doesn't tell them. Calls aren't repeatable: write the result before using
     it twice, and switch speculation off.
     """
     rule = policy or Policy()
+    schema = f"pair_id long, request_id string, tier int, model string, finish_reason string, answer string, attempts {ATTEMPTS}, calls int, waited double, tokens_in long, tokens_out long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = sorted(clients(), key=lambda c: c.tier)
+        kind = pa.list_(pa.struct([("tier", pa.int32()), ("model", pa.string()), ("error", pa.string())]))
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), kind, pa.int32(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
-            rows = [rule.run(made, p) if p and p.strip() else (None, None, [{"tier": None, "model": None, "error": "prompt must not be empty"}]) for p in batch.column(1).to_pylist()]
-            said = [a or {} for _, a, _ in rows]
-            kind = pa.list_(pa.struct([("tier", pa.int32()), ("model", pa.string()), ("error", pa.string())]))
-            texts = [pa.array([a.get(k) for a in said], pa.string()) for k in ("model", "finish_reason", "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _, _ in rows], pa.int32()), *texts, pa.array([x for _, _, x in rows], kind)], ["pair_id", "tier", "model", "finish_reason", "answer", "attempts"])
+            rows = []
+            for prompt in batch.column(1).to_pylist():
+                spent = {"calls": 0, "waited": 0.0}
+                if prompt and prompt.strip():
+                    tier, said, attempts = rule.run(made, prompt, spent)
+                else:
+                    tier, said, attempts = None, None, [{"tier": None, "model": None, "error": "prompt must not be empty"}]
+                said = said or {}
+                rows.append((str(uuid.uuid4()), tier, said.get("model"), said.get("finish_reason"), said.get("text"), attempts, spent["calls"], spent["waited"], said.get("tokens_in"), said.get("tokens_out")))
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], list(FIELDS))
 
-    return prompts.select(F.col("pair_id").cast("long"), "prompt").mapInArrow(run, f"pair_id long, tier int, model string, finish_reason string, answer string, attempts {ATTEMPTS}")
+    return prompts.select(F.col("pair_id").cast("long"), "prompt").mapInArrow(run, schema)
+
+
+FIELDS = ("pair_id", "request_id", "tier", "model", "finish_reason", "answer", "attempts", "calls", "waited", "tokens_in", "tokens_out")
+
+
+def observed(results: DataFrame, tiers: tuple[int, ...] = tuple(p.tier for p in CHAIN), name: str = "completion") -> tuple[DataFrame, Observation]:
+    """The results, and what they sum to once an action has run on them: requests, answered, calls, waited, tokens_in, tokens_out and errors_<tier> for each of the tiers.
+
+    Sums are taken where the rows are, by each task that succeeds, so they cost no pass of their own and
+    a task that is done again counts once.
+    """
+    seen = Observation(name)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    errors = [total(F.size(F.filter("attempts", of_tier(t)))).alias(f"errors_{t}") for t in tiers]
+    sums = [total(c).alias(c) for c in ("calls", "waited", "tokens_in", "tokens_out")]
+    return results.observe(seen, F.count(F.lit(1)).alias("requests"), F.count("tier").alias("answered"), *sums, *errors), seen
+
+
+def of_tier(tier: int) -> Callable[[Column], Column]:
+    return lambda attempt: attempt["tier"] == tier

@@ -249,7 +249,7 @@ class Client:
         return self.provider.model
 
     def complete(self, prompt: str) -> dict:
-        """text, model and finish_reason; ProviderError where there is no answer."""
+        """text, model, finish_reason, and tokens_in and tokens_out where they are told; ProviderError where there is no answer."""
         p = self.provider
         if reason := misfit(p, len(prompt), self.max_tokens):
             raise ProviderError(f"{p.name}: the prompt does not fit ({reason})")
@@ -305,4 +305,13 @@ def read_answer(p: Provider, text: str) -> dict:
         raise ProviderError(f"{p.name}: the response can't be read: {text.strip()[:300]}") from e
     if not isinstance(said, str) or not said.strip():
         raise ProviderError(f"{p.name}: returned an empty answer ({reason})")
-    return {"text": said.strip(), "model": model or p.name, "finish_reason": reason}
+    return {"text": said.strip(), "model": model or p.name, "finish_reason": reason, **used(p, body)}
+
+
+def used(p: Provider, body: dict) -> dict:
+    """tokens_in and tokens_out, as far as the answer tells them."""
+    block, into, out = ("usageMetadata", "promptTokenCount", "candidatesTokenCount") if p.kind == "google" else ("usage", "prompt_tokens", "completion_tokens")
+    told = body.get(block)
+    if not isinstance(told, dict):
+        return {}
+    return {name: told[key] for name, key in (("tokens_in", into), ("tokens_out", out)) if isinstance(told.get(key), int)}

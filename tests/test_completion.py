@@ -2,8 +2,8 @@
 
 import random
 
-from duoscope.operators.completion import Policy, Waits, fallback_in_time
-from duoscope.operators.providers import ProviderError
+from duoscope.operators.completion import Policy, Waits, complete, fallback_in_time, observed
+from duoscope.operators.providers import CHAIN, Client, ProviderError
 
 CALLS = "request_id long, tier int, pool string, model string, attempt int, status int, retry_after double, reset_at double, rate_limit double, error string, answer string, seconds double, started double"
 START = 1_700_000_000.0
@@ -78,3 +78,35 @@ def test_calls_that_are_missing_or_too_many(spark):
         4: (2, "no pool is shared", ["e1.1"]), 5: (1, "first", []),
     }
     assert fallback_in_time(spark.createDataFrame([], CALLS)).collect() == []
+
+
+def test_totals_of_live_calls(spark):
+    class One:
+        tier, pool, model = 3, "P", "m"
+
+        def complete(self, prompt):
+            if prompt.startswith("fail"):
+                raise ProviderError("down", 503, wait=0.0)
+            if prompt.startswith("timeout"):
+                raise ProviderError("One: request failed: timed out")
+            return {"text": prompt, "model": "m", "finish_reason": "stop", "tokens_in": 5, "tokens_out": None}
+
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "fail", "b", "timeout", " ", None])], "pair_id long, prompt string")
+    results, seen = observed(complete(df, lambda: [One()], Policy(sleep=lambda s: None)), tiers=(1, 3))
+    rows = {r.pair_id: r for r in results.collect()}
+    assert seen.get == {"requests": 6, "answered": 2, "calls": 5, "waited": 0.0, "tokens_in": 10, "tokens_out": 0, "errors_1": 0, "errors_3": 2}
+    assert rows[1].calls == 2 and rows[1].tier is None and rows[4].calls == 0
+    assert len({r.request_id for r in rows.values()}) == 6
+
+
+def test_a_transport_that_raises_is_an_attempt():
+    def send(url, headers, body):
+        if "generativelanguage" in url:
+            raise TimeoutError("read timed out")
+        return 200, {}, '{"choices":[{"message":{"content":"hi"}}],"usage":{"prompt_tokens":3,"completion_tokens":4}}'
+
+    env = {"GOOGLE_API_KEY": "g", "MISTRAL_API_KEY": "m"}
+    clients = [Client(CHAIN[0], send, env=env), Client(CHAIN[3], send, env=env)]
+    tier, said, attempts = Policy().run(clients, "why")
+    assert tier == 4 and said["text"] == "hi" and (said["tokens_in"], said["tokens_out"]) == (3, 4)
+    assert [a["error"] for a in attempts] == [f"{CHAIN[0].name}: request failed: read timed out"]
