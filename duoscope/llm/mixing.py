@@ -6,13 +6,14 @@ sum of r * tokens * posterior, match target weights of a total: least squares, w
 
 The classifier is naive Bayes over hashed words, learnt from at most about `train_docs` labelled rows and
 calibrated on others of them: the mean log-likelihood ratio of a text's words is scaled by what makes
-their records most probable, by nothing where words say nothing of the domain. A document whose domain
+their records most probable, by little where words say little of the domain. A document whose domain
 is recorded has the share `trust` of its posterior there and the rest as classified; one without a
 record is classified alone. Documents of one record, one most probable domain and one step of its
-probability form a cell and have one rate; a cell's posterior is the mean over its tokens, so expected
+odds against its share of all tokens form a cell and have one rate; a cell's posterior is the mean over its tokens, so expected
 tokens are those of the documents. The steps are aggregations over the cells, of which sums by domain
 and by pair of domains come to the driver. Everything is column expressions. There are at most
 `most_domains` domains, those with most tokens; records of others count as one domain more, named OTHER.
+A domain that is given a target is always one of its own; more than MOST_TARGETS of them are refused.
 
 Defined cases: null counts as empty, with one token so that it can be drawn, and is classified by the
 shares of the domains alone; labels that are null count as no record; domains without documents can't be
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from duoscope.llm.common import checkpointed
 
 OTHER = "other domains"
+MOST_TARGETS = 1024
 BUCKETS = 4096  # of hashed words
 SHARED = 2000.0  # tokens that the words of all domains count for in each
-SCALES = (0.0, 3.0, 10.0, 30.0, 100.0, 300.0)
-STEPS = 8  # of the probability of the most probable domain, by which cells differ
+SCALES = (0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
+STEPS = 8  # by which cells differ, of how far the most probable domain is from its share
 RIDGE = 1e-6  # of rates that are not 1, against the targets
 
 
@@ -95,8 +97,6 @@ def classified(docs: DataFrame, domains: list[str], prior: list[float], train_do
     chance = lambda s: F.avg(F.log(F.greatest(F.get(softmax(d, s, prior), F.col("k")), F.lit(1e-12))))
     likely = tested.agg(*[chance(s) for s in SCALES]).first()
     scale = max(zip((x if x is not None else 0.0 for x in likely), SCALES, strict=True), key=lambda x: (x[0], -x[1]))[1]
-    if not scale:  # words say nothing of the domain
-        return docs.select("digest").distinct().select("digest", F.array(*[F.lit(p) for p in prior]).alias("soft"))
     return word_scores(docs, weights, d, "digest").select("digest", softmax(d, scale, prior).alias("soft"))
 
 
@@ -115,8 +115,13 @@ def mixed(docs: DataFrame, domain: str = "source", targets: dict[str, float] | N
     """
     given = features(docs, F.col(domain))
     small = checkpointed(given.drop("text"))
-    by_tokens = small.filter("recorded is not null").groupBy("recorded").agg(F.sum("tokens").alias("mass"), F.count("*").alias("n")).orderBy(F.desc("mass"), "recorded")
-    top = by_tokens.limit(most_domains).collect()
+    wanted = [x for x, goal in (targets or {}).items() if goal > 0]
+    if len(wanted) > MOST_TARGETS:
+        raise ValueError(f"{len(wanted)} domains have a target, of {MOST_TARGETS} at most")
+    by_tokens = checkpointed(small.filter("recorded is not null").groupBy("recorded").agg(F.sum("tokens").alias("mass")))
+    own = by_tokens.filter(F.col("recorded").isin(wanted)).collect() if wanted else []
+    others = by_tokens.filter(~F.col("recorded").isin(wanted)) if wanted else by_tokens
+    top = own + others.orderBy(F.desc("mass"), "recorded").limit(max(0, most_domains - len(own))).collect()
     domains = sorted(r.recorded for r in top)
     chance = F.pmod(F.xxhash64("doc_id", "digest", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies")
@@ -132,7 +137,9 @@ def mixed(docs: DataFrame, domain: str = "source", targets: dict[str, float] | N
     soft = checkpointed(classified(given.withColumn("recorded", pooled), domains, prior, train_docs))
     whole = small.join(soft, "digest", "left").withColumn("soft", F.coalesce("soft", F.array(*[F.lit(p) for p in prior])))
     best = F.array_max("soft")
-    whole = checkpointed(whole.select("doc_id", "digest", "tokens", "recorded", pooled.alias("pooled"), "soft", F.array_position("soft", best).cast("int").alias("top"), F.floor(best * STEPS).cast("int").alias("step")))
+    share = F.get(F.array(*[F.lit(p) for p in prior]), F.array_position("soft", best).cast("int") - 1)
+    step = F.floor(STEPS * F.asinh(64 * F.log(best / share))).cast("int")  # fine around the share, coarse far from it
+    whole = checkpointed(whole.select("doc_id", "digest", "tokens", "recorded", pooled.alias("pooled"), "soft", F.array_position("soft", best).cast("int").alias("top"), step.alias("step")))
 
     key = ["pooled", "top", "step"]
     sums = [F.sum(F.get("soft", F.lit(k)) * F.col("tokens")).alias(f"t{k}") for k in range(len(domains))]
@@ -140,7 +147,7 @@ def mixed(docs: DataFrame, domain: str = "source", targets: dict[str, float] | N
     shares = [(1 - F.lit(trust) * F.col("pooled").isNotNull().cast("int")) * F.col(f"t{k}") / F.col("mass") + trust * F.coalesce(F.col("pooled") == x, F.lit(False)).cast("double") for k, x in enumerate(domains)]
     cells = checkpointed(cells.select(*key, "mass", F.array(*shares).alias("p")))
     rate = fitted(cells, domains, targets, power, steps, tolerance)
-    rated = checkpointed(cells.select(*[F.col(k).alias(f"of_{k}") for k in key], rate.alias("rate")))  # at most (most_domains + 2) squared, times STEPS + 1
+    rated = checkpointed(cells.select(*[F.col(k).alias(f"of_{k}") for k in key], rate.alias("rate")))  # at most the domains squared, times some hundred steps
     same = F.col("pooled").eqNullSafe(F.col("of_pooled")) & (F.col("top") == F.col("of_top")) & (F.col("step") == F.col("of_step"))
     return whole.join(rated, same, "left").select("doc_id", "digest", "tokens", F.col("recorded").alias("domain"), "rate", copies)
 
@@ -154,12 +161,15 @@ def expected(cells: DataFrame, rate: Column) -> dict[int, float]:
 def fitted(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, power: float, steps: int, tolerance: float) -> Column:
     """The rate of a cell, as a column over its posterior: max(0, 1 - posterior . push), by domain one push.
 
-    The pushes minimise the convex dual of half the sum of (expected - target) ** 2 / target plus RIDGE
-    times half the tokens times (rate - 1) ** 2: the least squares of all targets and, among their many
-    solutions, the rates nearest to 1. Newton steps are halved until the dual falls. Its gradient by
-    domain, over the target, must come below the tolerance within the steps, or ValueError is raised;
-    targets that least squares then leave further off than the tolerance are out of reach of any rates
-    and are warned of. Domains with no target or zero are no part of this: cells whose most probable
+    The pushes are found by projected gradients, of the least squares of expected tokens to the targets,
+    each over its target, and RIDGE times the squares of rate - 1, which of their many solutions picks the rates
+    nearest to 1. A step moves each domain's push by how far its expected tokens are off, over the
+    domain's own curvature (diagonal scaling) and the largest eigenvalue that is left, with momentum that
+    starts again where it leads uphill (Nesterov; O'Donoghue and Candes); the rates that follow are projected to zero
+    or more. The gradient by domain, over its target, must come below half the tolerance. Targets out of
+    reach of any rates have no such pushes near; where gradients no longer gain, steps by Newton's
+    method, halved until they descend, end the fit, or ValueError is raised; those that least squares leave further off than the
+    tolerance are warned of. Domains with no target or zero are no part of this: cells whose most probable
     domain is one of them have rate 0.
     """
     of = expected(cells, F.lit(1.0))
@@ -171,12 +181,53 @@ def fitted(cells: DataFrame, domains: list[str], targets: dict[str, float] | Non
         return F.lit(0.0)
     zero = np.flatnonzero(target == 0).tolist()
     t = target[used]
+    slope = moments(cells, push, zero, used)[2]
+    own = np.diag(slope) + RIDGE * t  # all cells have a rate here, so that no curvature is larger later on
+    largest = 1.01 * np.linalg.eigvalsh(slope / np.sqrt(np.outer(own, own))).max()
+    before, speed, least, since = push[used], 1.0, np.inf, 0
+    ended = False
+    for _ in range(5 * steps):
+        gradient = t - expected_of(cells, push, zero, used) + RIDGE * t * push[used]
+        worst = np.abs(gradient / t).max()
+        if worst < tolerance / 2:
+            ended = True
+            break
+        least, since = (worst, 0) if worst < 0.7 * least else (least, since + 1)
+        if since == 25:
+            break
+        now = push[used] - gradient / own / max(largest, 1e-12)
+        if gradient @ (now - before) > 0:
+            speed, push[used] = 1.0, now
+        else:
+            after = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+            speed, push[used] = after, now + (speed - 1) / after * (now - before)
+        before = now
+    if not ended:
+        push = by_newton(cells, push, zero, used, t, steps, tolerance)
+    tokens = expected_of(cells, push, zero, used)
+    off = {domains[d]: float(tokens[k] / t[k] - 1) for k, d in enumerate(used) if abs(tokens[k] / t[k] - 1) >= tolerance}
+    if off:
+        warnings.warn(f"targets out of reach, expected / target - 1: {off}", stacklevel=2)
+    return pushed(push, zero)
+
+
+def expected_of(cells: DataFrame, push: np.ndarray, zero: list[int], used: np.ndarray) -> np.ndarray:
+    """Expected tokens of the used domains under the rates of a push."""
+    of = expected(cells, pushed(push, zero))
+    return np.array([of.get(int(d), 0.0) for d in used])
+
+
+def by_newton(cells: DataFrame, push: np.ndarray, zero: list[int], used: np.ndarray, t: np.ndarray, steps: int, tolerance: float) -> np.ndarray:
+    """The pushes by Newton steps on the same problem, for targets that no rates meet."""
+    push = push.copy()
     dual = lambda squares, y: squares + t @ y + RIDGE / 2 * (t * y) @ y
     squares, tokens, slope = moments(cells, push, zero, used)
-    for _ in range(steps):
+    for left in range(steps, -1, -1):
         y = push[used]
         gradient = t - tokens + RIDGE * t * y
         if np.abs(gradient / t).max() < tolerance / 2:
+            return push
+        if not left:
             break
         # scaled by the targets; the small term is for directions that no cell with a rate has
         step = -np.linalg.solve(slope / np.sqrt(np.outer(t, t)) + RIDGE * np.eye(len(t)), gradient / np.sqrt(t)) / np.sqrt(t)
@@ -189,14 +240,7 @@ def fitted(cells: DataFrame, domains: list[str], targets: dict[str, float] | Non
             length /= 2
             if length < 1e-9:
                 raise ValueError("the fit of the rates found no descent")
-    else:
-        gradient = t - tokens + RIDGE * t * push[used]
-        if np.abs(gradient / t).max() >= tolerance / 2:
-            raise ValueError(f"the fit of the rates did not end within {steps} steps")
-    off = {domains[d]: float(tokens[k] / t[k] - 1) for k, d in enumerate(used) if abs(tokens[k] / t[k] - 1) >= tolerance}
-    if off:
-        warnings.warn(f"targets out of reach, expected / target - 1: {off}", stacklevel=2)
-    return pushed(push, zero)
+    raise ValueError(f"the fit of the rates did not end within {steps} steps")
 
 
 def pushed(push: np.ndarray, zero: list[int]) -> Column:

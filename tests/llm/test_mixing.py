@@ -97,6 +97,36 @@ def test_sources_of_the_whole_table(spark):
     assert sum(r.tokens * r.rate for r in got) == pytest.approx(total, rel=2e-3)
 
 
+def test_rates_follow_the_texts_inside_a_source(spark):
+    got = mixing.mixed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r.domain, set()).add(r.rate)
+    assert all(len(rates) > 1 for source, rates in by_source.items() if source is not None), {k: len(v) for k, v in by_source.items()}
+
+
+def test_every_domain_with_a_target_meets_it(spark):
+    rows = [(i, f"word{i % 7} and more", "en", f"host{i % 80}") for i in range(800)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    targets = {f"host{k}": 20.0 + k for k in range(80)}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = mixing.mixed(docs, targets=targets, trust=0.9).collect()
+    assert len(got) == 800 and min(r.rate for r in got) > 0
+    assert sum(r.tokens * r.rate for r in got) == pytest.approx(sum(targets.values()), rel=0.01)
+    with pytest.raises(ValueError, match="have a target"):
+        mixing.mixed(docs, targets={str(k): 1.0 for k in range(mixing.MOST_TARGETS + 1)})
+
+
+def test_gradients_end_where_newton_steps_do(spark):
+    held = [("a", 7e6, [0.8, 0.15, 0.05]), ("b", 1e6, [0.2, 0.7, 0.1]), ("c", 4e5, [0.2, 0.2, 0.6]), ("c", 1e5, [0.3, 0.2, 0.5])]
+    cells, t = cells_of(spark, held), mixing.np.array([4e6, 2e6, 8e5])
+    rate = mixing.fitted(cells, list("abc"), dict(zip("abc", t)), 0.7, 40, 1e-6)
+    push = mixing.by_newton(cells, mixing.np.zeros(3), [], mixing.np.arange(3), t, 40, 1e-9)
+    a, b = ([r.rate for r in cells.withColumn("rate", x).collect()] for x in (rate, mixing.pushed(push, [])))
+    assert a == pytest.approx(b, rel=1e-4)
+
+
 def test_many_domains_are_pooled(spark):
     rows = [(i, f"word{i % 3} and more", "en", f"host{i % 40}") for i in range(400)]
     got = mixing.mixed(spark.createDataFrame(rows, SCHEMA), most_domains=5).collect()
@@ -166,4 +196,4 @@ def test_targets_out_of_reach_are_reported_and_a_fit_that_does_not_end_raises(sp
         slope = sum(x * y for x, y in zip(p, residual))
         assert abs(slope) < 1e-2 if r > 0 else slope > -1e-2
     with pytest.raises(ValueError, match="did not end"):
-        mixing.fitted(cells, list("abc"), targets, 0.7, 1, 1e-3)
+        mixing.fitted(cells, list("abc"), targets, 0.7, 0, 1e-3)
