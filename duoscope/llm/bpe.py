@@ -160,6 +160,10 @@ class ReusingEncoder:
         return self.tokenizer.decode([i for i in ids if i is not None], skip_special_tokens=False)
 
 
+#: A task that has read so much gives its stores back to those that come after it in the worker.
+RELEASE_BYTES = 4 << 20
+
+
 def worker(path: str, **settings) -> ReusingEncoder:
     """The encoder of this Python worker, kept between tasks."""
     key = (path, *sorted(settings.items()))
@@ -172,14 +176,18 @@ def encode(docs: DataFrame, path: str, with_text: bool = True, **settings) -> Da
     """doc_id, ids, and decoded: the text that the ids decode to (null without with_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker(path, **settings)
+        encoder, seen = worker(path, **settings), 0
         for batch in slices(batches, 1):
+            seen += batch.nbytes
             codes = encoder.encode(utf8(batch.column(1)))
             sizes = np.array([len(x) // 4 for x in codes])
             ids = np.frombuffer(b"".join(codes), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
             texts = [encoder.decode(np.frombuffer(x, np.int32).tolist()) for x in codes] if with_text else [None] * len(codes)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        if seen > RELEASE_BYTES:
+            encoder.chunks.clear()
+            encoder.words.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

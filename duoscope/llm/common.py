@@ -76,7 +76,8 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def digests(texts: pa.Array) -> pa.Array:
     """MD5 of each text with A-Z in lower case; null counts as empty."""
-    return pa.array([hashlib.md5(x).digest() for x in utf8(pc.ascii_lower(texts))], pa.binary())
+    parts = slices([pa.RecordBatch.from_arrays([texts], ["text"])], 0)
+    return pa.array([hashlib.md5(x).digest() for part in parts for x in utf8(pc.ascii_lower(part.column(0)))], pa.binary())
 
 
 def digest(text: Column) -> Column:

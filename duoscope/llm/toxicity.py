@@ -244,7 +244,8 @@ def drop_toxic(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array([model.score(x or "") for x in text.to_pylist()], pa.float64())
+        parts = slices([pa.RecordBatch.from_arrays([text], ["text"])], 0)
+        return pa.array([model.score(x or "") for part in parts for x in part.column(0).to_pylist()], pa.float64())
 
     return docs.filter(scored(F.col("text").cast("string")) < most)
 
