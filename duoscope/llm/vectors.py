@@ -12,7 +12,8 @@ The axes are fitted on a bounded sample (`sample_rows`); they change the order o
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components, or whose
 label is null, links with nothing; vectors of different width never link; equal vectors are compared
-once and their links counted for each; a row with a null id links nothing and is its own null
+once and their links counted for each; labels are compared as they are, of any type that can be grouped
+(-0.0 is 0.0, NaN is NaN); rows that share an id are rows of their own; a row with a null id links nothing and is its own null
 component; an empty table gives no rows; further columns are ignored.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import checkpointed
+from duoscope.llm.common import checkpointed, to_each_task
 from duoscope.llm.components import connected_components
 from duoscope.llm.tiles import sides, spanning_roots, tile_pairs
 
@@ -78,19 +79,19 @@ def linked_pairs(x: np.ndarray, raw: np.ndarray, left: np.ndarray, right: np.nda
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int = 8192, grid_dims: int = 3, tile_rows: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept: links inside a label at cosine >= threshold, one row per vector."""
-    label = F.col("label") + F.lit(0) if vectors.schema["label"].dataType.typeName() in ("float", "double") else F.col("label")  # -0.0 is 0.0
-    as_text = F.when(F.col("label").isNotNull(), F.to_json(F.struct(label.alias("label"))))  # labels of any type
-    given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), as_text.alias("label"))
+    given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "label")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
-    distinct = checkpointed(given.filter(F.coalesce(usable, F.lit(False))).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    held = given.filter(F.coalesce(usable, F.lit(False))).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    distinct = checkpointed(held.withColumn("node", F.monotonically_increasing_id()))
+    labels = checkpointed(distinct.select("label").distinct().withColumn("of", F.monotonically_increasing_id()))
     axes = principal_axes(distinct, sample_rows)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for label, node, copies, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for of, node, copies, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = np.array(e, np.float64)
                 scaled = raw / np.abs(raw).max()
                 unit = scaled / np.linalg.norm(scaled)
@@ -98,7 +99,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int =
                 lead = x[: min(grid_dims, len(x))]
                 cell = np.floor(lead / reach).astype(int)
                 inside = lead - cell * reach
-                body = (label, len(e), node, copies, x.tobytes(), scaled.tobytes())
+                body = (of, len(e), node, copies, x.tobytes(), scaled.tobytes())
                 rows.append((*body, ",".join(map(str, cell)), True))
                 for d in half_directions(len(lead)):
                     gap = sum((reach - p if s > 0 else p) ** 2 for s, p in zip(d, inside, strict=True) if s)
@@ -106,9 +107,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int =
                         rows.append((*body, ",".join(map(str, cell + d)), False))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    schema = pa.schema([("label", pa.string()), ("width", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("x", pa.binary()), ("raw", pa.binary()), ("cell", pa.string()), ("home", pa.bool_())])
+    schema = pa.schema([("of", pa.int64()), ("width", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("x", pa.binary()), ("raw", pa.binary()), ("cell", pa.string()), ("home", pa.bool_())])
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = distinct.select("label", "node", "copies", "embedding").repartition(parts, "node").mapInArrow(placed, "label string, width int, node long, copies long, x binary, raw binary, cell string, home boolean")
+    rows = distinct.join(to_each_task(labels), "label").select("of", "node", "copies", "embedding").repartition(parts, "node").mapInArrow(placed, "of long, width int, node long, copies long, x binary, raw binary, cell string, home boolean")
 
     def compare(group: pa.Table) -> pa.Table:
         node, copies, home, tile = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies", "home", "tile"))
@@ -122,13 +123,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int =
         at = np.flatnonzero(links)
         return pa.table({"node": node[at], "links": links[at], "root": node[root[at]]})
 
-    paired = tile_pairs(rows, ["label", "width", "cell"], "node", tile_rows)
-    parts = checkpointed(paired.groupBy("label", "width", "cell", "lo", "hi").applyInArrow(compare, "node long, links long, root long"))
+    paired = tile_pairs(rows, ["of", "width", "cell"], "node", tile_rows)
+    parts = checkpointed(paired.groupBy("of", "width", "cell", "lo", "hi").applyInArrow(compare, "node long, links long, root long"))
     links = parts.groupBy("node").agg(F.sum("links").alias("links"))
-    components = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = checkpointed(
-        distinct.join(links, "node", "left").join(components, "node", "left").select("label", "embedding", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
-    )
+    components = checkpointed(connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    grouped = distinct.join(links, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = checkpointed(grouped.select("label", "embedding", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), "component"))
+    names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))  # the smallest id of its vectors
+    named = checkpointed(grouped.join(names, "component").select("label", "embedding", "copies", "links", "component_id"))
     own = F.when(F.coalesce(usable, F.lit(False)), F.col("embedding"))
     return (
         given.select("vec_id", "label", own.alias("embedding"))
@@ -136,7 +138,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int =
         .select(
             "vec_id",
             F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", "vec_id").alias("component_id"),
-            F.col("vec_id").eqNullSafe(F.coalesce("component", "vec_id")).alias("kept"),
+            F.coalesce("component_id", "vec_id").alias("component_id"),
+            F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept"),
         )
     )

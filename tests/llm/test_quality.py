@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +40,28 @@ def test_held_out_accuracy(spark):
     assert all(abs(r.expected_grade - r.p_good - r.p_clean) < 1e-9 and r.p_good >= r.p_clean for r in got.values())
 
 
+def test_the_table_against_plain_sums(spark, sf):
+    """Every column of the query from the model's weights and thresholds, trigram by trigram in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    ratings = spark.read.parquet(f"{sf}/labels.parquet").filter("quality is not null").select("doc_id", grade.alias("grade"))
+    model = quality.fit(docs, ratings, grades=3)
+    weights, low = model.weights.tolist(), model.thresholds.tolist()
+    got = {r.doc_id: r for r in queries.op2_quality(spark, sf).collect()}
+    for r in docs.collect():
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in (r.text or "").encode())
+        total = n = 0
+        for a, b, c in zip(data, data[1:], data[2:]):
+            total += weights[((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 16]
+            n += 1
+        score = 32.0 * total / max(n, 1)
+        tails = [1 / (1 + math.exp(-min(60.0, max(-60.0, score - t)))) for t in low]
+        x = got[r.doc_id]
+        assert [x.p_good, x.p_clean, x.expected_grade] == pytest.approx([*tails, sum(tails)], abs=1e-9)
+        assert x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and x.kept == (x.p_good >= 0.5)
+    assert len(got) == docs.count()
+
+
 def test_edge_cases(spark):
     rows = [(i, "good clean prose here" if i % 3 else "### $$$ %%% &&&") for i in range(60)] + [(90, None), (91, ""), (92, "ab"), (93, "good clean prose " * 20_000), (93, "good clean prose " * 20_000), (None, "### $$$ %%%")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("grade", F.lit("clash"))

@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime
 import math
 
 import numpy as np
@@ -57,8 +57,14 @@ def test_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-@pytest.mark.parametrize(("kind", "labels"), [("double", [0.0, -0.0, 2.5]), ("boolean", [True, True, False]), ("smallint", [1, 1, 2]), ("date", [date(2020, 1, 1), date(2020, 1, 1), date(2020, 1, 2)]), ("string", ["a", "a", "b"])])
+@pytest.mark.parametrize(("kind", "labels"), [("double", [0.0, -0.0, 2.5]), ("boolean", [True, True, False]), ("smallint", [1, 1, 2]), ("date", [date(2020, 1, 1), date(2020, 1, 1), date(2020, 1, 2)]), ("string", ["a", "a", "b"]), ("timestamp", [datetime(2020, 1, 1, 0, 0, 0, 1), datetime(2020, 1, 1, 0, 0, 0, 1), datetime(2020, 1, 1, 0, 0, 0, 2)]), ("array<int>", [[1], [1], [1, None]]), ("binary", [b"\xff", b"\xff", b"\xfe"])])
 def test_labels_of_any_type(spark, kind, labels):
     rows = [(1, [1.0, 0.0], labels[0]), (2, [1.0, 0.01], labels[1]), (3, [1.0, 0.0], labels[2]), (4, [1.0, 0.0], None)]
     got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
     assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (1, [1.0, 0.0], 0), (5, [-1.0, 0.0], 0), (5, [0.0, -1.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (5, 0, 5, True), (5, 0, 5, True)]
