@@ -565,3 +565,17 @@ def side_chunks_sql(spark, sf_dir):
     md = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.lit("B").alias("side"), F.lit("b.md").alias("name"), F.concat(F.lit("# "), "p_name", F.lit("\n\n## Rest of it\n"), "p_type").alias("text"))
     files = part_sources(spark, sf_dir).withColumn("name", F.lit("a.py")).unionByName(md)
     return spark.sql("SELECT pair_id, chunk_id, artifact_id, label, start_line, end_line, header FROM side_chunks(TABLE(SELECT * FROM {files}) PARTITION BY (pair_id, side) ORDER BY name)", files=files)
+
+
+@query(f"""WITH {TURNS}, l AS (SELECT pair_id, pos, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM t),
+    q AS (SELECT pair_id, pos, chunk_id, source, CASE pos % 3 WHEN 0 THEN ' ' || string_split(text, chr(10))[1] WHEN 1 THEN substring(string_split(text, chr(10))[1], 4, 30) ELSE 'no such words' END AS quote FROM c),
+    m AS (SELECT q.*, line_no, line, trim(line) = trim(quote) AS exact FROM q JOIN l USING (pair_id, pos) WHERE trim(quote) <> '' AND contains(line, trim(quote))),
+    b AS (SELECT *, bool_or(exact) OVER (PARTITION BY pair_id, pos) AS any_exact FROM m),
+    r AS (SELECT pair_id, pos, min(line_no) AS line, arg_min(line, line_no) AS text, count(*) = 1 AS "unique" FROM b WHERE exact OR NOT any_exact GROUP BY pair_id, pos)
+    SELECT pair_id, pos AS n, chunk_id, quote, CASE WHEN line IS NOT NULL THEN source END AS source, line, r.text, "unique" FROM q LEFT JOIN r USING (pair_id, pos)""")
+def resolve_indexed(spark, sf_dir):
+    """Quotes of whole first lines, of parts of them, and of nothing, by the line index."""
+    t = selection.assign_ids(turns(spark, sf_dir))
+    first, kind = F.get(F.split("text", "\n"), F.lit(0)), F.col("pos") % 3
+    quote = F.when(kind == 0, F.concat(F.lit(" "), first)).when(kind == 1, F.substring(first, 4, 30)).otherwise("no such words")
+    return citations.resolve_by_index(t.select("pair_id", F.col("pos").alias("n"), "chunk_id", quote.alias("quote")), t)
