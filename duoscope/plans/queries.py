@@ -107,16 +107,6 @@ def markdown_sections(spark, sf_dir):
     return chunking.markdown_pieces(headed(spark, sf_dir)).select("pair_id", "start_line", "end_line", "text", "label")
 
 
-@query()
-def recursive_chunks(spark, sf_dir):
-    return chunking.chunks(artifacts(spark, sf_dir)).select("pair_id", "side", "source", "chunk_index", "start_line", "end_line", "header", "text")
-
-
-@query()
-def markdown_chunks(spark, sf_dir):
-    return chunking.chunks(headed(spark, sf_dir)).select("pair_id", "chunk_index", "start_line", "end_line", "label", "text")
-
-
 def part_sources(spark, sf_dir) -> DataFrame:
     """Python of each part: a class and a decorated function, both long enough to stay apart."""
     filler = "# " + "x" * 100
@@ -531,24 +521,25 @@ def nearest_vectors(spark, sf_dir):
     return ranking.top_k(e.filter("id % 20 = 0"), e).withColumn("score", F.round("score", 9))
 
 
-def cuts_sql() -> str:
-    """The texts in ever finer parts, by lists: l0 to l4."""
-    steps = ["l0 AS (SELECT doc_id, text, [text] AS p FROM documents WHERE regexp_matches(text, '\\S'))"]
+def packed_sql(source: str) -> str:
+    """k (doc_id, i, start_line, end_line, text): the texts of a table (doc_id, text) in ever finer parts, by lists (l0 to l4), packed by a fold."""
+    steps = [f"l0 AS (SELECT doc_id, text, [text] AS p FROM {source} WHERE regexp_matches(text, '\\S'))"]
     for i, separator in enumerate(SEPARATORS, 1):
         mark = "' '" if separator == " " else f"repeat(chr(10), {len(separator)})"
         parts = f"list_transform(string_split(x, {mark}), lambda y, i: CASE WHEN i < len(string_split(x, {mark})) THEN y || {mark} ELSE y END)"
         steps.append(f"l{i} AS (SELECT doc_id, text, flatten(list_transform(p, lambda x: CASE WHEN length(x) > 1530 THEN list_filter({parts}, lambda y: y <> '') ELSE [x] END)) AS p FROM l{i - 1})")
+    steps.append("""z AS (SELECT doc_id, text, flatten(list_transform(p, lambda x: list_transform(range(0, length(x), 1530), lambda i: length(substring(x, i + 1, 1530))))) AS sizes FROM l4),
+    f AS (SELECT doc_id, text, list_reduce(list_transform(sizes, lambda s: {'b': 0::BIGINT, 'e': s::BIGINT, 'done': []::STRUCT(b BIGINT, e BIGINT)[]}), lambda a, x: {
+        'b': CASE WHEN a.e > 0 AND a.e + x.e - a.b > 1500 THEN greatest(a.b, a.e - 150, a.e + x.e - 1530) ELSE a.b END, 'e': a.e + x.e,
+        'done': CASE WHEN a.e > 0 AND a.e + x.e - a.b > 1500 THEN list_append(a.done, {'b': a.b, 'e': a.e}) ELSE a.done END}) AS s FROM z),
+    u AS (SELECT doc_id, text, unnest(list_append(s.done, {'b': s.b, 'e': s.e})) AS c FROM f),
+    v AS (SELECT doc_id, c.b AS b, substring(text, c.b + 1, c.e - c.b) AS body, left(text, c.b) AS before FROM u),
+    w AS (SELECT doc_id, b, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS text, len(string_split(before || regexp_extract(body, '^\\s+'), chr(10))) AS start_line FROM v),
+    k AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INT AS i, start_line::INT AS start_line, (start_line + len(string_split(text, chr(10))) - 1)::INT AS end_line, text FROM w WHERE text <> '')""")
     return ", ".join(steps)
 
 
-@query(f"""WITH {cuts_sql()}, h AS (SELECT doc_id, text, flatten(list_transform(p, lambda x: list_transform(range(0, length(x), 1530), lambda i: length(substring(x, i + 1, 1530))))) AS sizes FROM l4),
-    f AS (SELECT doc_id, text, list_reduce(list_transform(sizes, lambda s: {{'b': 0::BIGINT, 'e': s::BIGINT, 'done': []::STRUCT(b BIGINT, e BIGINT)[]}}), lambda a, x: {{
-        'b': CASE WHEN a.e > 0 AND a.e + x.e - a.b > 1500 THEN greatest(a.b, a.e - 150, a.e + x.e - 1530) ELSE a.b END, 'e': a.e + x.e,
-        'done': CASE WHEN a.e > 0 AND a.e + x.e - a.b > 1500 THEN list_append(a.done, {{'b': a.b, 'e': a.e}}) ELSE a.done END}}) AS s FROM h),
-    u AS (SELECT doc_id, text, unnest(list_append(s.done, {{'b': s.b, 'e': s.e}})) AS c FROM f),
-    t AS (SELECT doc_id, c.b AS b, substring(text, c.b + 1, c.e - c.b) AS body, left(text, c.b) AS before FROM u),
-    k AS (SELECT doc_id, b, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS text, len(string_split(before || regexp_extract(body, '^\\s+'), chr(10))) AS start_line FROM t)
-    SELECT doc_id AS pair_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INT AS at, start_line::INT AS start_line, (start_line + len(string_split(text, chr(10))) - 1)::INT AS end_line, text FROM k WHERE text <> ''""")
+@query(f"WITH {packed_sql('documents')} SELECT doc_id AS pair_id, i AS \"at\", start_line, end_line, text FROM k")
 def size_pieces(spark, sf_dir):
     """Documents cut by size, packed with an overlap, without Python."""
     return chunking.size_pieces(artifacts(spark, sf_dir)).select("pair_id", "at", "start_line", "end_line", "text")
@@ -579,3 +570,40 @@ def resolve_indexed(spark, sf_dir):
     first, kind = F.get(F.split("text", "\n"), F.lit(0)), F.col("pos") % 3
     quote = F.when(kind == 0, F.concat(F.lit(" "), first)).when(kind == 1, F.substring(first, 4, 30)).otherwise("no such words")
     return citations.resolve_by_index(t.select("pair_id", F.col("pos").alias("n"), "chunk_id", quote.alias("quote")), t)
+
+
+# Pieces p (doc_id, i, s, e, label, text) of lines y (doc_id, lines): one by one, small ones join a neighbour whose lines have room,
+# one of the same section before another, the next before the one before.
+MADE = "list_slice(lines, {x}.s, {y}.e)"
+JOINED = "{{'s': {x}.s, 'e': {y}.e, 'label': CASE WHEN length({y}.text) > length({x}.text) THEN {y}.label ELSE {x}.label END, 'text': array_to_string(" + MADE + ", chr(10))}}"
+NEXT, PREVIOUS = JOINED.format(x="todo[1]", y="todo[2]"), JOINED.format(x="done[-1]", y="todo[1]")
+
+
+MERGED = f"""r AS (SELECT doc_id, lines, []::STRUCT(s BIGINT, e BIGINT, label VARCHAR, text VARCHAR)[] AS done, todo FROM y JOIN (SELECT doc_id, list({{'s': s::BIGINT, 'e': e::BIGINT, 'label': label, 'text': text}} ORDER BY i) AS todo FROM p GROUP BY doc_id) USING (doc_id)
+    UNION ALL SELECT doc_id, lines, CASE way WHEN 'next' THEN done WHEN 'previous' THEN done[:-2] ELSE list_append(done, todo[1]) END,
+        CASE way WHEN 'next' THEN list_prepend({NEXT}, todo[3:]) WHEN 'previous' THEN list_prepend({PREVIOUS}, todo[2:]) ELSE todo[2:] END
+    FROM (SELECT *, CASE WHEN ahead AND (NOT back OR split_part(todo[1].label, ' · ', 1) = split_part(todo[2].label, ' · ', 1) OR split_part(todo[1].label, ' · ', 1) <> split_part(done[-1].label, ' · ', 1)) THEN 'next' WHEN back THEN 'previous' ELSE 'stay' END AS way
+    FROM (SELECT *, length(todo[1].text) < 90 AND len(todo) > 1 AND length(array_to_string({MADE.format(x='todo[1]', y='todo[2]')}, chr(10))) <= 1530 AS ahead,
+        length(todo[1].text) < 90 AND len(done) > 0 AND length(array_to_string({MADE.format(x='done[-1]', y='todo[1]')}, chr(10))) <= 1530 AS back FROM r WHERE len(todo) > 0))),
+    c AS (SELECT doc_id, unnest(done) AS x, generate_subscripts(done, 1) AS i FROM r WHERE len(todo) = 0)"""
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT doc_id, '# Part ' || doc_id || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) ELSE '' END || text AS body FROM documents),
+    y AS (SELECT doc_id, string_split(body || chr(10) || chr(10) || '## Rest' || chr(10) || 'last', chr(10)) AS lines, regexp_replace(body, '\\n\\s*$', '') AS text FROM g),
+    large AS (SELECT doc_id, text FROM y WHERE length(text) > 1530), {packed_sql('large')},
+    p AS (SELECT doc_id, i, start_line AS s, end_line AS e, 'Part ' || doc_id || ' · part ' || (i + 1) || '/' || count(*) OVER (PARTITION BY doc_id) AS label, text FROM k
+    UNION ALL SELECT doc_id, 0, 1, len(string_split(text, chr(10))), 'Part ' || doc_id, text FROM y WHERE length(text) <= 1530
+    UNION ALL SELECT doc_id, 1000000, len(lines) - 1, len(lines), 'Rest', '## Rest' || chr(10) || 'last' FROM y),
+    {MERGED}
+    SELECT doc_id AS pair_id, (i - 1)::INT AS chunk_index, x.s::INT AS start_line, x.e::INT AS end_line, x.label AS label, x.text AS text FROM c""")
+def markdown_chunks(spark, sf_dir):
+    return chunking.chunks(headed(spark, sf_dir)).select("pair_id", "chunk_index", "start_line", "end_line", "label", "text")
+
+
+@query(f"""WITH RECURSIVE y AS (SELECT doc_id, lang, string_split(text, chr(10)) AS lines FROM documents), {packed_sql('documents')},
+    p AS (SELECT doc_id, i, start_line AS s, end_line AS e, '' AS label, text FROM k),
+    {MERGED}
+    SELECT doc_id AS pair_id, CASE WHEN lang = 'en' THEN 'A' ELSE 'B' END AS side, 'd' || doc_id || '.txt' AS source, (i - 1)::INT AS chunk_index, x.s::INT AS start_line, x.e::INT AS end_line,
+    '[d' || doc_id || '.txt · lines ' || x.s || '-' || x.e || ']' AS header, x.text AS text FROM c JOIN y USING (doc_id)""")
+def recursive_chunks(spark, sf_dir):
+    return chunking.chunks(artifacts(spark, sf_dir)).select("pair_id", "side", "source", "chunk_index", "start_line", "end_line", "header", "text")
