@@ -54,6 +54,14 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Rows of an Arrow batch, for jobs that read whole texts: buffers of both the JVM and the Python workers stay as large as the largest batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, rows)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of a slice take about `limit` bytes (one document at least)."""
     for batch in batches:
