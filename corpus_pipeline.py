@@ -2,7 +2,7 @@
 the mixture has no room for; what stays is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept. All but the
-last return the columns of documents.
+last return the columns of documents. Those that read texts in Python set the session's Arrow batches to 1,000 rows at most.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.llm import bpe, exact, mixing, simhash, toxicity
-from duoscope.llm.common import checkpointed, digest, shared_folder, table, to_each_task
+from duoscope.llm.common import bounded_batches, checkpointed, digest, shared_folder, table, to_each_task
 from duoscope.llm.queries import TOKENIZER
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier scores 0.5 or more."""
+    bounded_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -42,6 +43,7 @@ def staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the row with the largest id; null texts are empty ones, a null id is the last choice."""
+    bounded_batches(spark)
     found = exact.exact_duplicates(docs)
     decided = found.filter("group_size > 1").groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
     return staying(docs, checkpointed(decided))
@@ -49,6 +51,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts with a similarity of 0.8 or more by five-word shingles, the one with the smallest id."""
+    bounded_batches(spark)
     return staying(docs, checkpointed(simhash.similar_documents(docs).filter("not kept or copies > 1")))
 
 
@@ -65,6 +68,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the texts that are left."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(TOKENIZER)))
 
 
