@@ -13,17 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from duoscope.functions.pieces import MOST, OVERLAP, SEPARATORS, TARGET
-from duoscope.functions.text import strip
+from duoscope.functions.text import let, strip
 
 BLOCK = 4096
 LEADING = "(?U)^[\\s\\x1c-\\x1f]+"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once however often body names it, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def breaks(text: Column) -> Column:
     """How many line feeds a text holds."""
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.functions.text import split_lines, squeeze, strip, unescape
+from duoscope.functions.text import let, split_lines, squeeze, strip, unescape
 
 CITATION = '(?Ud)([AB]-\\d+)\\s+"(.*?)"(?=\\s*[,\\]])'
 
@@ -18,11 +18,6 @@ def find_citations(answers: DataFrame) -> DataFrame:
     return answers.select("pair_id", F.posexplode(both).alias("n", "c")).select("pair_id", "n", F.col("c.chunk_id").alias("chunk_id"), F.col("c.quote").alias("quote"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body names it, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def wrapped_line(lines: Column, wanted: Column) -> Column:
     """The number (from 0) of the line where a quote that runs over lines starts, as an array; empty where it doesn't occur. Linear in the text."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from duoscope.functions.errors import errors_table
 from duoscope.functions.responses import TOO_MANY, UNAVAILABLE, model_unavailable
-from duoscope.operators.citations import let
+from duoscope.functions.text import let
 from duoscope.operators.embedding import embed  # noqa: F401  (the other kind of call)
 from duoscope.operators.providers import CHAIN, ProviderError
 
