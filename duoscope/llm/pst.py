@@ -23,6 +23,9 @@ the word table.
 Defined cases: a null or empty text has one token, the end; a null id counts as training; repeated
 rows count as often as they occur; without training tokens every count is zero and the trees are their
 uniform roots; an empty table gives no rows; further columns are ignored.
+
+The query op5_suffix_tree scores by one tree over whole texts instead (suffix_tree.py), which shares
+`Tree` and `fit`.
 """
 
 from __future__ import annotations
@@ -211,12 +214,12 @@ class _Level:
         return self.p[np.searchsorted(self.key, key)]
 
 
-def fit(gram: DataFrame, depth: int, p_min: float, divergence: float, kind: tuple[int, int]) -> Tree:
-    """The tree from (key, c). At most depth / p_min contexts come to the driver, and of their symbols those that have SHARE * p_min of all."""
+def fit(gram: DataFrame, depth: int, p_min: float, divergence: float, kind: tuple[int, int], share: float = SHARE) -> Tree:
+    """The tree from (key, c). At most depth / p_min contexts come to the driver, and of their symbols those that have share * p_min of all (0: every one)."""
     gram = checkpointed(gram)
     context = F.shiftright("key", kind[0])
     symbols = gram.filter(F.shiftright("key", 56) == 0).agg(F.sum("c")).first()[0] or 0
-    gram = gram.filter(F.col("c") >= SHARE * p_min * symbols)  # what is rarer counts as never seen there; a suffix has a count as high at least
+    gram = gram.filter(F.col("c") >= share * p_min * symbols)  # what is rarer counts as never seen there; a suffix has a count as high at least
     often = gram.groupBy(context.alias("context")).agg(F.sum("c").alias("n")).filter(F.col("n") >= max(1.0, p_min * symbols))
     found = gram.withColumn("context", context).join(often, "context").select("key", "c").toArrow()
     return Tree(found.column(0).to_numpy(), found.column(1).to_numpy(), depth, divergence, kind)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import bpe, exact, hnsw, lines, mixing, pst, quality, secrets, simhash, toxicity, variants, vectors, whitening
+from duoscope.llm import bpe, exact, hnsw, lines, mixing, quality, secrets, simhash, suffix_tree, toxicity, variants, vectors, whitening
 from duoscope.llm.common import remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,7 +36,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pst.score(table(spark, sf_dir, "documents"))
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
