@@ -68,3 +68,30 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (1, [1.0, 0.0], 0), (5, [-1.0, 0.0], 0), (5, [0.0, -1.0], 0)]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
     assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (5, 0, 5, True), (5, 0, 5, True)]
+
+
+def test_small_blocks_and_tiles(spark):
+    rnd = np.random.default_rng(8)
+    rows = []
+    for c in range(12):
+        width = (8, 40, 72)[c % 3]
+        centre = rnd.normal(size=width)
+        for _ in range(30):
+            rows.append((len(rows) * 11 % 1009, (centre + rnd.normal(size=width) * rnd.choice([0.05, 0.27, 2.0])).tolist(), c % 5))
+    rows += [(2000 + k, rows[k % 7][1], rows[k % 7][2]) for k in range(20)]
+    for settings in ({"tile_rows": 7, "block_bytes": 16_000}, {"tile_rows": 64, "block_bytes": 40_000}):
+        check(spark, rows, **settings)
+
+
+def test_shuffle_does_not_grow_with_what_a_row_meets(spark):
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    x = np.random.default_rng(9).normal(size=(1500, 64))
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], SCHEMA)
+    before = shuffled()
+    assert vectors.near_vectors(df, tile_rows=16).filter("n_links = 0 and kept").count() == 1500
+    assert shuffled() - before < 6 * x.size * 4
