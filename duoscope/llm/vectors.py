@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by PCA-ordered tiled comparison.
 
 Vectors are scaled to unit length and rotated to principal axes, largest variance first. Different
-vectors of a label are sorted by the cells of a grid on the leading axes and packed into blocks of
+vectors are sorted by width, label and the cell of a grid on the leading axes and packed into blocks of
 bounded size, one written row each. Every two blocks that share a label are compared by a Cartesian
 product of the written blocks: its tasks read them again, so a vector is shuffled and written once
 however many others it meets. In two blocks, tiles whose boxes on the leading axes are too far apart are
@@ -194,7 +194,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample_rows: int =
     parts = max(math.ceil(n_rows * mean_width * size / block_bytes), min(math.ceil(n_rows / 4096), math.ceil(8 * math.sqrt(sc.defaultParallelism))), 1)
     hashes = [F.xxhash64("embedding").alias("one"), F.xxhash64(F.lit(1), "embedding").alias("two")]
     held = given.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).join(labels, "label")
-    order = ["of", "width", "cell", "one"]
+    order = ["width", "of", "cell", "one"]
     rows = held.select("of", F.size("embedding").alias("width"), cell("embedding").alias("cell"), "first", "copies", *hashes, "embedding")
     rows = rows.repartitionByRange(parts, *order).coalesce(parts).sortWithinPartitions(*order)
     blocks = checkpointed(rows.drop("cell").mapInArrow(packed, "start long, width int, of_low long, of_high long, of binary, first binary, copies binary, one binary, two binary, raw binary"))
